@@ -60,3 +60,22 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
 
 def out(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+class Recent(dict):
+    """A cache of at most about twice ``room`` entries: when full, all become old; old ones met again are new again."""
+
+    def __init__(self, make: Callable, room: int, longest: int) -> None:
+        super().__init__()
+        self.make, self.room, self.longest, self.old = make, room, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.room:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

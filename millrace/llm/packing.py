@@ -14,6 +14,9 @@ are unique in a result. Empty tables give no rows.
 from __future__ import annotations
 
 import heapq
+import re
+import sys
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps
-from .tokens import library
+from .common import Recent, steps
+from .tokens import byte_letters, library
 
 LENGTH = 2048
 END = 1
@@ -33,27 +36,38 @@ END = 1
 BLOCK = 1 << 20
 LINEAR = 1.0
 QUADRATIC = 1.0 / LENGTH
-CACHE = 400_000
+CACHE = 300_000
 CACHED_BYTES = 64
 
 
-class Ids(dict):
-    """Token ids (little-endian unsigned 32-bit) of words between ASCII white space, which this vocabulary never spans."""
+# The vocabulary's pre-token pattern, for lower-case texts in ASCII and Latin-1 letters (in normal form already).
+_PIECES = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+""").findall
+_LATIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÿ]*").fullmatch
+
+
+class Ids:
+    """Token ids (little-endian unsigned 32-bit) of texts; of pre-tokens where the text is Latin, else of words, which no pre-token spans."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
-        self.encode = library(path).encode
+        self.encode, self.model = library(path).encode, library(path).model.tokenize
+        self.letter = {b: c for c, b in byte_letters().items()}
+        self.special = sorted({t.content for t in library(path).get_added_tokens_decoder().values()})
+        self.pieces = Recent(lambda p: _bytes([t.id for t in self.model(p.encode().decode("latin-1").translate(self.letter))]), CACHE, CACHED_BYTES)
+        self.words = Recent(self.word, CACHE, CACHED_BYTES)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
+    def word(self, word: bytes) -> bytes:
+        return _bytes(self.encode(word.decode("utf-8"), add_special_tokens=False).ids)
 
     def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split())) if text else b""
+        if not text:
+            return b""
+        if _LATIN(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.pieces.__getitem__, _PIECES(text.lower())))
+        return b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -13,6 +13,7 @@ a special string in it goes to the library as a whole. Repeated rows are kept.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,17 +22,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import out, steps
+from .common import Recent, out, steps
 
 LIMIT = 512
-#: Entries of a worker's cache at most; it is emptied when full.
-CACHE = 400_000
+#: Entries of a worker's cache, about half of those it may hold.
+CACHE = 300_000
 #: Longer units are not cached.
 CACHED_CHARS = 64
 
 _ASCII_SPACE = " \t\n\r\x0b\x0c"
 #: A unit: white space of any kind, then everything up to the next ASCII white space.
 _UNIT = regex.compile(rf"[{_ASCII_SPACE}]*[^{_ASCII_SPACE}]+|[{_ASCII_SPACE}]+$")
+#: Where white space stands one by one, units are what single spaces and line ends separate.
+_TWO_SPACES = re.compile(r"\s\s")
+#: Words whose letters all libraries' tables agree on, and words of these letters, digits and ASCII marks.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+_LATIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ɏ]+").fullmatch
 
 
 @lru_cache(maxsize=2)
@@ -66,29 +72,41 @@ def frequent(path: str, pattern: str) -> tuple[str, bytes]:
     return "\0".join(w for w, _ in kept), bytes(n for _, n in kept)
 
 
-class Counter(dict):
-    """Token counts of units; what is missing is made of pre-tokens, by tier one, this cache and the library."""
+class Counter:
+    """Token counts of texts. What the caches lack is made of pre-tokens, by tier one and the library's model."""
 
     def __init__(self, path: str, table: tuple[str, bytes], pattern: str, special: list[str], room: int = CACHE) -> None:
-        super().__init__()
         self.tier = dict(zip(table[0].split("\0"), table[1], strict=True)) if table[0] else {}
-        self.encode, self.pieces, self.special, self.room = library(path).encode, regex.compile(pattern).findall, special, room
-
-    def __missing__(self, unit: str) -> int:
-        if any(s in unit for s in self.special):
-            n = len(self.encode(unit, add_special_tokens=False).ids)
-        elif len(pieces := self.pieces(unit)) == 1:
-            n = self.tier.get(unit) or len(self.encode(unit, add_special_tokens=False).ids)
-        else:
-            n = sum(self.tier.get(p) or self[p] for p in pieces)
-        if len(unit) <= CACHED_CHARS:
-            if len(self) >= self.room:
-                self.clear()
-            self[unit] = n
-        return n
+        self.encode, self.model = library(path).encode, library(path).model.tokenize
+        self.pieces, self.special = regex.compile(pattern).findall, special
+        self.letter = {b: c for c, b in byte_letters().items()}
+        #: Of words that follow a space, and of other units.
+        self.words = Recent(lambda word: self.unit(" " + word), room, CACHED_CHARS)
+        self.others = Recent(self.unit, room // 4, CACHED_CHARS)
+
+    def piece(self, piece: str) -> int:
+        """Tokens of one pre-token."""
+        return self.tier.get(piece) or len(self.model(piece.encode().decode("latin-1").translate(self.letter)))
+
+    def unit(self, unit: str) -> int:
+        """Tokens of a unit with its white space."""
+        if not unit:
+            return 0
+        word = unit[1:] if unit[0] == " " else unit
+        if _LETTERS(word):
+            return self.piece(unit)
+        if _LATIN(word) and not any(s in word for s in self.special):
+            return sum(map(self.piece, self.pieces(unit)))
+        return len(self.encode(unit, add_special_tokens=False).ids)
 
     def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, _UNIT.findall(text)))
+        if _TWO_SPACES.search(text):
+            return sum(map(self.others.__getitem__, _UNIT.findall(text)))
+        n, of = -1, self.words.__getitem__
+        for line in text.split("\n"):  # a single line end is a token
+            first, *rest = line.split(" ")
+            n += 1 + self.others[first] + sum(map(of, rest))
+        return n
 
 
 _COUNTERS: dict[tuple, Counter] = {}
