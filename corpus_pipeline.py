@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, packing, quality, secrets, simhash
@@ -26,10 +26,12 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id."""
+    """Of each class of near duplicates, the document with the smallest id; of rows with the same id, one. Rows without an id stay."""
     classes = simhash.near_duplicates(docs)
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(spread(gone), F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rest = docs.join(spread(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    one = Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy(F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"))
+    return rest.withColumn("_at", F.row_number().over(one)).where("doc_id is null or _at = 1").select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

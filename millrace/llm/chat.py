@@ -60,12 +60,12 @@ def oracle() -> str:
     WITH rows AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS is_chosen, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
     one AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY pair_id, is_chosen, turn ORDER BY role NULLS FIRST, text NULLS FIRST) = 1),
     c AS (SELECT * FROM one WHERE is_chosen), r AS (SELECT * FROM one WHERE NOT is_chosen),
-    both AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, c.role AS crole, c.text AS ctext, r.role AS rrole, r.text AS rtext,
+    sides AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, c.role AS crole, c.text AS ctext, r.role AS rrole, r.text AS rtext,
                     c.pair_id IS NOT NULL AS has_c, r.pair_id IS NOT NULL AS has_r FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.turn = r.turn),
-    parting AS (SELECT pair_id, min(CASE WHEN NOT (has_c AND has_r AND crole IS NOT DISTINCT FROM rrole AND ctext IS NOT DISTINCT FROM rtext) THEN turn END) AS parts, bool_or(has_c) AND bool_or(has_r) AS paired FROM both GROUP BY pair_id),
+    parting AS (SELECT pair_id, min(CASE WHEN NOT (has_c AND has_r AND crole IS NOT DISTINCT FROM rrole AND ctext IS NOT DISTINCT FROM rtext) THEN turn END) AS parts, bool_or(has_c) AND bool_or(has_r) AS paired FROM sides GROUP BY pair_id),
     made AS (
-      SELECT b.pair_id, CASE WHEN parts IS NULL OR turn < parts THEN 'prompt' ELSE 'chosen' END AS side, turn, crole AS role, ctext AS text, paired FROM both b JOIN parting p ON b.pair_id = p.pair_id WHERE has_c
+      SELECT b.pair_id, CASE WHEN parts IS NULL OR turn < parts THEN 'prompt' ELSE 'chosen' END AS side, turn, crole AS role, ctext AS text, paired FROM sides b JOIN parting p ON b.pair_id = p.pair_id WHERE has_c
       UNION ALL
-      SELECT b.pair_id, 'rejected', turn, rrole, rtext, paired FROM both b JOIN parting p ON b.pair_id = p.pair_id WHERE has_r AND NOT (parts IS NULL OR turn < parts))
+      SELECT b.pair_id, 'rejected', turn, rrole, rtext, paired FROM sides b JOIN parting p ON b.pair_id = p.pair_id WHERE has_r AND NOT (parts IS NULL OR turn < parts))
     SELECT pair_id, side, turn, coalesce(role, '') AS role, side <> 'prompt' AND coalesce(role = 'assistant', false) AS loss, paired,
            '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered FROM made"""

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Recent, steps
 
@@ -186,4 +187,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
         for b in steps(batches, text_col):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b.column(at).to_pylist()), pa.float64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(work, docs.schema.add(name, "double"))
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
