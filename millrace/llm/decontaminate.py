@@ -155,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = pickle.loads(parts[0].value) if len(parts) == 1 else None
-        for batch in steps(batches):
+        for batch in steps(batches, "_text"):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))  # a zero between texts
             spans: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -187,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             arrays = [made[c] if isinstance(made[c], pa.Array) else pa.array(made[c], kind) for c, kind in fields.items()]
             yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(2 + i) for i in range(len(kept)))], [*fields, *(f.name for f in kept)])
 
-    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in keep])
+    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in keep])
     for f in kept:
         ddl += f", `{f.name}` {f.dataType.simpleString()}"
     return picked.mapInArrow(work, ddl)
