@@ -179,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """The rows with one more column, the probability of label 1."""
+    """The rows with one more column, the probability of label 1; a column that has its name already is replaced."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
