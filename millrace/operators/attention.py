@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +44,33 @@ def attend(x: np.ndarray, in_w: np.ndarray, in_b: np.ndarray, out_w: np.ndarray,
     return narrow(context @ out_w.T + (out_b << FRAC), FRAC)
 
 
-def attention(df: DataFrame, id_col: str, x_col: str, tokens: int, width: int, heads: int) -> DataFrame:
-    """(id, y): y as a comma-joined vector; coefficients by the deterministic fixture rule."""
-    n = np.arange(3 * width * width)
-    in_w, in_b = wrapped(7 * n - 13).reshape(3 * width, width), wrapped(5 - 3 * np.arange(3 * width))
-    out_w, out_b = wrapped(7 * n[: width * width] - 13).reshape(width, width), wrapped(5 - 3 * np.arange(width))
-    schema = pa.schema([(id_col, pa.int64()), ("y", pa.string())])
+def over_rows(df: DataFrame, id_col: str, x_col: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, y): a kernel over a batch's vectors at once (rows, width) of int64; y is an array of bigint."""
+    schema = pa.schema([(id_col, pa.int64()), ("y", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.int64)[:, : tokens * width].reshape(-1, tokens, width)
-                y = attend(x, in_w, in_b, out_w, out_b, heads).reshape(len(x), -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([",".join(map(str, r)) for r in y.tolist()])], schema=schema)
+                y = kernel(np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(y), pa.list_(pa.int64()))], schema=schema)
+
+    return df.select(F.col(id_col).cast("bigint"), x_col).mapInArrow(work, f"{id_col} bigint, y array<bigint>")
+
+
+def feed_forward(x: np.ndarray, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """Two layers with a ReLU between; the products are exact in int64."""
+    hidden = np.maximum(0, narrow(x @ w1.T + (b1 << FRAC), FRAC))
+    return narrow(hidden @ w2.T + (b2 << FRAC), FRAC)
 
-    return df.select(F.col(id_col).cast("bigint"), x_col).mapInArrow(work, f"{id_col} bigint, y string")
+
+def fixture(n: int, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Deterministic weights and biases numbered from start."""
+    i = np.arange(start, start + n)
+    return wrapped(7 * i - 13), wrapped(5 - 3 * i)
+
+
+def attention(df: DataFrame, id_col: str, x_col: str, tokens: int, width: int, heads: int) -> DataFrame:
+    """(id, y) with coefficients by the deterministic fixture rule."""
+    in_w, out_w = fixture(3 * width * width)[0].reshape(3 * width, width), fixture(width * width)[0].reshape(width, width)
+    in_b, out_b = fixture(3 * width)[1], fixture(width)[1]
+    return over_rows(df, id_col, x_col, lambda x: attend(x[:, : tokens * width].reshape(-1, tokens, width), in_w, in_b, out_w, out_b, heads).reshape(len(x), -1))

@@ -23,19 +23,26 @@ def metrics_section(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)(## Metrics.*?)(?:\n## |\z)", 1)
 
 
-def report_metric(text: Column, split: str, part: int) -> Column:
-    """A number of a split's row in a report's metrics table (2: smape ... 6: r2); the last such row counts."""
-    rows = F.filter(F.split(metrics_section(text), r"\r?\n"), lambda line: line.rlike(S.METRICS_ROW) & line.rlike(rf"^\|\s*{split}\s*\|"))
-    return F.regexp_extract(F.try_element_at(rows, F.lit(-1)), S.METRICS_ROW, part).try_cast("double")
+def metric_rows(text: Column) -> Column:
+    """A report's metrics rows in order, as structs of split, rmse and r2."""
+    cells = lambda line: F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
+    number = lambda c, i: c[i].try_cast("double")
+    valid = F.filter(F.split(metrics_section(text), r"\r?\n"), lambda line: F.startswith(line, F.lit("|")) & line.rlike(S.METRICS_ROW))
+    return F.transform(F.transform(valid, cells), lambda c: F.struct(c[1].alias("split"), number(c, 4).alias("rmse"), number(c, 6).alias("r2")))
 
 
 def parsed_reports(df: DataFrame, text: str = "report") -> DataFrame:
-    """Add rmse and r2 of each split, config, algorithm, and skip_reason where a report lacks one of the splits."""
-    values = {f"{s}_{n}": report_metric(F.col(text), s, p) for s in S.SPLITS for n, p in (("rmse", 4), ("r2", 6))}
+    """Add rmse and r2 of each split, config, algorithm, and skip_reason where a report lacks one of the splits.
+
+    Of several rows for one split the last counts.
+    """
+    row = lambda rows, s: F.try_element_at(F.filter(rows, lambda x: x["split"] == s), F.lit(-1)).alias(s)
     line = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    df = df.withColumn("_rows", F.transform(F.array(metric_rows(F.col(text))), lambda rows: F.struct(*[row(rows, s) for s in S.SPLITS]))[0])
+    values = {f"{s}_{n}": F.col(f"_rows.{s}.{n}") for s in S.SPLITS for n in ("rmse", "r2")}
     df = df.withColumns(values | {"config": line(r"(?m)^- Config:\s+`([^`]+)`\s*$"), "algorithm": line(r"(?m)^- Algorithm:\s+\*\*([^*]+)\*\*\s*$")})
     lacks = F.greatest(*[F.col(f"{s}_r2").isNull().cast("int") for s in S.SPLITS]) == 1
-    return df.withColumn("skip_reason", F.when(F.col(text).isNull(), "no report").when(lacks, "unparseable"))
+    return df.withColumn("skip_reason", F.when(F.col(text).isNull(), "no report").when(lacks, "unparseable")).drop("_rows")
 
 
 def latest(runs: DataFrame, keys: Sequence[str], by: Sequence[str] = ("timestamp", "run_dir")) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as I
-from ..operators.attention import attention
+from ..operators.attention import attention, feed_forward, fixture, over_rows
 from . import views as V
 from .registry import query
 
@@ -109,8 +109,17 @@ def _layer(n_in: int, n_out: int, x: str, start: int, relu: bool, bias_start: in
 
 @query(f"WITH {_Q}, h AS (SELECT vec_id, {_layer(32, 64, 'q', 0, True, 0)} AS h FROM q) SELECT vec_id, array_to_string({_layer(64, 32, 'h', 11, False, 5)}, ',') AS y FROM h")
 def int8_ffn(spark, sf_dir):
-    """32 to 64 to 32."""
-    rows = _vectors(spark, sf_dir).select("vec_id", F.slice("q", 1, 32).alias("x"), _matrix(64, 32).alias("w1"), _biases(64).alias("b1"), _matrix(32, 64, 11).alias("w2"), _biases(32, 5).alias("b2"))
+    """32 to 64 to 32; wide layers run as integer matrix products in Arrow batches."""
+    w1, w2 = fixture(64 * 32)[0].reshape(64, 32), fixture(32 * 64, 11)[0].reshape(32, 64)
+    b1, b2 = fixture(64)[1], fixture(32, 5)[1]
+    made = over_rows(_vectors(spark, sf_dir), "vec_id", "q", lambda x: feed_forward(x[:, :32], w1, b1, w2, b2))
+    return made.select("vec_id", _joined(F.col("y")).alias("y"))
+
+
+@query(f"WITH {_Q}, h AS (SELECT vec_id, {_layer(8, 4, 'q', 0, True, 0)} AS h FROM q) SELECT vec_id, array_to_string({_layer(4, 8, 'h', 11, False, 5)}, ',') AS y FROM h")
+def int8_ffn_columns(spark, sf_dir):
+    """8 to 4 to 8, as one column expression."""
+    rows = _vectors(spark, sf_dir).select("vec_id", F.slice("q", 1, 8).alias("x"), _matrix(4, 8).alias("w1"), _biases(4).alias("b1"), _matrix(8, 4, 11).alias("w2"), _biases(8, 5).alias("b2"))
     return rows.select("vec_id", _joined(I.feed_forward(*map(F.col, ("x", "w1", "b1", "w2", "b2")))).alias("y"))
 
 
@@ -137,4 +146,5 @@ def int8_mlp(spark, sf_dir):
 @query()
 def int8_attention(spark, sf_dir):
     """Four tokens of width 16, four heads; integer NumPy in Arrow batches."""
-    return attention(_vectors(spark, sf_dir), "vec_id", "q", tokens=4, width=16, heads=4)
+    made = attention(_vectors(spark, sf_dir), "vec_id", "q", tokens=4, width=16, heads=4)
+    return made.select("vec_id", _joined(F.col("y")).alias("y"))
