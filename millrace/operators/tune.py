@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import transformer  # noqa: F401  it registers its model
 from .models import REGISTRY, Regressor
 from .stats import metrics
 

@@ -40,7 +40,7 @@ def _modelled(algorithm: str, **hp):
     return run
 
 
-for _name, _algorithm, _hp in (("model_elastic_net", "ElasticNetCV", {}), ("model_gbdt", "GBDT", {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.3}), ("model_rulefit", "RuleFit", {"max_rules": 50}), ("model_mlp", "MLP", {"epochs": 60})):
+for _name, _algorithm, _hp in (("model_elastic_net", "ElasticNetCV", {}), ("model_gbdt", "GBDT", {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.3}), ("model_rulefit", "RuleFit", {"max_rules": 50}), ("model_mlp", "MLP", {"epochs": 60}), ("model_transformer", "FTTransformer", {"epochs": 40, "lr": 3e-3, "d_token": 16, "n_blocks": 2, "dropout": 0.0, "d_ffn": 32})):
     _run = _modelled(_algorithm, **_hp)
     _run.__name__ = _name
     query()(_run)
