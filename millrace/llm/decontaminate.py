@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +134,13 @@ class Block:
         return tuple(np.concatenate(x).astype(np.int64) if x else empty for x in (at, size, item))
 
 
+def unpacked(part: Broadcast) -> Block:
+    """A broadcast block; the worker doesn't keep its bytes, so that it never holds more than one block."""
+    block = pickle.loads(part.value)
+    part.__dict__.pop("_value", None)
+    return block
+
+
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
     """The benchmark in lists of bounded size, sorted into blocks by hash; never more than one block in the driver."""
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
@@ -154,14 +162,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ddl = "doc_id bigint, n_words bigint, n_hit bigint, starts array<bigint>, ends array<bigint>, items array<string>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = pickle.loads(parts[0].value) if len(parts) == 1 else None
+        one = unpacked(parts[0]) if len(parts) == 1 else None
         for batch in steps(batches, "_text"):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))  # a zero between texts
             spans: list[list[tuple[int, int]]] = [[] for _ in texts]
             items: list[set[str]] = [set() for _ in texts]
             for part in parts:
-                block = one or pickle.loads(part.value)
+                block = one or unpacked(part)
                 number = block.word.get
                 ids = np.zeros(first[-1], np.int32)
                 for t, at in zip(texts, first.tolist(), strict=False):
