@@ -208,3 +208,18 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def sha256_of(items: list[object]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+
+
+def oracle() -> str:
+    """The report as DuckDB SQL, by joining whole windows."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents),
+    b AS (SELECT item_id, {words} AS w FROM benchmark), i AS (SELECT item_id, w, least({WINDOW}, len(w)) AS n FROM b WHERE len(w) > 0),
+    ia AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM i), iw AS (SELECT DISTINCT item_id, n, array_to_string(w[a:a + n - 1], ' ') AS win FROM ia),
+    da AS (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n),
+    hits AS (SELECT id, item_id, a, da.n FROM da JOIN iw ON da.n = iw.n AND array_to_string(w[a:a + da.n - 1], ' ') = win),
+    places AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(a, a + n)) AS p FROM hits) GROUP BY id),
+    items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN places USING (id) LEFT JOIN items USING (id)"""

@@ -68,4 +68,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_preference": chat.oracle(),
     "op8_licenses": licenses.oracle(),
+    "op10_decontamination": decontaminate.oracle(),
 }
