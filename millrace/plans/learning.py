@@ -54,9 +54,14 @@ def hpo_trials(spark, sf_dir):
     return tune.study("ElasticNetCV", parts["train"], parts["val"], V.E_FEATURES, n_trials=4, intercept=True)[2]
 
 
-@query()
+_FOLDS = f"""WITH {V.V_SQL}, n AS (SELECT count(*) AS n FROM vv), o AS (SELECT vv.*, row_number() OVER (ORDER BY vec_id) - 1 AS i, n.n FROM vv, n),
+  f AS (SELECT *, CAST(CASE WHEN i < (n % 3) * (n // 3 + 1) THEN i // (n // 3 + 1) ELSE (i - n % 3) // (n // 3) END AS INTEGER) AS fold FROM o) """ + " UNION ALL ".join(
+    f"SELECT fold, count(*)::BIGINT AS n, '{c}' AS feature, round(sum((({c} - (SELECT avg({c}) FROM vv)) / (SELECT stddev_pop({c}) FROM vv)) ** 2), 4) AS sum_of_squares FROM f GROUP BY fold" for c in V.V_FEATURES[:16])
+
+
+@query(_FOLDS)
 def fold_gram(spark, sf_dir):
-    """Row counts and diagonal of the Gram matrix of each of three folds."""
+    """Row counts and the head of the Gram matrix's diagonal, for each of three folds."""
     rows = _vectors(spark, sf_dir)
     grams = stats.fold_grams(rows, V.V_FEATURES, "y", stats.fold_of(F.col("split_row_idx"), rows.count(), 3))
-    return spark.createDataFrame([(k, int(g.n), c, float(g.products[i, i])) for k, g in grams.items() for i, c in enumerate(V.V_FEATURES)], "fold int, n bigint, feature string, sum_of_squares double")
+    return spark.createDataFrame([(k, int(g.n), c, round(float(g.products[i, i]), 4)) for k, g in grams.items() for i, c in enumerate(V.V_FEATURES[:16])], "fold int, n bigint, feature string, sum_of_squares double")

@@ -111,9 +111,8 @@ def test_penalised_fits_meet_their_conditions():
     start = [0, 1]
     assert set(solvers.swap(G, b, yy, start)) == {3, 8}
     S = [3, 8, 1]
-    keep = np.setdiff1d(S, [])
     direct = np.linalg.solve(x[:, S].T @ x[:, S] + np.eye(3), x[:, S].T @ (y - y.mean()))
-    assert np.allclose(solvers.ridge(plain_gram(x, y), S), direct) and len(keep) == 3
+    assert np.allclose(solvers.ridge(plain_gram(x, y), S), direct)
 
 
 def test_strings(spark):
