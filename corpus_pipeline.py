@@ -26,8 +26,11 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id; of rows with the same id, one. Rows without an id stay."""
-    classes = simhash.near_duplicates(docs)
+    """Of each class of near duplicates, the document with the smallest id; of rows with the same id, one. Rows without an id stay.
+
+    Documents are linked from a Jaccard similarity of about 0.8 of their five-word shingles.
+    """
+    classes = simhash.similar(docs)
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     rest = docs.join(spread(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     one = Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy(F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"))

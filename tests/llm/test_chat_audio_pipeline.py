@@ -8,7 +8,7 @@ import corpus_pipeline
 from millrace.llm import audio, chat, decontaminate, queries, secrets, simhash
 
 from . import messy
-from .test_simhash import plain_components, plain_fingerprint
+from .test_simhash import check_similar
 from .test_text_operators import check_packed, plain_hits, plain_spans
 
 SF = "/root/testdata/sf0.01"
@@ -82,8 +82,9 @@ def test_pipeline_stages(spark, stages):
     assert {r.doc_id for r in after} == {i for i in before if scored[i]} and len(after) < len(before)
     before, after = of["near_duplicates"]
     ids = sorted(before)
-    classes = plain_components(ids, [plain_fingerprint(before[i].text) for i in ids])
-    assert sorted(r.doc_id for r in after) == sorted(set(classes))
+    classes = {r.doc_id: r.component_id for r in simhash.similar(next(a for n, a, _ in stages if n == "near_duplicates")).collect()}
+    check_similar(ids, [before[i].text for i in ids], classes)
+    assert sorted(r.doc_id for r in after) == sorted(set(classes.values())) and len(after) < len(before)
     before, after = of["decontamination"]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     assert {r.doc_id for r in after} == {i for i, r in before.items() if not plain_hits(r.text, items)[-1]}

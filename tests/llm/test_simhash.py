@@ -82,3 +82,74 @@ def test_messy(spark):
     found = simhash.near_duplicates(messy.docs(spark)).collect()
     assert sorted((str(r.doc_id), r.fp & (2**64 - 1), str(r.component_id)) for r in found) == want
     assert simhash.near_duplicates(messy.empty(spark)).collect() == []
+
+
+def plain_similarities(texts, least):
+    """{(i, j): Jaccard similarity of five-word shingles} of the pairs that reach ``least``, by an inverted index."""
+    sets = []
+    for text in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    holders, common = {}, {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for at in holders.values():
+        for k, j in enumerate(at):
+            for i in at[:k]:
+                common[i, j] = common.get((i, j), 0) + 1
+    found = {(i, j): n / (len(sets[i]) + len(sets[j]) - n) for (i, j), n in common.items()}
+    return {k: v for k, v in found.items() if v >= least}
+
+
+def joined(n, pairs):
+    """The smallest position that each of n reaches by the pairs."""
+    links = simhash.Links(n)
+    for i, j in pairs:
+        links.add(np.array([i]), np.array([j]))
+    return links.to.tolist()
+
+
+def check_similar(ids, texts, component):
+    """Nearly all pairs of a similarity of 0.8 or more are in one class, all of 0.9 or more, and no class goes beyond links of 0.6."""
+    pairs = plain_similarities(texts, 0.6)
+    for least, share in ((0.9, 1), (0.8, 0.95)):
+        want = [k for k, v in pairs.items() if v >= least]
+        assert sum(component[ids[i]] == component[ids[j]] for i, j in want) >= share * len(want)
+    loose = {i: r for i, r in zip(ids, joined(len(ids), pairs), strict=True)}
+    assert all(loose[i] == loose[c] for i, c in component.items())
+
+
+@pytest.mark.parametrize("piece", [1024, 5])
+def test_similar_on_documents(spark, piece):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    found = {r.doc_id: r.component_id for r in simhash.similar(docs, piece=piece).collect()}
+    check_similar([r.doc_id for r in rows], [r.text for r in rows], found)
+    assert 1 < len(set(found.values())) < len(found)
+
+
+def test_similar_edits(spark):
+    rng, texts = random.Random(9), []
+    for n in range(120):  # each base text, a copy with few words changed, and one with many
+        words = [f"w{rng.randrange(5000)}" for _ in range(150 + n)]
+        few, many = list(words), list(words)
+        few[20] = few[90] = "other"
+        for k in range(0, len(words), 8):
+            many[k] = "else"
+        texts += [" ".join(words), " ".join(few), " ".join(many)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == [i - 1 if i % 3 == 1 else i for i in range(len(texts))]
+
+
+def test_similar_messy(spark):
+    rows = messy.docs(spark).collect()
+    words = lambda t: tuple(re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()))
+    least = {}
+    for r in rows:
+        if r.doc_id is not None:
+            least[words(r.text)] = min(least.get(words(r.text), r.doc_id), r.doc_id)
+    found = simhash.similar(messy.docs(spark)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == sorted((str(r.doc_id), str(least.get(words(r.text)))) for r in rows)
+    assert simhash.similar(messy.empty(spark)).collect() == []
