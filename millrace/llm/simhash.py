@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, out, spread, steps
@@ -207,12 +207,13 @@ def trie_links(distinct: DataFrame, budget: int = BUDGET, piece: int = PIECE, me
     return forest_links(cells(dealt, piece).withColumn("fp", F.col("node")), budget)
 
 
-def cells(dealt: DataFrame, piece: int = PIECE) -> DataFrame:
+def cells(dealt: DataFrame, piece: int = PIECE, most: int | None = None) -> DataFrame:
     """Deal the nodes of each trie (node, forest, trie) to cells (forest, trie, i, j) that fit a task.
 
-    A trie of one node goes; a large one is cut to pieces by hash, with a cell for each pair of pieces. ``own`` is a node's piece.
+    A trie of one node (or of more than ``most``) goes; a large one is cut to pieces by hash, with a cell for each
+    pair of pieces. ``own`` is a node's piece.
     """
-    sizes = dealt.groupBy("forest", "trie").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = dealt.groupBy("forest", "trie").agg(F.count("*").alias("n")).where(F.col("n").between(2, most) if most else F.col("n") > 1)
     cut = dealt.join(spread(sizes), ["forest", "trie"]).select("forest", "trie", "node", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     cut = cut.select("forest", "trie", "node", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
@@ -222,7 +223,7 @@ def cells(dealt: DataFrame, piece: int = PIECE) -> DataFrame:
 def forest_links(cut: DataFrame, budget: int, wide_budget: int | None = None) -> DataFrame:
     """(a, b) bigint: in each cell, links whose components are those of all its pairs of nodes within the budget.
 
-    ``cut`` has the columns of ``cells``, fp and, with ``wide_budget``, wide (binary, whole words of 64 bits).
+    ``cut`` has the columns of ``cells``, fp and, with ``wide_budget``, wide (array of words of 64 bits).
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -239,7 +240,7 @@ def forest_links(cut: DataFrame, budget: int, wide_budget: int | None = None) ->
         values = t.column("node").to_numpy()[order]
         wide = None
         if wide_budget is not None:
-            wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(len(fp), -1)[order]
+            wide = t.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)[order]
         cell = np.concatenate(([0], np.cumsum(np.any([k[1:] != k[:-1] for k in keys], axis=0)))) if len(fp) > 1 else np.zeros(len(fp), int)
         tree = np.concatenate(([0], np.cumsum((cell[1:] != cell[:-1]) | (own[1:] != own[:-1]))))
         head = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
@@ -306,6 +307,8 @@ MINIMA = 4
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
 _STEP_HASHES = 1 << 18
+#: Hubs at most that nodes of a large trie are linked to before the rest is compared in pairs of pieces.
+ROUNDS = 4
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -344,6 +347,45 @@ def sketch_many(texts: list[str | None], shingle: int = SIMILAR_SHINGLE) -> tupl
     return words.view(np.int64), keys.view(np.int64), wide
 
 
+def stars(dealt: DataFrame, wide: DataFrame, budget: int, piece: int = PIECE, rounds: int = ROUNDS) -> DataFrame:
+    """The nodes of tries of over ``piece`` (forest, trie, node, wide), with the hub each links to (null: none) and its ``star`` (0: none).
+
+    In each round, one of a trie's nodes that have no star yet is its hub, while over ``piece`` of them are left; those
+    within the budget of it are its star. Nodes of one star are linked already, so ``star_cells`` never compares them
+    with each other, and a large group of near copies costs as much as it has rows, not pairs. The number of rounds is
+    no cap: nodes without a star are compared with all others.
+    """
+    key = ["forest", "trie"]
+    large = dealt.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > piece).select(*key)
+    nodes = dealt.join(spread(large), key).join(wide.select("node", "wide"), "node")
+    nodes = checkpointed(nodes.select(*key, "node", "wide", F.lit(0).alias("star"), F.lit(None).cast("bigint").alias("hub")))
+    differ = F.aggregate(F.zip_with("wide", "at.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    for k in range(1, rounds + 1):
+        hubs = nodes.where("star = 0").groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node", "wide")).alias("at"))
+        hubs = checkpointed(hubs.where(F.col("n") > piece).select(*key, "at"))
+        if hubs.isEmpty():
+            break
+        new = (F.col("star") == 0) & F.coalesce(differ <= budget, F.lit(False))
+        nodes = nodes.join(spread(hubs), key, "left")
+        nodes = checkpointed(nodes.select(*key, "node", "wide", F.when(new, k).otherwise(F.col("star")).alias("star"), F.when(new, F.col("at.node")).otherwise(F.col("hub")).alias("hub")))
+    return nodes
+
+
+def star_cells(nodes: DataFrame, piece: int = PIECE) -> DataFrame:
+    """``cells`` for the nodes of ``stars``: pieces hold nodes of one star, and pieces of the same star never meet."""
+    trie = Window.partitionBy("forest", "trie")
+    sizes = nodes.groupBy("forest", "trie", "star").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
+    sizes = sizes.withColumn("end", F.sum("pieces").over(trie.orderBy("star")).cast("int")).withColumn("all", F.sum("pieces").over(trie).cast("int"))
+    cut = nodes.select("forest", "trie", "star", "node").join(spread(sizes), ["forest", "trie", "star"]).withColumn("first", F.col("end") - F.col("pieces"))
+    cut = cut.withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    none = F.array().cast("array<int>")
+    below = F.when(F.col("first") > 0, F.sequence(F.lit(0), F.col("first") - 1)).otherwise(none)
+    above = F.when(F.col("end") < F.col("all"), F.sequence(F.col("end"), F.col("all") - 1)).otherwise(none)
+    others = F.when(F.col("star") == 0, F.sequence(F.lit(0), F.col("all") - 1)).otherwise(F.concat(below, above))
+    cut = cut.select("forest", "trie", "node", "own", F.explode(others).alias("other"))
+    return cut.select("forest", "trie", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
     """Every row's ``doc_id``, ``fp`` (bigint, a hash of its words) and ``component_id``, linked by a similarity of five-word shingles.
 
@@ -352,7 +394,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     the similarity within about 0.03, and their budget follows from it (``bit_budget``). Forests are dealt by minima
     of hashed shingles, which two documents of a similarity of 0.8 share in one of 16 forests but for 2 cases in 10,000.
     In a trie, node pairs are walked as for ``near_duplicates``, over the first 64 bits and with a budget that the wide
-    one leaves there but for one case in 100,000; leaves are then compared by all bits.
+    one leaves there but for one case in 100,000; leaves are then compared by all bits. In a trie too large for one
+    task, most of a group of near copies is linked to a few hubs before that (``stars``).
 
     The budget has two standard deviations of room, so nearly all pairs of the similarity or more link, and some pairs a
     little below it do, too.
@@ -361,17 +404,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     Rows without an id get a class, too, but never name one.
     """
     lane = bit_budget(64, similarity, 4.5)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.int64()), ("wide", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.int64()), ("wide", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
             words, keys, wide = sketch_many(b.column(1).to_pylist())
-            yield out(schema, {"doc_id": b.column(0), "fp": words, "keys": [k.tolist() if w.any() or k.any() else [] for k, w in zip(keys, wide, strict=True)], "bits": wide[:, 0].view(np.int64), "wide": [w.tobytes() for w in wide]})
+            yield out(schema, {"doc_id": b.column(0), "fp": words, "keys": [k.tolist() if w.any() or k.any() else [] for k, w in zip(keys, wide, strict=True)], "bits": wide[:, 0].view(np.int64), "wide": wide.view(np.int64).tolist()})
 
-    of = checkpointed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id bigint, fp bigint, keys array<bigint>, bits bigint, wide binary"))
+    of = checkpointed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id bigint, fp bigint, keys array<bigint>, bits bigint, wide array<bigint>"))
     distinct = checkpointed(of.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("keys", "bits", "wide")]))
     dealt = distinct.select(F.col("fp").alias("node"), F.posexplode("keys").alias("forest", "trie"))
     with_bits = spread(distinct.select(F.col("fp").alias("_node"), F.col("bits").alias("fp"), "wide"))
-    cut = cells(dealt, piece)
+    budget = bit_budget(64 * WIDE, similarity)
+    starred = stars(dealt, distinct.select(F.col("fp").alias("node"), "wide"), budget, piece)
+    cut = cells(dealt, piece, most=piece).unionByName(star_cells(starred, piece))
     cut = cut.join(with_bits, cut["node"] == with_bits["_node"]).drop("_node")
-    return classes(of.select("doc_id", "fp"), distinct.select("fp", "least"), forest_links(cut, lane, bit_budget(64 * WIDE, similarity)))
+    links = forest_links(cut, lane, budget).union(starred.where("hub <> node").select("node", "hub"))
+    return classes(of.select("doc_id", "fp"), distinct.select("fp", "least"), links)

@@ -153,3 +153,30 @@ def test_similar_messy(spark):
     found = simhash.similar(messy.docs(spark)).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == sorted((str(r.doc_id), str(least.get(words(r.text)))) for r in rows)
     assert simhash.similar(messy.empty(spark)).collect() == []
+
+
+def test_similar_dense_groups_in_stars(spark):
+    """Groups of near copies in tries far beyond a piece, with rows between that only pairs of pieces link."""
+    rng, texts = random.Random(4), []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(300)]
+        for _ in range(150):
+            w = list(base)
+            for _ in range(rng.randint(0, 8)):
+                w[rng.randrange(300)] = f"x{rng.random()}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {piece: sorted((r.doc_id, r.component_id) for r in simhash.similar(docs, piece=piece).collect()) for piece in (1024, 16)}
+    assert found[16] == found[1024]
+    check_similar(range(len(texts)), texts, dict(found[16]))
+
+
+def test_star_cells_meet_all_but_one_star(spark):
+    nodes = [(0, 7, n, [0], star) for n, star in enumerate([0] * 9 + [1] * 12 + [2] * 5)]
+    cut = simhash.star_cells(spark.createDataFrame(nodes, "forest int, trie bigint, node bigint, wide array<bigint>, star int"), 4).collect()
+    own, star, met = {}, {r[2]: r[4] for r in nodes}, set()
+    for r in cut:
+        own.setdefault((r.i, r.j), []).append((r.node, r.own))
+    for (i, j), rows in own.items():
+        met |= {(a, b) for a, p in rows for b, q in rows if a < b and (i == j or p != q)}
+    assert met == {(a, b) for a in star for b in star if a < b and (star[a] != star[b] or star[a] == 0)}
