@@ -352,8 +352,8 @@ def stars(dealt: DataFrame, wide: DataFrame, budget: int, piece: int = PIECE, ro
 
     In each round, one of a trie's nodes that have no star yet is its hub, while over ``piece`` of them are left; those
     within the budget of it are its star. Nodes of one star are linked already, so ``star_cells`` never compares them
-    with each other, and a large group of near copies costs as much as it has rows, not pairs. The number of rounds is
-    no cap: nodes without a star are compared with all others.
+    with each other. A group of near copies that one hub reaches costs as much as it has rows; nodes of different stars,
+    or of none, still meet in all pairs, so a group that no few hubs reach costs pairs. The number of rounds is no cap.
     """
     key = ["forest", "trie"]
     large = dealt.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > piece).select(*key)
