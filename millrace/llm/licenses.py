@@ -1,8 +1,9 @@
 """License scan by sentence rules. DataFrame functions only; no shuffle.
 
-A text is cut into sentences; each, in lower case and with single spaces between letters and digits, is looked up among
-known licence sentences. A licence is found where its rule's sentences occur in the text's sequence of identifiers in
-the rule's order, with anything between them. Nulls: a null text has no sentences. Every row is kept.
+A text, in lower case and with single spaces between letters and digits, keeps its cuts (ends of sentences and lines) as
+newlines. A known licence sentence is found where its words stand between two cuts; cuts inside it ("v. 2.0", "software: you")
+and its line breaks don't matter. A licence is found where its rule's sentences occur in the text's sequence of identifiers
+in the rule's order, with anything between them. Nulls: a null text has no sentences. Every row is kept.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ SENTENCES = [
     "all rights reserved",
 ]
 
+#: The same sentences as licences print them at greater length, and their identifiers.
+LONGER = {
+    SENTENCES[2] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": 3,
+}
+
 # Licences and the identifiers that their rules ask for, in order.
 RULES = [
     ("MIT", (1,)),
@@ -58,16 +64,18 @@ CUT = r"[.!?;:]+(?:[ \t\r\n]+|$)|\n+"
 HINT = "(?i)licen|permission|redistribut|copyright|rights reserved"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def normalised(text: Column) -> Column:
+    """The words of a text with single spaces, and a newline for each cut and at both ends."""
+    return F.concat(F.lit("\n"), F.regexp_replace(F.lower(F.regexp_replace(text, CUT, "\n")), "[^a-z0-9\n]+", " "), F.lit("\n"))
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.array(*map(F.lit, SENTENCES))
-    hinted = lambda x: x.rlike(HINT)
-    found = F.filter(F.transform(F.filter(F.split(text, CUT, -1), hinted), lambda x: F.array_position(known, normalised(x)).cast("int")), lambda i: i > 0)
-    return F.when(hinted(text), found).otherwise(F.array().cast("array<int>"))
+    known = LONGER | {s: i for i, s in enumerate(SENTENCES, 1)}
+    pattern = "(?<=\n) ?(?:" + "|".join(s.replace(" ", "[ \n]+") for s in known) + ") ?(?=\n)"
+    identifier = lambda x: F.element_at(F.array(*map(F.lit, known.values())), F.array_position(F.array(*map(F.lit, known)), F.trim(F.regexp_replace(x, "[ \n]+", " "))).cast("int"))
+    found = F.transform(F.regexp_extract_all(normalised(text), F.lit(pattern), F.lit(0)), identifier)
+    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<int>"))
 
 
 def licenses_of(ids: Column) -> Column:

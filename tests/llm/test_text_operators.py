@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -222,3 +223,38 @@ def test_license_rules(spark):
 def test_vocabulary_is_not_in_the_repository():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         assert len(json.load(f)["model"]["vocab"]) > 50_000
+
+
+LICENCE_TEXTS = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "Proprietary": "Copyright 2020 Someone. All rights reserved.",
+}
+
+
+def test_license_texts_as_printed(spark):
+    """Every licence's own text is found: in one line, wrapped, and wrapped in a comment."""
+    wrapped = lambda t, width, mark: "\n".join(mark + x for p in t.split("\n") for x in (textwrap.wrap(p, width) or [""]))
+    rows = [(f"{name} {k}", t) for name, text in LICENCE_TEXTS.items() for k, t in enumerate([text, wrapped(text, 60, ""), wrapped(text, 30, " * "), "Some words before\n" + wrapped(text, 45, "# ") + "\nand after"])]
+    found = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for key, _ in rows:
+        name = key.split(" ")[0]
+        assert found[key] == (["BSD-2-Clause", name] if name == "BSD-3-Clause" else [name]), key
+    assert set(LICENCE_TEXTS) | {"BSD-2-Clause"} == {name for name, _ in licenses.RULES}
