@@ -28,7 +28,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the smallest id; of rows with the same id, one. Rows without an id stay.
 
-    Documents are linked from a Jaccard similarity of about 0.8 of their five-word shingles.
+    Documents are linked from a Jaccard similarity of 0.8 of their five-word shingles, checked exactly.
     """
     classes = simhash.similar(docs)
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()

@@ -21,16 +21,16 @@ repeated rows are kept, and a null id gets its class from the rows it links with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, out, spread, steps
+from .common import checkpointed, let, out, spread, steps
 
 BUDGET = 4
 SHINGLE = 4
@@ -257,6 +257,50 @@ def forest_links(cut: DataFrame, budget: int, wide_budget: int | None = None) ->
     return cut.repartition(n, "forest", "trie", "i", "j").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
+def confirmed_links(cut: DataFrame, similarity: float, wide_budget: int) -> DataFrame:
+    """(a, b) bigint: in each cell, links whose components are those of all its pairs of nodes of this exact Jaccard similarity.
+
+    ``cut`` has the columns of ``cells``, wide, and shingles (array of distinct hashes, sorted as unsigned). Pairs beyond
+    ``wide_budget``, or of sizes that rule the similarity out, are not compared; nor are pairs that confirmed links join already.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        keys = [t.column(c).to_numpy() for c in ("forest", "trie", "i", "j")]
+        own, values = t.column("own").to_numpy(), t.column("node").to_numpy()
+        wide = t.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
+        sets = [c[k].values.to_numpy().view(np.uint64) for c in t.column("shingles").chunks for k in range(len(c))]
+        sizes = np.array([len(x) for x in sets])
+        order = np.lexsort((own, *reversed(keys)))
+        ends = np.flatnonzero(np.any([np.diff(k[order]) != 0 for k in keys], axis=0)) + 1
+        a, b = [], []
+        for rows in np.split(order, ends):
+            single, to = keys[2][rows[0]] == keys[3][rows[0]], np.arange(len(rows))
+            for k, row in enumerate(rows[:-1]):
+                rest = rows[k + 1 :]
+                near = np.bitwise_count(wide[rest] ^ wide[row]).sum(axis=1, dtype=np.int64) <= wide_budget
+                near &= np.minimum(sizes[rest], sizes[row]) / np.maximum(sizes[rest], sizes[row]) >= similarity
+                if not single:
+                    near &= own[rest] != own[row]
+                for m in (np.flatnonzero(near) + k + 1).tolist():
+                    if to[k] == to[m]:
+                        continue
+                    common = len(np.intersect1d(sets[row], sets[rows[m]], assume_unique=True))
+                    if common / (sizes[row] + sizes[rows[m]] - common) >= similarity:
+                        to[to == to[m]] = to[k]
+                        a.append(values[row])
+                        b.append(values[rows[m]])
+        for at in range(0, len(a), 1 << 16):
+            yield out(schema, {"a": a[at : at + (1 << 16)], "b": b[at : at + (1 << 16)]})
+
+    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.repartition(n, "forest", "trie", "i", "j").mapInArrow(work, "a bigint, b bigint").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each linked node's component. Large-star and small-star until nothing moves."""
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -306,6 +350,9 @@ BANDS = 16
 MINIMA = 4
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
+#: Standard deviations of room that candidates have in all bits, and in the first 64.
+LOOSE = 9.0
+LOOSE_LANE = 6.5
 _STEP_HASHES = 1 << 18
 #: Hubs at most that nodes of a large trie are linked to before the rest is compared in pairs of pieces.
 ROUNDS = 4
@@ -328,9 +375,13 @@ def bit_budget(bits: int, similarity: float = SIMILARITY, deviations: float = 2.
     return round(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
+def words_hash(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(text.encode("utf-8", "replace").translate(_LOWER).split()) if text else b"")
+
+
 def sketch_many(texts: list[str | None], shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For whole texts: a hash of the words (int64), trie keys (int64, n x BANDS) and wide fingerprints (uint64, n x WIDE)."""
-    words = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode("utf-8", "replace").translate(_LOWER).split())) if t else xxhash.xxh3_64_intdigest(b"") for t in texts], np.uint64)
+    words = np.array([words_hash(t) for t in texts], np.uint64)
     keys, wide = np.zeros((len(texts), BANDS), np.uint64), np.zeros((len(texts), WIDE), np.uint64)
     sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
     sizes = np.array([len(h) for h in sets], np.int64)
@@ -347,27 +398,26 @@ def sketch_many(texts: list[str | None], shingle: int = SIMILAR_SHINGLE) -> tupl
     return words.view(np.int64), keys.view(np.int64), wide
 
 
-def stars(dealt: DataFrame, wide: DataFrame, budget: int, piece: int = PIECE, rounds: int = ROUNDS) -> DataFrame:
-    """The nodes of tries of over ``piece`` (forest, trie, node, wide), with the hub each links to (null: none) and its ``star`` (0: none).
+def stars(dealt: DataFrame, values: DataFrame, near: Callable[[Column, Column], Column], piece: int = PIECE, rounds: int = ROUNDS) -> DataFrame:
+    """The nodes of tries of over ``piece`` (forest, trie, node, value), with the hub each links to (null: none) and its ``star`` (0: none).
 
     In each round, one of a trie's nodes that have no star yet is its hub, while over ``piece`` of them are left; those
-    within the budget of it are its star. Nodes of one star are linked already, so ``star_cells`` never compares them
+    whose values are ``near`` its are its star. Nodes of one star are linked already, so ``star_cells`` never compares them
     with each other. A group of near copies that one hub reaches costs as much as it has rows; nodes of different stars,
     or of none, still meet in all pairs, so a group that no few hubs reach costs pairs. The number of rounds is no cap.
     """
     key = ["forest", "trie"]
     large = dealt.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > piece).select(*key)
-    nodes = dealt.join(spread(large), key).join(wide.select("node", "wide"), "node")
-    nodes = checkpointed(nodes.select(*key, "node", "wide", F.lit(0).alias("star"), F.lit(None).cast("bigint").alias("hub")))
-    differ = F.aggregate(F.zip_with("wide", "at.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    nodes = dealt.join(spread(large), key).join(values.select("node", "value"), "node")
+    nodes = checkpointed(nodes.select(*key, "node", "value", F.lit(0).alias("star"), F.lit(None).cast("bigint").alias("hub")))
     for k in range(1, rounds + 1):
-        hubs = nodes.where("star = 0").groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node", "wide")).alias("at"))
+        hubs = nodes.where("star = 0").groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node", "value")).alias("at"))
         hubs = checkpointed(hubs.where(F.col("n") > piece).select(*key, "at"))
         if hubs.isEmpty():
             break
-        new = (F.col("star") == 0) & F.coalesce(differ <= budget, F.lit(False))
+        new = (F.col("star") == 0) & F.coalesce(near(F.col("value"), F.col("at.value")), F.lit(False))
         nodes = nodes.join(spread(hubs), key, "left")
-        nodes = checkpointed(nodes.select(*key, "node", "wide", F.when(new, k).otherwise(F.col("star")).alias("star"), F.when(new, F.col("at.node")).otherwise(F.col("hub")).alias("hub")))
+        nodes = checkpointed(nodes.select(*key, "node", "value", F.when(new, k).otherwise(F.col("star")).alias("star"), F.when(new, F.col("at.node")).otherwise(F.col("hub")).alias("hub")))
     return nodes
 
 
@@ -386,24 +436,51 @@ def star_cells(nodes: DataFrame, piece: int = PIECE) -> DataFrame:
     return cut.select("forest", "trie", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
 
+def confirmed(docs: DataFrame, id_col: str, text_col: str, distinct: DataFrame, roots: DataFrame, similarity: float, budget: int, piece: int = PIECE) -> DataFrame:
+    """(a, b) bigint: links of the exact similarity within the components ``roots`` (node, root) of ``distinct`` (fp, least, wide)."""
+    plain = pa.schema([("fp", pa.int64()), ("id", pa.int64()), ("text", pa.string())])
+    whole = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("wide", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            yield out(plain, {"fp": np.array([words_hash(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64), "id": b.column(0), "text": b.column(1)})
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            yield out(whole, {"node": b.column(0), "root": b.column(1), "wide": b.column(2), "shingles": [np.unique(shingle_hashes(t, SIMILAR_SHINGLE)).view(np.int64) for t in b.column(3).to_pylist()]})
+
+    member = roots.union(roots.select("root", "root").distinct())
+    member = member.join(distinct.select("fp", "least", "wide"), F.col("node") == F.col("fp")).drop("fp")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(hashed, "fp bigint, id bigint, text string")
+    # A node's text is that of its row with the least id, so a text that many rows share is no hot key.
+    texts = texts.join(spread(member), (F.col("fp") == F.col("node")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "root", "wide", "text")
+    sets = checkpointed(texts.mapInArrow(shingled, "node bigint, root bigint, wide array<bigint>, shingles array<bigint>").dropDuplicates(["node"]))
+    dealt = sets.select(F.lit(0).alias("forest"), F.col("root").alias("trie"), "node")
+    common = lambda v, w: F.size(F.array_intersect(v, w))
+    starred = stars(dealt, sets.select("node", F.col("shingles").alias("value")), lambda v, w: let(common(v, w), lambda n: n / (F.size(v) + F.size(w) - n)) >= similarity, piece)
+    cut = cells(dealt, piece, most=piece).unionByName(star_cells(starred, piece))
+    cut = cut.join(spread(sets.select(F.col("node").alias("_node"), "wide", "shingles")), F.col("node") == F.col("_node")).drop("_node")
+    return confirmed_links(cut, similarity, budget).union(starred.where("hub <> node").select("node", "hub"))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
     """Every row's ``doc_id``, ``fp`` (bigint, a hash of its words) and ``component_id``, linked by a similarity of five-word shingles.
 
     Fingerprints of 64 bits that differ by four can't tell a Jaccard similarity of 0.8 (about ten bits differ), and a
-    radius of ten bits leaves a trie join nothing to prune by. So here fingerprints are wide (1,024 bits), which tells
-    the similarity within about 0.03, and their budget follows from it (``bit_budget``). Forests are dealt by minima
-    of hashed shingles, which two documents of a similarity of 0.8 share in one of 16 forests but for 2 cases in 10,000.
-    In a trie, node pairs are walked as for ``near_duplicates``, over the first 64 bits and with a budget that the wide
-    one leaves there but for one case in 100,000; leaves are then compared by all bits. In a trie too large for one
+    radius of ten bits leaves a trie join nothing to prune by. So candidates come from wide fingerprints (1,024 bits, which
+    tell the similarity within about 0.03) with a budget that is loose enough for the shortest texts (of four and five
+    shingles 192 bits differ, five standard deviations below it). Forests are dealt by minima of hashed shingles, which two documents of a
+    similarity of 0.8 share in one of 16 forests but for 2 cases in 10,000. In a trie, node pairs are walked as for
+    ``near_duplicates``, over the first 64 bits; leaves are then compared by all bits. In a trie too large for one
     task, most of a group of near copies is linked to a few hubs before that (``stars``).
 
-    The budget has two standard deviations of room, so nearly all pairs of the similarity or more link, and some pairs a
-    little below it do, too.
+    The components of candidates are then compared anew, each by the exact similarity of its texts' shingle sets
+    (``confirmed``), so that every link is one of the similarity or more.
 
     Rows of equal words (A-Z as a-z, any white space) are one node. No words, or a null text: one class of their own.
     Rows without an id get a class, too, but never name one.
     """
-    lane = bit_budget(64, similarity, 4.5)
+    lane, budget = bit_budget(64, similarity, LOOSE_LANE), bit_budget(64 * WIDE, similarity, LOOSE)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.int64()), ("wide", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,9 +492,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     distinct = checkpointed(of.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("keys", "bits", "wide")]))
     dealt = distinct.select(F.col("fp").alias("node"), F.posexplode("keys").alias("forest", "trie"))
     with_bits = spread(distinct.select(F.col("fp").alias("_node"), F.col("bits").alias("fp"), "wide"))
-    budget = bit_budget(64 * WIDE, similarity)
-    starred = stars(dealt, distinct.select(F.col("fp").alias("node"), "wide"), budget, piece)
+    differ = lambda v, w: F.aggregate(F.zip_with(v, w, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    starred = stars(dealt, distinct.select(F.col("fp").alias("node"), F.col("wide").alias("value")), lambda v, w: differ(v, w) <= budget, piece)
     cut = cells(dealt, piece, most=piece).unionByName(star_cells(starred, piece))
     cut = cut.join(with_bits, cut["node"] == with_bits["_node"]).drop("_node")
     links = forest_links(cut, lane, budget).union(starred.where("hub <> node").select("node", "hub"))
+    links = confirmed(docs, id_col, text_col, distinct, components(links), similarity, budget, piece)
     return classes(of.select("doc_id", "fp"), distinct.select("fp", "least"), links)

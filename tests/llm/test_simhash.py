@@ -180,3 +180,27 @@ def test_star_cells_meet_all_but_one_star(spark):
     for (i, j), rows in own.items():
         met |= {(a, b) for a, p in rows for b, q in rows if a < b and (i == j or p != q)}
     assert met == {(a, b) for a in star for b in star if a < b and (star[a] != star[b] or star[a] == 0)}
+
+
+@pytest.mark.parametrize("piece", [1024, 16])
+def test_similar_is_exact(spark, piece):
+    """Classes are those of all pairs of an exact similarity of 0.8 or more that share a forest, for short texts and for groups a little to both sides of 0.8."""
+    rng, texts = random.Random(11), []
+    for n in range(150):  # four of five shingles in common
+        words = [f"s{rng.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    for n in range(60):  # one base and copies of it with one to four words changed
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100 + n)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 2, 3, 3, 4):
+            w = list(base)
+            for k in rng.sample(range(len(w)), changes):
+                w[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar(docs, piece=piece).collect()}
+    pairs = plain_similarities(texts, 0.8)
+    keys = simhash.sketch_many(texts)[1]
+    met = [(i, j) for i, j in pairs if (keys[i] == keys[j]).any()]  # two cases in 10,000 share no forest
+    assert len(pairs) - len(met) <= 1
+    assert [found[i] for i in range(len(texts))] == joined(len(texts), met)
