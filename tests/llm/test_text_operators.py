@@ -225,6 +225,15 @@ def test_vocabulary_is_not_in_the_repository():
         assert len(json.load(f)["model"]["vocab"]) > 50_000
 
 
+def test_secret_random_after_a_long_prefix(spark):
+    """A value is judged by all its characters, not by its first 64."""
+    token = "A" * 40 + "Z" * 40 + "Kp7Lm2Nw4Rt6Yu8"
+    texts = [f"x {token} y", f"password = {'0' * 70}{token}", "A" * 40 + "z" * 40 + "1" * 9, "password = aabbccdd", "password = abcdefgh", "password = abcdefg"]
+    found = secrets.scan(spark.createDataFrame([(i, t, "o") for i, t in enumerate(texts)], "doc_id bigint, text string, source string"))
+    rows = {r.doc_id: (r.n_live, r.s) for r in found.select("doc_id", "n_live", secrets.joined(F.col("spans")).alias("s")).collect()}
+    assert rows[0] == (1, f"opaque:2:{2 + len(token)}") and [rows[i][0] for i in range(1, 6)] == [1, 0, 0, 1, 0]
+
+
 LICENCE_TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
