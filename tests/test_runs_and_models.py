@@ -97,6 +97,29 @@ def test_mutual_information_ranks():
     assert abs(select.neighbours_information(x, r * x + np.sqrt(1 - r * r) * noise) + 0.5 * np.log(1 - r * r)) < 0.12
 
 
+def plain_information(x, y, k=3, seed=42):
+    """Kraskov's estimate from the whole matrix of distances."""
+    n, rng = len(x), np.random.default_rng(seed)
+    x, y = x / x.std(), y / y.std()
+    x, y = (v + 1e-10 * max(1, np.abs(v).mean()) * rng.standard_normal(n) for v in (x, y))
+    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    r = np.nextafter(np.partition(np.maximum(dx, dy), k, axis=1)[:, k], 0)
+    psi = lambda m: np.concatenate(([0.0], np.cumsum(1 / np.arange(1, n + 1))))[m - 1] - np.euler_gamma
+    return max(0.0, psi(n) + psi(k) - (psi((dx <= r[:, None]).sum(1)) + psi((dy <= r[:, None]).sum(1))).mean())
+
+
+def test_mutual_information_reads_all_rows(spark):
+    rng = np.random.default_rng(6)
+    n = 5000
+    y = rng.normal(size=n)
+    columns = {"weak": 0.3 * y + rng.normal(size=n), "steps": np.round(y + rng.normal(size=n)), "rare": np.where(rng.random(n) < 0.1, y, rng.normal(size=n))}
+    rows = [(i, *map(float, r)) for i, r in enumerate(zip(y, *columns.values(), strict=True))]
+    df = spark.createDataFrame(rows, "i bigint, y double, " + ", ".join(f"{c} double" for c in columns)).repartition(4)
+    found = {r.feature: r.score for r in select.univariate(df, list(columns), "y", "i", 3, score_func="mutual_info").collect()}
+    for name, x in columns.items():
+        assert found[name] == pytest.approx(plain_information(x, y), abs=1e-6)
+
+
 def test_attention_close_to_float():
     rng = np.random.default_rng(4)
     x = rng.integers(-60, 60, (5, 4, 16))
