@@ -79,10 +79,13 @@ class Gram:
         return float(v @ self.products @ v) - 2 * intercept * s + self.n * intercept**2
 
 
-def fold_of(index: Column, n: int, folds: int) -> Column:
-    """Contiguous folds; the first n mod folds have one row more."""
-    size, more = divmod(n, folds)
-    return F.when(index < more * (size + 1), F.floor(index / (size + 1))).otherwise(F.floor((index - more) / max(1, size))).cast("int")
+def fold_of(index: Column, n: int | Column, folds: int) -> Column:
+    """Contiguous folds; the first n mod folds have one row more. n may be a column: the count of the row's own group."""
+    if isinstance(n, Column):
+        size, more = F.floor(n / folds), n % folds
+    else:
+        size, more = map(F.lit, divmod(n, folds))
+    return F.when(index < more * (size + 1), F.floor(index / (size + 1))).otherwise(F.floor((index - more) / F.greatest(F.lit(1), size))).cast("int")
 
 
 def fold_grams(df: DataFrame, columns: Sequence[str], y: str = "y", fold: Column | None = None) -> dict[int, Gram]:

@@ -121,3 +121,12 @@ def test_strings(spark):
         S.stem_part(F.lit("nothing"), 1).alias("none"), S.rule_features(F.lit("a <= 0.5 & b > -1.2e3 and a > 1 & z < 1"), F.lit("rule"), ["a", "b"]).alias("f"), S.significant(F.lit(0.0123456), 3).alias("g"))
     r = row.first()
     assert (r.stem, r.short, r.kind, r.none, r.f, round(r.g, 6)) == ("cache", "abcdefgh...nop", "output", None, ["a", "b"], 0.0123)
+
+
+def test_folds_of_every_benchmark(spark):
+    sizes = {"b": 37, "a": 101, "c": 2, "d": 64}
+    df = table(spark, sizes)
+    counts = df.groupBy("benchmark").agg(F.count("*").alias("n"))
+    rows = df.join(counts, "benchmark").select("benchmark", "row_idx", stats.fold_of(F.col("row_idx"), F.col("n"), 3).alias("fold")).collect()
+    want = {(b, int(i)): k for b, n in sizes.items() for k, part in enumerate(np.array_split(np.arange(n), 3)) for i in part}
+    assert {(r.benchmark, r.row_idx): r.fold for r in rows} == want
