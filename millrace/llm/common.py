@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -14,15 +16,23 @@ STEP_ROWS = 512
 STEP_BYTES = 8 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The session's ``spark.checkpoint.dir`` names it; only where that is unset (tests) a temporary folder is used.
+    Where that is unset, a temporary folder is made, but in local mode (tests) only: elsewhere executors could not see it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -79,3 +89,30 @@ class Recent(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What ``make`` gives, kept by this worker from task to task until another key is asked for.
+
+    One thing only is kept, so that a worker that serves one operator after another holds the caches of the last.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def fitted(rows: DataFrame, order: list[Column], limit: int, fit: Callable[[pa.Table], object]) -> object:
+    """``fit`` of the first ``limit`` rows in this order, run in one task; only the model comes to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(parts)))], pa.binary())], ["model"])
+
+    made = rows.orderBy(*order).limit(limit).coalesce(1).mapInArrow(work, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else None

@@ -6,13 +6,16 @@ popcount is corrected for the rate of false positives that its filled slots impl
 (ties: the language with more training rows, then by name).
 
 Texts are lower-cased and runs of other characters than letters become one space, so n-grams see word ends.
-Training reads at most ``per_language`` rows of each language (and ``rows`` in all), of at most ``chars`` characters
-each, chosen by a hash of the id; every text is predicted whole. An n-gram belongs to a language where it occurs in
-``at_least`` of its training rows and in at least ``share`` of the rate that it has in its strongest language, which
-keeps out foreign words.
-
-Nulls: a null text, or one without a letter, is ``und`` with score 0. Rows without a language aren't trained on. Without
-any training row all texts are ``und``.
+Training reads about ``per_language`` rows of each language, or fewer so that ``rows`` rows (one for each language, if there
+are more languages) are the bound in all; they are whole texts of any length, the first by a hash of id and text. N-grams
+are made where the rows are read, and one task fits the filter. Every text is predicted whole. An n-gram belongs to a
+language where it occurs in ``at_least`` of its training rows and in at least ``share`` of the rate that it has in its
+strongest language, which keeps out foreign words. The filter has ``slots`` slots, fewer where there are many languages,
+so that it stays within ``FILTER_BYTES``.
+
+Nulls: a null text, or one without a letter, is ``und`` with score 0. Rows without a language or id aren't trained on, nor
+are texts without a letter. Without any training row all texts are ``und``. Repeated rows are kept; where equal rows tie for
+a place in training, either is used. Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import out, steps
+from .common import checkpointed, fitted, out, spread, steps
 
 SIZES = (2, 3, 4)
 SLOTS = 1 << 21
+FILTER_BYTES = 128 << 20
 HASHES = 2
 ROWS = 8000
 PER_LANGUAGE = 1500
-CHARS = 6000
 AT_LEAST = 3
 SHARE = 0.1
 UND = "und"
@@ -66,31 +69,36 @@ def ngrams(c: np.ndarray, n: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def distinct_ngrams(text: str, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
+    """The distinct n-grams of a text."""
+    c = codes(text)
+    return np.unique(np.concatenate([ngrams(c, n) for n in sizes])) if len(c) else np.zeros(0, np.uint64)
+
+
 class Model:
-    """The filter and what corrects its counts."""
+    """The filter and what corrects its counts. Learned from rows of (language, distinct n-grams of a text)."""
 
-    def __init__(self, rows: list[tuple[str, str]], sizes: tuple[int, ...] = SIZES, slots: int = SLOTS, at_least: int = AT_LEAST, share: float = SHARE) -> None:
-        by: dict[str, list[str]] = {}
-        for lang, text in rows:
-            by.setdefault(lang, []).append(text)
+    def __init__(self, rows: list[tuple[str, np.ndarray]], sizes: tuple[int, ...] = SIZES, slots: int = SLOTS, at_least: int = AT_LEAST, share: float = SHARE) -> None:
+        by: dict[str, list[np.ndarray]] = {}
+        for lang, grams in rows:
+            by.setdefault(lang, []).append(grams)
         #: By training rows, then by name: the order in which ties are decided.
         self.languages = sorted(by, key=lambda x: (-len(by[x]), x))
-        self.sizes, self.mask = sizes, np.uint64(slots - 1)
         planes = max(1, -(-len(self.languages) // 64))
         kind = np.uint8 if len(self.languages) <= 8 else np.uint64
+        while planes * slots * np.dtype(kind).itemsize > FILTER_BYTES and slots > 1 << 12:
+            slots //= 2
+        self.sizes, self.mask = sizes, np.uint64(slots - 1)
         self.filter = np.zeros((planes, slots), kind)
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for i, lang in enumerate(self.languages):
-            grams = [np.unique(np.concatenate([ngrams(c, n) for n in sizes])) for t in by[lang] if len(c := codes(t))]
-            seen[i] = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, int))
-        rates = [(h, n / max(1, len(by[self.languages[i]]))) for i, (h, n) in seen.items()]
+        seen = {i: np.unique(np.concatenate(by[lang]), return_counts=True) for i, lang in enumerate(self.languages)}
+        rates = [(h, n / len(by[self.languages[i]])) for i, (h, n) in seen.items()]
         every = np.unique(np.concatenate([h for h, _ in rates])) if rates else np.zeros(0, np.uint64)
         best = np.zeros(len(every))
         for h, r in rates:
             at = np.searchsorted(every, h)
             best[at] = np.maximum(best[at], r)
         for i, (h, n) in seen.items():
-            rate = n / max(1, len(by[self.languages[i]]))
+            rate = n / len(by[self.languages[i]])
             own = h[(n >= min(at_least, len(by[self.languages[i]]))) & (rate >= share * best[np.searchsorted(every, h)])]
             for slot in self.places(own):
                 self.filter[i // 64, slot] |= kind(1) << kind(i % 64)
@@ -131,22 +139,32 @@ class Model:
         return [UND if v else self.languages[b] for v, b in zip(void, best, strict=True)], np.where(void, 0.0, score)
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = ROWS, per_language: int = PER_LANGUAGE, chars: int = CHARS) -> list[tuple[str, str]]:
-    """At most ``rows`` rows of (language, text), evenly by language."""
-    usable = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= chars) & (F.length(text_col) > 0))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(2000).collect()}
-    each = min(per_language, rows // max(1, len(counts)) or 1)
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col(lang_col) == lang) & (draw < int((1 << 40) * min(1.0, each / n))))
-    return [(r[0], r[1]) for r in usable.where(chosen).select(lang_col, text_col).limit(2 * rows).collect()]
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = ROWS, per_language: int = PER_LANGUAGE) -> tuple[DataFrame, int]:
+    """(h, lang, grams) and a bound: the bound's first rows by h are those to learn from, evenly by language."""
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    counts = checkpointed(usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")))
+    languages = counts.count()
+    bound, each = max(rows, languages), min(per_language, max(1, rows // max(1, languages)))
+    # A row is drawn with the chance that gives its language so many rows; the least hash is always drawn.
+    drawn = (F.col("h") == F.col("first")) | (F.pmod("h", F.lit(1 << 40)) < F.lit(float(1 << 40)) * each / F.col("n"))
+    few = counts.select(F.col("lang").alias("_lang"), "n", "first")
+    few = F.broadcast(few) if languages <= rows else spread(few)
+    chosen = usable.join(few, F.col("lang") == F.col("_lang")).where(drawn).select("h", "lang", "text", (F.col("h") != F.col("first")).alias("later")).dropDuplicates(["h", "lang"])
+    schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("later", pa.bool_()), ("grams", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            yield out(schema, {"h": b.column(0), "lang": b.column(1), "later": b.column(3), "grams": [distinct_ngrams(t).tobytes() for t in b.column(2).to_pylist()]})
+
+    return chosen.mapInArrow(work, "h bigint, lang string, later boolean, grams binary"), bound
 
 
-def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, per_language: int = PER_LANGUAGE, chars: int = CHARS) -> DataFrame:
+def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Every row's doc_id, held_out, lang_pred and score. Rows that ``held_out`` marks, or of null id, aren't learned from."""
     learned = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.coalesce(held_out, F.lit(True)).alias("_out"))
-    model = Model(training_rows(learned.where(~F.col("_out")), "_id", "_text", "_lang", rows, per_language, chars))
+    chosen, bound = training_rows(learned.where(~F.col("_out")), "_id", "_text", "_lang", rows, per_language)
+    fit = lambda t: Model([(lang, np.frombuffer(g, np.uint64)) for lang, g in zip(t.column("lang").to_pylist(), t.column("grams").to_pylist(), strict=True) if g])
+    model = fitted(chosen, ["later", "h", "lang"], bound, fit) or Model([])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 

@@ -19,7 +19,6 @@ import sys
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, steps
+from .common import Recent, kept, steps
 from .tokens import byte_letters, library
 
 LENGTH = 2048
@@ -36,7 +35,7 @@ END = 1
 BLOCK = 1 << 20
 LINEAR = 1.0
 QUADRATIC = 1.0 / LENGTH
-CACHE = 300_000
+CACHE = 100_000
 CACHED_BYTES = 64
 
 
@@ -70,10 +69,9 @@ def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
 def worker_ids(path: str) -> Ids:
     """A worker keeps its cache from task to task."""
-    return Ids(path)
+    return kept(("ids", path), lambda: Ids(path))
 
 
 def pack(lengths: list[int], size: int = LENGTH, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:

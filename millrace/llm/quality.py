@@ -6,10 +6,12 @@ vectors that stand within ``REACH`` tokens of it in the training texts, and its
 tokens' normed word vectors, and the mean of its distinct tokens' vectors. A network of one hidden layer gives a logit,
 and a temperature that fits a part of the training rows held back from it makes that a probability.
 
-Training reads at most ``rows`` labelled rows, chosen by a hash of the id, and only whole texts of at most ``chars``
-characters; every text is scored whole. Vectors and weights are of fixed size. Nulls: a null text is empty and is scored
-as such; labels that are null are not used; a document with two labels is trained on with both. With fewer than two
-classes of labels, all scores are the share of label 1 (0.5 without labels).
+Training reads the first ``rows`` labelled rows by a hash of id, label and text, whole texts of any length; tokens become
+buckets where the rows are read, and one task fits the model. Every text is scored whole. Vectors and weights are of fixed
+size. Nulls: a null text is empty and is scored as such; rows whose label or id is null are not learned from. A document
+with two labels, or an id that several documents have, gives a training row for each pair of them, all within ``rows``;
+rows that are equal in all of it tie, and either is used. With fewer than two classes of labels, all scores are the share
+of label 1 (0.5 without labels). Empty tables give no rows; extra columns are kept, one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, steps
+from .common import Recent, fitted, kept, out, steps
 
 BUCKETS = 1 << 15
 WIDTH = 64
@@ -33,7 +35,8 @@ REACH = 2
 HIDDEN = 48
 EPOCHS = 60
 ROWS = 6000
-CHARS = 30_000
+#: Tokens of which a worker keeps the buckets.
+CACHE = 100_000
 THRESHOLD = 0.3
 SEED = 7
 
@@ -58,14 +61,14 @@ def _form(token: str) -> tuple[int, ...]:
     return tuple(own)
 
 
-_FORMS = Recent(_form, 300_000, 64)
 _AGAIN = "\0again"
 
 
 def bucketed(text: str | None) -> np.ndarray:
     """The buckets of a text's tokens, in order."""
     found = _TOKEN(text) if text else []
-    of, again, made, last = _FORMS.__getitem__, _bucket(_AGAIN), [], None
+    forms = kept(("quality",), lambda: Recent(_form, CACHE, 64))
+    of, again, made, last = forms.__getitem__, _bucket(_AGAIN), [], None
     for token in found:
         made += of(token)
         if token == last:
@@ -153,10 +156,11 @@ class Network:
 
 
 class Model:
-    def __init__(self, rows: list[tuple[str | None, int]]) -> None:
-        texts = [bucketed(t) for t, _ in rows]
+    """Fitted on documents (the buckets of their tokens) and labels."""
+
+    def __init__(self, texts: list[np.ndarray], labels: list[int]) -> None:
         self.vectors = word_vectors(texts)
-        self.network = Network(pooled(texts, self.vectors).astype(np.float64), np.array([float(y) for _, y in rows]))
+        self.network = Network(pooled(texts, self.vectors).astype(np.float64), np.array(labels, np.float64))
         self.vectors = self.vectors.astype(np.float16)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -165,17 +169,29 @@ class Model:
         return self.network.probabilities(pooled([bucketed(t) for t in texts], self.vectors).astype(np.float64))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str, rows: int = ROWS, chars: int = CHARS) -> list[tuple[str | None, int]]:
-    """At most ``rows`` labelled rows that held_out doesn't mark. held_out is a column of the label's id."""
-    chosen = labels.where(F.col(label_col).isNotNull() & ~held_out).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str, rows: int = ROWS) -> DataFrame:
+    """(h, label, buckets): a labelled row's hash, label and token buckets (binary, int32). held_out is a column of the label's id."""
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
-    texts = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= chars).select(F.col(id_col).alias("_of"), F.col(text_col).alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("text"))
     found = texts.join(F.broadcast(chosen), F.col("_of") == F.col("_id"))  # bounded by rows
-    return sorted(((r[1], r[2]) for r in found.select("_of", "_text", "_label").limit(4 * rows).collect()), key=lambda r: (r[0] or "", r[1]))
+    found = found.select(F.xxhash64("_id", "_label", "text").alias("h"), F.col("_label").alias("label"), "text").dropDuplicates(["h", "label"])
+    schema = pa.schema([("h", pa.int64()), ("label", pa.int32()), ("buckets", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            yield out(schema, {"h": b.column(0), "label": b.column(1), "buckets": [bucketed(t).tobytes() for t in b.column(2).to_pylist()]})
+
+    return found.mapInArrow(work, "h bigint, label int, buckets binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = ROWS) -> Model:
+    """A model of at most ``rows`` labelled rows that held_out doesn't mark."""
 
+    def model(t: pa.Table) -> Model:
+        return Model([np.frombuffer(x, np.int32) for x in t.column("buckets").to_pylist()], t.column("label").to_pylist())
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = ROWS, chars: int = CHARS) -> Model:
-    return Model(training_rows(docs, labels, held_out, id_col, text_col, label_col, rows, chars))
+    return fitted(training_rows(docs, labels, held_out, id_col, text_col, label_col, rows), ["h", "label"], rows, model) or Model([], [])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

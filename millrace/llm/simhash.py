@@ -7,10 +7,12 @@ distinct fingerprints only, so exact copies never meet each other:
    hold a differing bit, so ``b - 4`` blocks are equal; one forest is made for each choice of those blocks, and its
    tries (one for each value of the chosen blocks) hold only fingerprints that agree there. ``b`` follows from the
    number of fingerprints, so that a trie stays small on average at any size;
-2. a trie that is too large for one task is cut into pieces, and each pair of pieces is one task's work;
-3. a task walks its tries in pairs of nodes from the roots down, adding up differing bits, and drops a pair as soon
-   as it is over the budget. Small node pairs are compared leaf by leaf. Links are merged in the task (union-find), so
-   it returns a spanning forest, never all pairs of a group;
+2. in a trie that is too large for one task, all nodes are first compared with a few of them (hubs). What hubs link is a
+   star, and nodes of one star need not meet again. The rest is cut into pieces, and pairs of pieces of different stars
+   (or of none) are cells;
+3. cells are dealt to tasks and sorted, so that a task holds few of them at once. It walks a cell's tries in pairs of nodes
+   from the roots down, adding up differing bits, and drops a pair as soon as it is over the budget. Small node pairs are
+   compared leaf by leaf. Links are merged in the task (union-find), so it returns a spanning forest, never all pairs;
 4. the forests are merged to components by alternating large-star and small-star steps, each checkpointed.
 
 ``similar`` links documents by a Jaccard similarity, with wider fingerprints and another dealing (see there).
@@ -42,6 +44,8 @@ MEAN = 256
 #: Node pairs in work at once, and leaf pairs below which a node pair is compared leaf by leaf.
 FRONTIER = 1 << 18
 LEAVES = 16
+#: Nodes of a large trie that all others are compared with first.
+HUBS = 8
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LANES = np.uint64(0x0001000100010001)
@@ -198,26 +202,117 @@ def walk(fp: np.ndarray, tree: np.ndarray, left: np.ndarray, right: np.ndarray,
     return links.to
 
 
+KEY = ("forest", "trie")
+CELL = (*KEY, "i", "j")
+#: Rows of whole cells, and bytes of them, that a task works on at once, about (one cell may be larger).
+CELL_ROWS = 1 << 14
+CELL_BYTES = 16 << 20
+
+
 def trie_links(distinct: DataFrame, budget: int = BUDGET, piece: int = PIECE, mean: int = MEAN) -> DataFrame:
     """(a, b) bigint: links whose components are those of all pairs of ``distinct.fp`` within the budget."""
     forests = plan_blocks(distinct.count(), budget, mean)
     masks = [sum(1 << bit for bit in bits) for bits in forests]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    dealt = distinct.select(F.col("fp").alias("node"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("forest", "trie"))
-    return forest_links(cells(dealt, piece).withColumn("fp", F.col("node")), budget)
+    dealt = distinct.select(F.col("fp").alias("node"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias(*KEY), F.lit(1).alias("weight"))
+    near = lambda v, w: F.bit_count(v.bitwiseXOR(w)) <= budget
+    cut, links = cells(dealt, distinct.select(F.col("fp").alias("node"), F.col("fp").alias("value")), near, piece)
+    found = forest_links(cut.withColumn("fp", F.col("node")), budget)
+    return found if links is None else found.union(links)
 
 
-def cells(dealt: DataFrame, piece: int = PIECE, most: int | None = None) -> DataFrame:
-    """Deal the nodes of each trie (node, forest, trie) to cells (forest, trie, i, j) that fit a task.
+def cells(dealt: DataFrame, values: DataFrame, near: Callable[[Column, Column], Column], piece: int = PIECE) -> tuple[DataFrame, DataFrame | None]:
+    """Deal the nodes of each trie (forest, trie, node, weight) to cells (forest, trie, i, j) that fit a task, and links already found.
 
-    A trie of one node (or of more than ``most``) goes; a large one is cut to pieces by hash, with a cell for each
-    pair of pieces. ``own`` is a node's piece.
+    ``own`` is a node's piece. A trie of one node goes; one of up to ``piece`` in weight is one cell. In a larger one, hubs link
+    what is ``near`` them by ``values`` (node, value), and ``star_cells`` cuts it to pieces.
+    """
+    sizes = checkpointed(dealt.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("weight").alias("all")).where("n > 1").drop("n"))
+    nodes = dealt.join(spread(sizes), [*KEY])
+    zero = F.lit(0)
+    small = nodes.where(F.col("all") <= piece).select(*KEY, "node", zero.alias("i"), zero.alias("j"), zero.alias("own"))
+    if sizes.where(F.col("all") > piece).isEmpty():
+        return small, None
+    starred, links = stars(nodes.where(F.col("all") > piece).drop("all"), values, near)
+    return small.unionByName(star_cells(starred, piece)), links
+
+
+def stars(nodes: DataFrame, values: DataFrame, near: Callable[[Column, Column], Column], hubs: int = HUBS) -> tuple[DataFrame, DataFrame]:
+    """The nodes of large tries with their ``star`` (0: none), and links (a, b) whose components have each star in one piece.
+
+    ``hubs`` nodes of each trie are chosen by hash. A node near one of them is of that hub's star; hubs that share a node are one
+    star. A group of near copies that hubs reach thus costs as much as it has rows; nodes of different stars, or of none,
+    still meet in all pairs, so a large trie that few hubs reach costs pairs. The number of hubs is no cap.
     """
-    sizes = dealt.groupBy("forest", "trie").agg(F.count("*").alias("n")).where(F.col("n").between(2, most) if most else F.col("n") > 1)
-    cut = dealt.join(spread(sizes), ["forest", "trie"]).select("forest", "trie", "node", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    cut = cut.select("forest", "trie", "node", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-    return cut.select("forest", "trie", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(hubs)).cast("int")
+    chosen = nodes.groupBy(*KEY, slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("x")).select(*KEY, F.col("x.node").alias("node"))
+    listed = checkpointed(chosen.join(spread(values), "node").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("node", "value"))).alias("hubs")))  # at most ``hubs``
+    met = nodes.join(values, "node").join(spread(listed), [*KEY])
+    flags = F.aggregate(F.reverse("hubs"), F.lit(0), lambda m, h: m * 2 + near(F.col("value"), h["value"]).cast("int"))
+    met = checkpointed(met.select(*KEY, "node", "weight", flags.alias("mask")))
+    masks = met.where("mask > 0").groupBy(*KEY).agg(F.collect_set("mask").alias("masks"))  # at most 2 ** hubs numbers
+    schema = pa.schema([("forest", pa.int32()), ("trie", pa.int64()), ("star", pa.list_(pa.int32())), ("hub", pa.list_(pa.int64()))])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for hub, given in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                to = Links(len(hub))
+                for m in given:
+                    at = [k for k in range(len(hub)) if m >> k & 1]
+                    to.add(np.array(at[1:], int), np.array(at[:-1], int))
+                rows.append(to.to.tolist())
+            yield out(schema, {"forest": b.column(0), "trie": b.column(1), "star": [[k + 1 for k in r] for r in rows], "hub": [[hub[k] for k in r] for hub, r in zip(b.column(2).to_pylist(), rows, strict=True)]})
+
+    joined = listed.select(*KEY, F.transform("hubs", lambda h: h["node"]).alias("hub")).join(masks, [*KEY])
+    found = joined.mapInArrow(merged, "forest int, trie bigint, star array<int>, hub array<bigint>")
+    met = met.join(spread(found), [*KEY], "left").withColumn("at", F.expr("case when mask > 0 then bit_count((mask & -mask) - 1) + 1 end"))
+    met = checkpointed(met.select(*KEY, "node", "weight", F.coalesce(F.element_at("star", F.col("at")), F.lit(0)).alias("star"), F.element_at("hub", F.col("at")).alias("hub")))
+    return met.drop("hub"), met.where("hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
+def star_cells(nodes: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Cells of the nodes of ``stars``: pieces hold nodes of one star, and pieces of the same star never meet."""
+    trie = Window.partitionBy(*KEY)
+    sizes = nodes.groupBy(*KEY, "star").agg(F.ceil(F.sum("weight") / piece).cast("int").alias("pieces"))
+    sizes = sizes.withColumn("end", F.sum("pieces").over(trie.orderBy("star")).cast("int")).withColumn("all", F.sum("pieces").over(trie).cast("int"))
+    cut = nodes.select(*KEY, "star", "node").join(spread(sizes), [*KEY, "star"]).withColumn("first", F.col("end") - F.col("pieces"))
+    cut = cut.withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    none = F.array().cast("array<int>")
+    below = F.when(F.col("first") > 0, F.sequence(F.lit(0), F.col("first") - 1)).otherwise(none)
+    above = F.when(F.col("end") < F.col("all"), F.sequence(F.col("end"), F.col("all") - 1)).otherwise(none)
+    others = F.when(F.col("star") == 0, F.sequence(F.lit(0), F.col("all") - 1)).otherwise(F.concat(below, above))
+    cut = cut.select(*KEY, "node", "own", F.explode(others).alias("other"))
+    return cut.select(*KEY, "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+
+def in_cells(cut: DataFrame, work: Callable[[pa.Table, list[np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b) bigint: the links that ``work(table, cell keys, own)`` finds in whole cells, a bounded number of them at once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b = work(t, [t.column(c).to_numpy() for c in CELL], t.column("own").to_numpy())
+        for at in range(0, len(a), 1 << 16):
+            yield out(schema, {"a": a[at : at + (1 << 16)], "b": b[at : at + (1 << 16)]})
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                held.append(whole.slice(at, 1024))
+                if sum(b.num_rows for b in held) < CELL_ROWS and sum(b.nbytes for b in held) < CELL_BYTES:
+                    continue
+                t = pa.Table.from_batches(held)
+                last = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in CELL])
+                cut_at = len(last) - int(last.sum())
+                if cut_at:
+                    yield from links(t.slice(0, cut_at).combine_chunks())
+                    held = t.slice(cut_at).combine_chunks().to_batches()
+        if sum(b.num_rows for b in held):
+            yield from links(pa.Table.from_batches(held).combine_chunks())
+
+    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.repartition(n, *CELL).sortWithinPartitions(*CELL).mapInArrow(streamed, "a bigint, b bigint").distinct()
 
 
 def forest_links(cut: DataFrame, budget: int, wide_budget: int | None = None) -> DataFrame:
@@ -225,16 +320,9 @@ def forest_links(cut: DataFrame, budget: int, wide_budget: int | None = None) ->
 
     ``cut`` has the columns of ``cells``, fp and, with ``wide_budget``, wide (array of words of 64 bits).
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
+    def work(t: pa.Table, keys: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fp = t.column("fp").to_numpy().view(np.uint64)
-        keys = [t.column(c).to_numpy() for c in ("forest", "trie", "i", "j")]
-        own = t.column("own").to_numpy()
         order = np.lexsort((fp, own, *reversed(keys)))
         fp, own, keys = fp[order], own[order], [k[order] for k in keys]
         values = t.column("node").to_numpy()[order]
@@ -249,12 +337,9 @@ def forest_links(cut: DataFrame, budget: int, wide_budget: int | None = None) ->
         pairs = np.flatnonzero(~single[:-1] & ~single[1:] & (cell[head][:-1] == cell[head][1:])) if len(head) > 1 else np.array([], int)
         to = walk(fp, tree, np.concatenate((trees[single], trees[pairs])), np.concatenate((trees[single], trees[pairs + 1])), budget, wide, wide_budget or 0)
         linked = np.flatnonzero(to != np.arange(len(to)))
-        for at in range(0, len(linked), 1 << 16):
-            s = linked[at : at + (1 << 16)]
-            yield out(schema, {"a": values[s], "b": values[to[s]]})
+        return values[linked], values[to[linked]]
 
-    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut.repartition(n, "forest", "trie", "i", "j").mapInArrow(work, "a bigint, b bigint").distinct()
+    return in_cells(cut, work)
 
 
 def confirmed_links(cut: DataFrame, similarity: float, wide_budget: int) -> DataFrame:
@@ -263,15 +348,9 @@ def confirmed_links(cut: DataFrame, similarity: float, wide_budget: int) -> Data
     ``cut`` has the columns of ``cells``, wide, and shingles (array of distinct hashes, sorted as unsigned). Pairs beyond
     ``wide_budget``, or of sizes that rule the similarity out, are not compared; nor are pairs that confirmed links join already.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        keys = [t.column(c).to_numpy() for c in ("forest", "trie", "i", "j")]
-        own, values = t.column("own").to_numpy(), t.column("node").to_numpy()
+    def work(t: pa.Table, keys: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values = t.column("node").to_numpy()
         wide = t.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(own), -1)
         sets = [c[k].values.to_numpy().view(np.uint64) for c in t.column("shingles").chunks for k in range(len(c))]
         sizes = np.array([len(x) for x in sets])
@@ -294,11 +373,9 @@ def confirmed_links(cut: DataFrame, similarity: float, wide_budget: int) -> Data
                         to[to == to[m]] = to[k]
                         a.append(values[row])
                         b.append(values[rows[m]])
-        for at in range(0, len(a), 1 << 16):
-            yield out(schema, {"a": a[at : at + (1 << 16)], "b": b[at : at + (1 << 16)]})
+        return np.array(a, np.int64), np.array(b, np.int64)
 
-    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut.repartition(n, "forest", "trie", "i", "j").mapInArrow(work, "a bigint, b bigint").distinct()
+    return in_cells(cut, work)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,22 +397,22 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(of: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """``of`` (doc_id, fp) with each row's ``component_id``; ``distinct`` has each fp's ``least`` id, ``links`` pairs of fp."""
+    """``of`` (doc_id, fp and more) with each row's ``component_id`` and ``root``; ``distinct`` has each fp's ``least`` id, ``links`` pairs of fp."""
     roots = components(links)
     # The members of a component: its root, and what has that root.
     member = roots.union(roots.select("root", "root").distinct())
-    named = member.join(distinct, member["node"] == distinct["fp"]).select("node", "root", "least")
+    named = member.join(distinct.select("fp", "least"), member["node"] == distinct["fp"]).select("node", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.select("node", "root").join(spread(least), "root").select(F.col("node").alias("fp"), "component")
-    final = spread(distinct.join(named, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("component", "least").alias("component_id")))
-    return of.join(final, of["fp"] == final["key"]).select("doc_id", "fp", "component_id")
+    named = named.select("node", "root").join(spread(least), "root").select(F.col("node").alias("fp"), "component", "root")
+    final = spread(distinct.join(named, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return of.join(final, of["fp"] == final["key"]).drop("key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, piece: int = PIECE, mean: int = MEAN) -> DataFrame:
     """Every row's ``doc_id``, ``fp`` (bigint) and ``component_id``: the smallest id that its links reach."""
     of = checkpointed(fingerprints(docs, id_col, text_col))
     distinct = checkpointed(of.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    return classes(of, distinct, trie_links(distinct, budget, piece, mean))
+    return classes(of, distinct, trie_links(distinct, budget, piece, mean)).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp") -> F.Column:
@@ -354,8 +431,8 @@ SIMILAR_SHINGLE = 5
 LOOSE = 9.0
 LOOSE_LANE = 6.5
 _STEP_HASHES = 1 << 18
-#: Hubs at most that nodes of a large trie are linked to before the rest is compared in pairs of pieces.
-ROUNDS = 4
+#: Shingles that weigh as one node, where pieces of shingle sets are made.
+SHINGLES = 1024
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -398,104 +475,85 @@ def sketch_many(texts: list[str | None], shingle: int = SIMILAR_SHINGLE) -> tupl
     return words.view(np.int64), keys.view(np.int64), wide
 
 
-def stars(dealt: DataFrame, values: DataFrame, near: Callable[[Column, Column], Column], piece: int = PIECE, rounds: int = ROUNDS) -> DataFrame:
-    """The nodes of tries of over ``piece`` (forest, trie, node, value), with the hub each links to (null: none) and its ``star`` (0: none).
+def differing(v: Column, w: Column) -> Column:
+    """Bits that differ in two arrays of words."""
+    return F.aggregate(F.zip_with(v, w, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
-    In each round, one of a trie's nodes that have no star yet is its hub, while over ``piece`` of them are left; those
-    whose values are ``near`` its are its star. Nodes of one star are linked already, so ``star_cells`` never compares them
-    with each other. A group of near copies that one hub reaches costs as much as it has rows; nodes of different stars,
-    or of none, still meet in all pairs, so a group that no few hubs reach costs pairs. The number of rounds is no cap.
-    """
-    key = ["forest", "trie"]
-    large = dealt.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > piece).select(*key)
-    nodes = dealt.join(spread(large), key).join(values.select("node", "value"), "node")
-    nodes = checkpointed(nodes.select(*key, "node", "value", F.lit(0).alias("star"), F.lit(None).cast("bigint").alias("hub")))
-    for k in range(1, rounds + 1):
-        hubs = nodes.where("star = 0").groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node", "value")).alias("at"))
-        hubs = checkpointed(hubs.where(F.col("n") > piece).select(*key, "at"))
-        if hubs.isEmpty():
-            break
-        new = (F.col("star") == 0) & F.coalesce(near(F.col("value"), F.col("at.value")), F.lit(False))
-        nodes = nodes.join(spread(hubs), key, "left")
-        nodes = checkpointed(nodes.select(*key, "node", "value", F.when(new, k).otherwise(F.col("star")).alias("star"), F.when(new, F.col("at.node")).otherwise(F.col("hub")).alias("hub")))
-    return nodes
 
-
-def star_cells(nodes: DataFrame, piece: int = PIECE) -> DataFrame:
-    """``cells`` for the nodes of ``stars``: pieces hold nodes of one star, and pieces of the same star never meet."""
-    trie = Window.partitionBy("forest", "trie")
-    sizes = nodes.groupBy("forest", "trie", "star").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
-    sizes = sizes.withColumn("end", F.sum("pieces").over(trie.orderBy("star")).cast("int")).withColumn("all", F.sum("pieces").over(trie).cast("int"))
-    cut = nodes.select("forest", "trie", "star", "node").join(spread(sizes), ["forest", "trie", "star"]).withColumn("first", F.col("end") - F.col("pieces"))
-    cut = cut.withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    none = F.array().cast("array<int>")
-    below = F.when(F.col("first") > 0, F.sequence(F.lit(0), F.col("first") - 1)).otherwise(none)
-    above = F.when(F.col("end") < F.col("all"), F.sequence(F.col("end"), F.col("all") - 1)).otherwise(none)
-    others = F.when(F.col("star") == 0, F.sequence(F.lit(0), F.col("all") - 1)).otherwise(F.concat(below, above))
-    cut = cut.select("forest", "trie", "node", "own", F.explode(others).alias("other"))
-    return cut.select("forest", "trie", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What names a row: its id, and a hash of its text."""
+    return F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th")
 
 
 def confirmed(docs: DataFrame, id_col: str, text_col: str, distinct: DataFrame, roots: DataFrame, similarity: float, budget: int, piece: int = PIECE) -> DataFrame:
-    """(a, b) bigint: links of the exact similarity within the components ``roots`` (node, root) of ``distinct`` (fp, least, wide)."""
-    plain = pa.schema([("fp", pa.int64()), ("id", pa.int64()), ("text", pa.string())])
+    """(a, b) bigint: links of the exact similarity within the components ``roots`` (node, root) of ``distinct`` (fp, least, th, wide)."""
     whole = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("wide", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
-            yield out(plain, {"fp": np.array([words_hash(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64), "id": b.column(0), "text": b.column(1)})
-
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            yield out(whole, {"node": b.column(0), "root": b.column(1), "wide": b.column(2), "shingles": [np.unique(shingle_hashes(t, SIMILAR_SHINGLE)).view(np.int64) for t in b.column(3).to_pylist()]})
+            texts, node = b.column(3).to_pylist(), b.column(0).to_numpy()
+            own = np.array([words_hash(t) for t in texts], np.uint64).view(np.int64) == node  # an id may have other texts, too
+            at = np.flatnonzero(own)
+            yield out(whole, {"node": node[at], "root": b.column(1).take(pa.array(at)), "wide": b.column(2).take(pa.array(at)), "shingles": [np.unique(shingle_hashes(texts[k], SIMILAR_SHINGLE)).view(np.int64) for k in at]})
 
     member = roots.union(roots.select("root", "root").distinct())
-    member = member.join(distinct.select("fp", "least", "wide"), F.col("node") == F.col("fp")).drop("fp")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(hashed, "fp bigint, id bigint, text string")
+    member = member.join(distinct.select("fp", F.coalesce("least", "th").alias("at"), "wide"), F.col("node") == F.col("fp")).drop("fp")
     # A node's text is that of its row with the least id, so a text that many rows share is no hot key.
-    texts = texts.join(spread(member), (F.col("fp") == F.col("node")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "root", "wide", "text")
+    doc_id, th = row_key(id_col, text_col)
+    texts = docs.select(F.coalesce(doc_id, th).alias("_at"), F.col(text_col).alias("text")).join(spread(member), F.col("_at") == F.col("at")).select("node", "root", "wide", "text")
     sets = checkpointed(texts.mapInArrow(shingled, "node bigint, root bigint, wide array<bigint>, shingles array<bigint>").dropDuplicates(["node"]))
-    dealt = sets.select(F.lit(0).alias("forest"), F.col("root").alias("trie"), "node")
-    common = lambda v, w: F.size(F.array_intersect(v, w))
-    starred = stars(dealt, sets.select("node", F.col("shingles").alias("value")), lambda v, w: let(common(v, w), lambda n: n / (F.size(v) + F.size(w) - n)) >= similarity, piece)
-    cut = cells(dealt, piece, most=piece).unionByName(star_cells(starred, piece))
+    dealt = sets.select(F.lit(0).alias("forest"), F.col("root").alias("trie"), "node", (1 + F.floor(F.size("shingles") / SHINGLES)).cast("int").alias("weight"))
+    alike = lambda v, w: let(F.size(F.array_intersect(v, w)), lambda n: n / (F.size(v) + F.size(w) - n)) >= similarity
+    cut, links = cells(dealt, sets.select("node", F.col("shingles").alias("value")), alike, piece)
     cut = cut.join(spread(sets.select(F.col("node").alias("_node"), "wide", "shingles")), F.col("node") == F.col("_node")).drop("_node")
-    return confirmed_links(cut, similarity, budget).union(starred.where("hub <> node").select("node", "hub"))
+    found = confirmed_links(cut, similarity, budget)
+    return found if links is None else found.union(links)
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
-    """Every row's ``doc_id``, ``fp`` (bigint, a hash of its words) and ``component_id``, linked by a similarity of five-word shingles.
+    """Every row's ``doc_id``, ``th`` (a hash of its text), ``fp`` (of its words) and ``component_id``, linked by a similarity of
+    five-word shingles; ``root`` names its class, also where no row of it has an id.
 
     Fingerprints of 64 bits that differ by four can't tell a Jaccard similarity of 0.8 (about ten bits differ), and a
     radius of ten bits leaves a trie join nothing to prune by. So candidates come from wide fingerprints (1,024 bits, which
     tell the similarity within about 0.03) with a budget that is loose enough for the shortest texts (of four and five
     shingles 192 bits differ, five standard deviations below it). Forests are dealt by minima of hashed shingles, which two documents of a
     similarity of 0.8 share in one of 16 forests but for 2 cases in 10,000. In a trie, node pairs are walked as for
-    ``near_duplicates``, over the first 64 bits; leaves are then compared by all bits. In a trie too large for one
-    task, most of a group of near copies is linked to a few hubs before that (``stars``).
+    ``near_duplicates``, over the first 64 bits; leaves are then compared by all bits. A pair is a candidate by the same
+    bits whether it meets in a walk or one of it is a hub.
 
     The components of candidates are then compared anew, each by the exact similarity of its texts' shingle sets
     (``confirmed``), so that every link is one of the similarity or more.
 
     Rows of equal words (A-Z as a-z, any white space) are one node. No words, or a null text: one class of their own.
-    Rows without an id get a class, too, but never name one.
+    Rows without an id get a class, too, but never name one. Repeated rows and repeated ids are kept; empty tables give no rows.
     """
     lane, budget = bit_budget(64, similarity, LOOSE_LANE), bit_budget(64 * WIDE, similarity, LOOSE)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.int64()), ("wide", pa.list_(pa.int64()))])
+    keys, words = [f"k{i}" for i in range(BANDS)], [f"w{i}" for i in range(WIDE)]
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "th", "fp", *keys, *words)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            words, keys, wide = sketch_many(b.column(1).to_pylist())
-            yield out(schema, {"doc_id": b.column(0), "fp": words, "keys": [k.tolist() if w.any() or k.any() else [] for k, w in zip(keys, wide, strict=True)], "bits": wide[:, 0].view(np.int64), "wide": wide.view(np.int64).tolist()})
-
-    of = checkpointed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id bigint, fp bigint, keys array<bigint>, bits bigint, wide array<bigint>"))
-    distinct = checkpointed(of.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("keys", "bits", "wide")]))
-    dealt = distinct.select(F.col("fp").alias("node"), F.posexplode("keys").alias("forest", "trie"))
+            fp, k, w = sketch_many(b.column(2).to_pylist())
+            void = ~(k.any(1) | w.any(1))
+            made = {"doc_id": b.column(0), "th": b.column(1), "fp": fp}
+            made |= {c: pa.array(k[:, i], mask=void) for i, c in enumerate(keys)} | {c: w[:, i].view(np.int64) for i, c in enumerate(words)}
+            yield out(schema, made)
+
+    doc_id, th = row_key(id_col, text_col)
+    of = checkpointed(docs.select(doc_id, th, F.col(text_col).alias("text")).mapInArrow(work, ", ".join(f"{f.name} bigint" for f in schema)))
+    distinct = of.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("th", *keys, *words)])
+    distinct = checkpointed(distinct.select("fp", "least", "th", F.when(F.col("k0").isNotNull(), F.array(*keys)).alias("keys"), F.col("w0").alias("bits"), F.array(*words).alias("wide")))
+    dealt = distinct.select(F.col("fp").alias("node"), F.posexplode("keys").alias(*KEY), F.lit(1).alias("weight"))
+    both = distinct.select(F.col("fp").alias("node"), F.struct("bits", "wide").alias("value"))
+    near = lambda v, w: (F.bit_count(v["bits"].bitwiseXOR(w["bits"])) <= lane) & (differing(v["wide"], w["wide"]) <= budget)
+    cut, links = cells(dealt, both, near, piece)
     with_bits = spread(distinct.select(F.col("fp").alias("_node"), F.col("bits").alias("fp"), "wide"))
-    differ = lambda v, w: F.aggregate(F.zip_with(v, w, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    starred = stars(dealt, distinct.select(F.col("fp").alias("node"), F.col("wide").alias("value")), lambda v, w: differ(v, w) <= budget, piece)
-    cut = cells(dealt, piece, most=piece).unionByName(star_cells(starred, piece))
-    cut = cut.join(with_bits, cut["node"] == with_bits["_node"]).drop("_node")
-    links = forest_links(cut, lane, budget).union(starred.where("hub <> node").select("node", "hub"))
-    links = confirmed(docs, id_col, text_col, distinct, components(links), similarity, budget, piece)
-    return classes(of.select("doc_id", "fp"), distinct.select("fp", "least"), links)
+    found = forest_links(cut.join(with_bits, F.col("node") == F.col("_node")).drop("_node"), lane, budget)
+    roots = components(found if links is None else found.union(links))
+    return classes(of.select("doc_id", "th", "fp"), distinct, confirmed(docs, id_col, text_col, distinct, roots, similarity, budget, piece))
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """(doc_id, th) of one row for each class of ``similar``: of those with the least id, the one with the least hash; without an id only if none has one."""
+    return found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")

@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, out, steps
+from .common import Recent, kept, out, steps
 
 LIMIT = 512
 #: Entries of a worker's cache, about half of those it may hold.
-CACHE = 300_000
+CACHE = 100_000
 #: Longer units are not cached.
 CACHED_CHARS = 64
 
@@ -109,16 +109,9 @@ class Counter:
         return n
 
 
-_COUNTERS: dict[tuple, Counter] = {}
-
-
 def worker_counter(path: str, broadcast, pattern: str, special: list[str]) -> Counter:
     """A worker keeps its cache from task to task."""
-    key = (path, pattern, *special)
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(path, broadcast.value, pattern, special)
-    return _COUNTERS[key]
+    return kept(("tokens", path, pattern, *special), lambda: Counter(path, broadcast.value, pattern, special))
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import simhash
 
@@ -172,8 +173,8 @@ def test_similar_dense_groups_in_stars(spark):
 
 
 def test_star_cells_meet_all_but_one_star(spark):
-    nodes = [(0, 7, n, [0], star) for n, star in enumerate([0] * 9 + [1] * 12 + [2] * 5)]
-    cut = simhash.star_cells(spark.createDataFrame(nodes, "forest int, trie bigint, node bigint, wide array<bigint>, star int"), 4).collect()
+    nodes = [(0, 7, n, 1, star) for n, star in enumerate([0] * 9 + [1] * 12 + [2] * 5)]
+    cut = simhash.star_cells(spark.createDataFrame(nodes, "forest int, trie bigint, node bigint, weight int, star int"), 4).collect()
     own, star, met = {}, {r[2]: r[4] for r in nodes}, set()
     for r in cut:
         own.setdefault((r.i, r.j), []).append((r.node, r.own))
@@ -204,3 +205,26 @@ def test_similar_is_exact(spark, piece):
     met = [(i, j) for i, j in pairs if (keys[i] == keys[j]).any()]  # two cases in 10,000 share no forest
     assert len(pairs) - len(met) <= 1
     assert [found[i] for i in range(len(texts))] == joined(len(texts), met)
+
+
+def test_large_and_small_tries_have_the_same_links(spark):
+    """The pairs of a trie link alike whether it is one cell, or is cut to pieces around hubs."""
+    rng, texts = random.Random(8), []
+    for _ in range(40):  # a chain of steps, each a little from the last, so that links need what lies between
+        w = [f"v{rng.randrange(10**6)}" for _ in range(80)]
+        for _ in range(6):
+            w = list(w)
+            w[rng.randrange(80)] = f"y{rng.random()}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {piece: sorted((r.doc_id, r.component_id) for r in simhash.similar(docs, piece=piece).collect()) for piece in (1024, 3)}
+    assert found[3] == found[1024] and len({c for _, c in found[3]}) < len(texts)
+
+
+def test_representatives_are_rows(spark):
+    """Ids may have several texts, and rows may be equal: one row of each class stays, by its text."""
+    a, b = "one text that is about this " * 5, "quite another that nothing else is like " * 5
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (None, a), (None, "a third one of which no row has an id")], "doc_id bigint, text string")
+    kept = simhash.representatives(simhash.similar(docs))
+    th = {r.th: r.text for r in docs.select("text", F.xxhash64("text").alias("th")).collect()}
+    assert sorted((str(r.doc_id), th[r.th]) for r in kept.collect()) == sorted([("3", a), ("5", b), ("None", "a third one of which no row has an id")])

@@ -176,7 +176,7 @@ def test_language_held_out(spark):
 
 def test_language_filter_is_plain_sets():
     rows = [("a", "abra cadabra abra cadabra")] * 3 + [("b", "zzyzx zzyzx road")] * 3
-    model = langid.Model(rows, slots=1 << 16)
+    model = langid.Model([(lang, langid.distinct_ngrams(t)) for lang, t in rows], slots=1 << 16)
     grams = lambda t: {int(h) for n in langid.SIZES for h in langid.ngrams(langid.codes(t), n)}
     own = {lang: grams(t) for lang, t in rows}
     text = "abra zzyzx cada"
@@ -192,7 +192,101 @@ def test_language_messy(spark):
     assert {r.lang_pred for r in found if r.doc_id in (0, 1, 2, 11)} == {"und"}
     assert {r.lang_pred for r in run(messy.docs(spark).withColumn("lang", F.lit(None).cast("string")))} == {"und"}
     many = [(f"l{i}", chr(0x4E00 + 40 * i) * 3) for i in range(70) for _ in range(5)]
-    assert langid.Model(many).predict([many[-1][1]])[0] == ["l69"]
+    assert langid.Model([(lang, langid.distinct_ngrams(t)) for lang, t in many]).predict([many[-1][1]])[0] == ["l69"]
+
+
+def plain_language(rows, text):
+    """What the filter approximates, with sets: corrected for nothing, as sets have no false positives."""
+    by = {}
+    for lang, t in rows:
+        by.setdefault(lang, []).append({plain for n in langid.SIZES for plain in plain_ngrams(t, n)})
+    rate = {lang: {g: sum(g in x for x in own) / len(own) for g in set().union(*own)} for lang, own in by.items()}
+    best = {}
+    for r in rate.values():
+        for g, x in r.items():
+            best[g] = max(best.get(g, 0), x)
+    held = {lang: {g for g, x in r.items() if x * len(by[lang]) >= min(langid.AT_LEAST, len(by[lang])) - 1e-9 and x >= langid.SHARE * best[g]} for lang, r in rate.items()}
+    every = [g for n in langid.SIZES for g in plain_ngrams(text, n)]
+    share = {lang: sum(g in own for g in every) / len(every) for lang, own in held.items()}
+    first = sorted(by, key=lambda x: (-len(by[x]), x))
+    return max(first, key=lambda x: share[x]), share
+
+
+def plain_ngrams(text, n):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    line = f" {' '.join(words)} "
+    return [line[i : i + n] for i in range(len(line) - n + 1)]
+
+
+def test_language_is_brute_force(spark):
+    """All rows of the small table: trained on the same rows, sets and filter predict the same."""
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and any(c.isalpha() for c in r.text)][:250]
+    rows = [(r.lang, r.text[:3000]) for r in docs if r.lang][:120]
+    model = langid.Model([(lang, langid.distinct_ngrams(t)) for lang, t in rows])
+    texts = [r.text[:1500] for r in docs]
+    got, shares = model.predict(texts)[0], model.shares(texts)
+    for text, lang, own in zip(texts, got, shares, strict=True):
+        if any(c.isalpha() for c in text):
+            plain, share = plain_language(rows, text)
+            assert np.allclose(own, [share[x] for x in model.languages], atol=0.02)
+            assert lang == plain or share[plain] - share[lang] < 0.02
+
+
+def test_language_learns_from_long_rows_and_breaks_ties_by_name(spark):
+    say = lambda letters, n: " ".join("".join(random.Random(f"{letters}{k}").choice(letters) for _ in range(6)) for k in range(n))
+    rows = [(i, say("abcdefg", 30), "a") for i in range(40)] + [(100 + i, say("qrstuvw", 3000 + i), "long") for i in range(40)]
+    rows += [(7, say("hijklm", 40), "rep")] * 30 + [(400, say("HIJKLM", 3), None)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(False)).collect()
+    assert {r.lang_pred for r in found if 100 <= r.doc_id < 200} == {"long"} and {r.lang_pred for r in found if r.doc_id < 100} == {"a", "rep"}
+    tied = langid.Model([(x, langid.distinct_ngrams("same words here")) for x in ("z", "b")])
+    assert tied.predict(["same words"])[0] == ["b"]
+
+
+def plain_score(model, text):
+    """The score from the model's numbers, token by token."""
+    made = []
+    last = None
+    for token in re.findall(r"\w+|[^\w\s]+|\n", text or ""):
+        made += quality._form(token)
+        if token == last:
+            made.append(quality._bucket("\0again"))
+        last = token
+    v = model.vectors.astype(float)
+    mean = lambda xs: sum((v[b] for b in xs), np.zeros(v.shape[1])) / max(1, len(xs))
+    x = np.concatenate((mean(made), mean(sorted(set(made))), [len(set(made)) / max(1, len(made)), np.log1p(len(made)) / 10 if made else 0]))
+    n = model.network
+    h = np.maximum(0, ((x - n.mean) / n.std) @ n.p[0] + n.p[1])
+    return 1 / (1 + np.exp(-(h @ n.p[2] + n.p[3][0]) / n.temperature))
+
+
+def test_quality_is_brute_force(spark):
+    """Scores are those that the fitted numbers give token by token; word vectors those of a plain loop; no row's place matters."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels, bucket(F.col("doc_id"), 5) == 0)
+    found = {r.doc_id: r for r in quality.score(docs.select("doc_id", "text"), model).collect()}
+    for i in sorted(found)[::7]:
+        assert abs(found[i].score - plain_score(model, found[i].text)) < 1e-4
+    again = quality.score(docs.select("doc_id", "text").repartition(5), quality.fit(docs.repartition(3), labels.repartition(4), bucket(F.col("doc_id"), 5) == 0)).collect()
+    assert all(abs(r.score - found[r.doc_id].score) < 1e-6 for r in again)
+    texts = [np.array([1, 2, 3, 1]), np.array([5])]
+    index, plain = quality.index_vectors(), quality.index_vectors().astype(float)
+    for t in texts:
+        for i, a in enumerate(t):
+            for j, b in enumerate(t):
+                if 0 < abs(i - j) <= quality.REACH:
+                    plain[a] += index[b] / abs(i - j)
+    assert np.allclose(quality.word_vectors(texts), plain / np.linalg.norm(plain, axis=1, keepdims=True).clip(1e-6), atol=1e-5)
+
+
+def test_quality_takes_long_and_repeated_rows(spark):
+    """Labelled rows of any length are learned from; an id with several texts gives a row for each."""
+    bad, good = "buy cheap!!! CLICK " * 4000, "a calm sentence about gardens and rivers. " * 2000
+    rows = [(i, bad if i % 2 else good) for i in range(40)] + [(50, "short"), (50, "short"), (50, bad)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, 1 - i % 2) for i in range(40)] + [(50, 1)], "doc_id bigint, quality int")
+    kept = quality.training_rows(docs, labels, F.lit(False), "doc_id", "text", "quality")
+    assert kept.count() == 42
+    found = {(r.doc_id, r.text): r.score for r in quality.score(docs, quality.fit(docs, labels, F.lit(False))).collect()}
+    assert found[0, good] > 0.8 and found[1, bad] < 0.3
 
 
 def test_quality_held_out(spark):
