@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, packing, quality, secrets, simhash
-from millrace.llm.common import bucket, spread, table
+from millrace.llm.common import bucket, shared_folder, spread, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,15 +24,17 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id; of rows with the same id, one. Rows without an id stay.
+    """One row of each class of near duplicates, the one with the smallest id (of rows with that id, the text with the least hash).
 
-    Documents are linked from a Jaccard similarity of 0.8 of their five-word shingles, checked exactly.
+    Documents are linked from a Jaccard similarity of 0.8 of their five-word shingles, checked exactly. Rows that share an id but
+    whose texts are not alike are in different classes, and each stays; of rows with equal id and text, one. Empty and null
+    texts are one class. A class without any id keeps a row, too. Empty tables give no rows; extra columns go.
     """
-    classes = simhash.similar(docs)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(spread(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    one = Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy(F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"))
-    return rest.withColumn("_at", F.row_number().over(one)).where("doc_id is null or _at = 1").select(*COLUMNS)
+    kept = simhash.representatives(simhash.similar(docs)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    # Partial sums take care of ids and texts that very many rows repeat.
+    rows = docs.groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x"))
+    rows = rows.join(spread(kept), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    return rows.select("doc_id", "x.text", "x.lang", "x.source", "x.n_chars")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    at = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}" if "://" in shared or shared.startswith("/") else os.path.join(shared, f"corpus-{uuid.uuid4().hex}")
+    at = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{at}/{i}_{name}"
