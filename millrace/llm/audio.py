@@ -108,7 +108,7 @@ def align(prints: DataFrame, is_query: Column, votes: int = VOTES, errors: float
     """
     rows = checkpointed(prints.select("rec_id", "prints", F.sha2(F.array_join(F.col("prints").cast("array<string>"), ","), 256).alias("key"), F.coalesce(is_query, F.lit(False)).alias("query")))
     classes = checkpointed(rows.groupBy("key").agg(F.min("rec_id").alias("id"), F.first("prints").alias("prints"), F.max("query").alias("query")))
-    members = rows.select("key", "rec_id").join(spread(classes.select(F.col("key").alias("_key"), "id")), F.col("key") == F.col("_key"))
+    members = rows.select("key", "rec_id").join(spread(classes.select(F.col("key").alias("_key"), "id"), "_key"), F.col("key") == F.col("_key"))
     members = members.select(F.lit("member").alias("kind"), F.col("id").alias("a_id"), F.col("rec_id").alias("b_id"), F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("votes"), F.lit(0.0).alias("bit_error"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("prints") - 1), lambda i: F.shiftleft(F.element_at("prints", i).cast("bigint"), 32).bitwiseXOR(F.element_at("prints", i + 1).cast("bigint")))
     keyed = classes.where("id is not null and size(prints) > 1").select("id", "query", pairs.alias("pairs"))
@@ -119,7 +119,7 @@ def align(prints: DataFrame, is_query: Column, votes: int = VOTES, errors: float
     counted = met.groupBy("a_id", "b_id", (F.col("b_at") - F.col("a_at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = counted.groupBy("a_id", "b_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("x")).where(F.col("x.votes") >= votes)
     best = best.select("a_id", "b_id", F.col("x.offset").alias("offset"), F.col("x.votes").alias("votes"))
-    of = lambda side: spread(classes.select(F.col("id").alias(f"_{side}"), F.col("prints").alias(f"{side}_prints")))
+    of = lambda side: spread(classes.select(F.col("id").alias(f"_{side}"), F.col("prints").alias(f"{side}_prints")), f"_{side}")
     both = best.join(of("a"), F.col("a_id") == F.col("_a")).join(of("b"), F.col("b_id") == F.col("_b"))
     first = F.greatest(F.lit(0), -F.col("offset"))
     n = F.least(F.size("a_prints") - first, F.size("b_prints") - first - F.col("offset"))

@@ -36,7 +36,7 @@ def preference(turns: DataFrame, pair: Column, chosen: Column, turn_col: str = "
     both = rows.groupBy("pair_id", "turn").agg(F.min(F.when(F.col("is_chosen"), F.col("said"))).alias("c"), F.min(F.when(~F.col("is_chosen"), F.col("said"))).alias("r"))
     same = F.col("c").isNotNull() & F.col("r").isNotNull() & F.col("c").eqNullSafe(F.col("r"))
     parting = both.groupBy("pair_id").agg(F.min(F.when(~same, F.col("turn"))).alias("parts"), (F.count("c") * F.count("r") > 0).alias("paired")).withColumnRenamed("pair_id", "_pair")
-    found = both.join(spread(parting), F.col("pair_id") == F.col("_pair"))
+    found = both.join(spread(parting, "_pair"), F.col("pair_id") == F.col("_pair"))
     prompt = F.col("parts").isNull() | (F.col("turn") < F.col("parts"))
     row = lambda side, said: F.struct(F.lit(side).alias("side"), said["role"].alias("role"), said["text"].alias("text"))
     sides = F.when(prompt, F.array(row("prompt", F.col("c")))).otherwise(F.array_compact(F.array(F.when(F.col("c").isNotNull(), row("chosen", F.col("c"))), F.when(F.col("r").isNotNull(), row("rejected", F.col("r"))))))

@@ -6,6 +6,7 @@ import pickle
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +37,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows anew, so that a join reads both sides through its own exchange and a skewed key can be split there."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows for a join by ``keys`` (integers or strings), so that both sides get their own exchange and a skewed key can be split there.
+
+    Rows that an aggregate has dealt by these keys would be taken as they lie. The keys are written in another form here, so that
+    the planner doesn't know how the rows lie; that costs nothing, where a repartition would shuffle once more.
+    """
+    kind = dict(df.dtypes)
+    same = {k: F.concat(F.col(k), F.lit("")) if kind[k] == "string" else F.col(k).bitwiseXOR(F.lit(0)).cast(kind[k]) for k in keys}
+    return df.withColumns(same)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Frames made within drop their shuffle files as soon as they have run. For those that are checkpointed and not run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -148,7 +148,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ro
     # A row is drawn with the chance that gives its language so many rows; the least hash is always drawn.
     drawn = (F.col("h") == F.col("first")) | (F.pmod("h", F.lit(1 << 40)) < F.lit(float(1 << 40)) * each / F.col("n"))
     few = counts.select(F.col("lang").alias("_lang"), "n", "first")
-    few = F.broadcast(few) if languages <= rows else spread(few)
+    few = F.broadcast(few) if languages <= rows else spread(few, "_lang")
     chosen = usable.join(few, F.col("lang") == F.col("_lang")).where(drawn).select("h", "lang", "text", (F.col("h") != F.col("first")).alias("later")).dropDuplicates(["h", "lang"])
     schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("later", pa.bool_()), ("grams", pa.binary())])
 

@@ -107,7 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     rows = checkpointed(rows.select("_row", *columns, *[F.size(f"_{k}").cast("bigint").alias(f"n_{k}") for k in list(KINDS)[:3]], "base", "opaque"))
     found = rows.where((F.size("base") > 0) | (F.size("opaque") > 0)).select("_row", F.col("_owner").alias("owner"), F.col("_repository").alias("repository"), F.explode(F.concat("base", "opaque")).alias("span"))
     found = found.withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
-    verdicts = spread(ownership(found, wide_owners, wide_repositories).withColumnRenamed("hash", "_hash"))
+    verdicts = spread(ownership(found, wide_owners, wide_repositories).withColumnRenamed("hash", "_hash"), "_hash")
     value = F.col("span.value")
     # What the whole value leaves of its alphabet says how many distinct characters it has.
     distinct = len(ALPHABET) - F.length(F.call_function("translate", F.lit(ALPHABET), value, F.lit("")))
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.collect_list(F.struct("span.start", "span.end", "span.rank", "span.kind", "span.value", "live")).alias("spans"),
         F.count_if("live").alias("n_live"), F.count_if("widespread").alias("n_widespread"),
     ).withColumnRenamed("_row", "_of")
-    whole = rows.join(spread(per_row), F.col("_row") == F.col("_of"), "left")
+    whole = rows.join(spread(per_row, "_of"), F.col("_row") == F.col("_of"), "left")
     none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,value:string,live:boolean>>")
     return whole.select("doc_id", "n_assign", "n_access", "n_hex", "base", F.coalesce("spans", none).alias("spans"), F.coalesce("n_live", F.lit(0)).cast("bigint").alias("n_live"), F.coalesce("n_widespread", F.lit(0)).cast("bigint").alias("n_widespread"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
 

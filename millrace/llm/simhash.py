@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let, out, spread, steps
+from .common import checkpointed, let, out, spread, steps, tidy
 
 BUDGET = 4
 SHINGLE = 4
@@ -228,7 +228,7 @@ def cells(dealt: DataFrame, values: DataFrame, near: Callable[[Column, Column],
     what is ``near`` them by ``values`` (node, value), and ``star_cells`` cuts it to pieces.
     """
     sizes = checkpointed(dealt.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("weight").alias("all")).where("n > 1").drop("n"))
-    nodes = dealt.join(spread(sizes), [*KEY])
+    nodes = dealt.join(spread(sizes, *KEY), [*KEY])
     zero = F.lit(0)
     small = nodes.where(F.col("all") <= piece).select(*KEY, "node", zero.alias("i"), zero.alias("j"), zero.alias("own"))
     if sizes.where(F.col("all") > piece).isEmpty():
@@ -246,8 +246,8 @@ def stars(nodes: DataFrame, values: DataFrame, near: Callable[[Column, Column],
     """
     slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(hubs)).cast("int")
     chosen = nodes.groupBy(*KEY, slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("x")).select(*KEY, F.col("x.node").alias("node"))
-    listed = checkpointed(chosen.join(spread(values), "node").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("node", "value"))).alias("hubs")))  # at most ``hubs``
-    met = nodes.join(values, "node").join(spread(listed), [*KEY])
+    listed = checkpointed(chosen.join(spread(values, "node"), "node").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("node", "value"))).alias("hubs")))  # at most ``hubs``
+    met = nodes.join(spread(values, "node"), "node").join(spread(listed, *KEY), [*KEY])
     flags = F.aggregate(F.reverse("hubs"), F.lit(0), lambda m, h: m * 2 + near(F.col("value"), h["value"]).cast("int"))
     met = checkpointed(met.select(*KEY, "node", "weight", flags.alias("mask")))
     masks = met.where("mask > 0").groupBy(*KEY).agg(F.collect_set("mask").alias("masks"))  # at most 2 ** hubs numbers
@@ -266,7 +266,7 @@ def stars(nodes: DataFrame, values: DataFrame, near: Callable[[Column, Column],
 
     joined = listed.select(*KEY, F.transform("hubs", lambda h: h["node"]).alias("hub")).join(masks, [*KEY])
     found = joined.mapInArrow(merged, "forest int, trie bigint, star array<int>, hub array<bigint>")
-    met = met.join(spread(found), [*KEY], "left").withColumn("at", F.expr("case when mask > 0 then bit_count((mask & -mask) - 1) + 1 end"))
+    met = met.join(found, [*KEY], "left").withColumn("at", F.expr("case when mask > 0 then bit_count((mask & -mask) - 1) + 1 end"))
     met = checkpointed(met.select(*KEY, "node", "weight", F.coalesce(F.element_at("star", F.col("at")), F.lit(0)).alias("star"), F.element_at("hub", F.col("at")).alias("hub")))
     return met.drop("hub"), met.where("hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
@@ -276,7 +276,7 @@ def star_cells(nodes: DataFrame, piece: int = PIECE) -> DataFrame:
     trie = Window.partitionBy(*KEY)
     sizes = nodes.groupBy(*KEY, "star").agg(F.ceil(F.sum("weight") / piece).cast("int").alias("pieces"))
     sizes = sizes.withColumn("end", F.sum("pieces").over(trie.orderBy("star")).cast("int")).withColumn("all", F.sum("pieces").over(trie).cast("int"))
-    cut = nodes.select(*KEY, "star", "node").join(spread(sizes), [*KEY, "star"]).withColumn("first", F.col("end") - F.col("pieces"))
+    cut = nodes.select(*KEY, "star", "node").join(spread(sizes, *KEY, "star"), [*KEY, "star"]).withColumn("first", F.col("end") - F.col("pieces"))
     cut = cut.withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     none = F.array().cast("array<int>")
     below = F.when(F.col("first") > 0, F.sequence(F.lit(0), F.col("first") - 1)).otherwise(none)
@@ -379,40 +379,40 @@ def confirmed_links(cut: DataFrame, similarity: float, wide_budget: int) -> Data
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each linked node's component. Large-star and small-star until nothing moves."""
+    """(node, root): the smallest node of each linked node's component. Large-star and small-star until all links are to a root."""
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    print_of = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(spread(least), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = large.where("u <> v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(spread(lower), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct()
-        edges = checkpointed(small)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == print_of:
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.count_if(F.col("v") > F.col("u")).alias("above")))
+        if least.where("below > 1 or below = 1 and above > 0").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        print_of = now
+        large = both.where("v > u").join(spread(least, "u"), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = checkpointed(large.where("u <> v").distinct())
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(spread(lower, "u"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
+        edges = checkpointed(small.distinct())
 
 
 def classes(of: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
     """``of`` (doc_id, fp and more) with each row's ``component_id`` and ``root``; ``distinct`` has each fp's ``least`` id, ``links`` pairs of fp."""
-    roots = components(links)
+    with tidy(of.sparkSession):
+        roots = components(links)
     # The members of a component: its root, and what has that root.
     member = roots.union(roots.select("root", "root").distinct())
-    named = member.join(distinct.select("fp", "least"), member["node"] == distinct["fp"]).select("node", "root", "least")
+    named = member.join(distinct.select("fp", "least"), F.col("node") == F.col("fp")).select("node", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.select("node", "root").join(spread(least), "root").select(F.col("node").alias("fp"), "component", "root")
-    final = spread(distinct.join(named, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
-    return of.join(final, of["fp"] == final["key"]).drop("key")
+    named = named.select("node", "root").join(spread(least, "root"), "root").select(F.col("node").alias("fp"), "component", "root")
+    final = distinct.join(named, "fp", "left").select(F.col("fp").alias("_key"), F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return of.join(spread(final, "_key"), F.col("fp") == F.col("_key")).drop("_key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, piece: int = PIECE, mean: int = MEAN) -> DataFrame:
     """Every row's ``doc_id``, ``fp`` (bigint) and ``component_id``: the smallest id that its links reach."""
-    of = checkpointed(fingerprints(docs, id_col, text_col))
-    distinct = checkpointed(of.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    return classes(of, distinct, trie_links(distinct, budget, piece, mean)).select("doc_id", "fp", "component_id")
+    with tidy(docs.sparkSession):
+        of = checkpointed(fingerprints(docs, id_col, text_col))
+        distinct = checkpointed(of.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        links = trie_links(distinct, budget, piece, mean)
+    return classes(of, distinct, links).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp") -> F.Column:
@@ -500,12 +500,12 @@ def confirmed(docs: DataFrame, id_col: str, text_col: str, distinct: DataFrame,
     member = member.join(distinct.select("fp", F.coalesce("least", "th").alias("at"), "wide"), F.col("node") == F.col("fp")).drop("fp")
     # A node's text is that of its row with the least id, so a text that many rows share is no hot key.
     doc_id, th = row_key(id_col, text_col)
-    texts = docs.select(F.coalesce(doc_id, th).alias("_at"), F.col(text_col).alias("text")).join(spread(member), F.col("_at") == F.col("at")).select("node", "root", "wide", "text")
+    texts = docs.select(F.coalesce(doc_id, th).alias("_at"), F.col(text_col).alias("text")).join(spread(member, "at"), F.col("_at") == F.col("at")).select("node", "root", "wide", "text")
     sets = checkpointed(texts.mapInArrow(shingled, "node bigint, root bigint, wide array<bigint>, shingles array<bigint>").dropDuplicates(["node"]))
     dealt = sets.select(F.lit(0).alias("forest"), F.col("root").alias("trie"), "node", (1 + F.floor(F.size("shingles") / SHINGLES)).cast("int").alias("weight"))
     alike = lambda v, w: let(F.size(F.array_intersect(v, w)), lambda n: n / (F.size(v) + F.size(w) - n)) >= similarity
     cut, links = cells(dealt, sets.select("node", F.col("shingles").alias("value")), alike, piece)
-    cut = cut.join(spread(sets.select(F.col("node").alias("_node"), "wide", "shingles")), F.col("node") == F.col("_node")).drop("_node")
+    cut = cut.join(spread(sets.select(F.col("node").alias("_node"), "wide", "shingles"), "_node"), F.col("node") == F.col("_node")).drop("_node")
     found = confirmed_links(cut, similarity, budget)
     return found if links is None else found.union(links)
 
@@ -541,17 +541,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
             yield out(schema, made)
 
     doc_id, th = row_key(id_col, text_col)
-    of = checkpointed(docs.select(doc_id, th, F.col(text_col).alias("text")).mapInArrow(work, ", ".join(f"{f.name} bigint" for f in schema)))
-    distinct = of.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("th", *keys, *words)])
-    distinct = checkpointed(distinct.select("fp", "least", "th", F.when(F.col("k0").isNotNull(), F.array(*keys)).alias("keys"), F.col("w0").alias("bits"), F.array(*words).alias("wide")))
-    dealt = distinct.select(F.col("fp").alias("node"), F.posexplode("keys").alias(*KEY), F.lit(1).alias("weight"))
-    both = distinct.select(F.col("fp").alias("node"), F.struct("bits", "wide").alias("value"))
-    near = lambda v, w: (F.bit_count(v["bits"].bitwiseXOR(w["bits"])) <= lane) & (differing(v["wide"], w["wide"]) <= budget)
-    cut, links = cells(dealt, both, near, piece)
-    with_bits = spread(distinct.select(F.col("fp").alias("_node"), F.col("bits").alias("fp"), "wide"))
-    found = forest_links(cut.join(with_bits, F.col("node") == F.col("_node")).drop("_node"), lane, budget)
-    roots = components(found if links is None else found.union(links))
-    return classes(of.select("doc_id", "th", "fp"), distinct, confirmed(docs, id_col, text_col, distinct, roots, similarity, budget, piece))
+    with tidy(docs.sparkSession):
+        of = checkpointed(docs.select(doc_id, th, F.col(text_col).alias("text")).mapInArrow(work, ", ".join(f"{f.name} bigint" for f in schema)))
+        distinct = of.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("th", *keys, *words)])
+        distinct = checkpointed(distinct.select("fp", "least", "th", F.when(F.col("k0").isNotNull(), F.array(*keys)).alias("keys"), F.col("w0").alias("bits"), F.array(*words).alias("wide")))
+        dealt = distinct.select(F.col("fp").alias("node"), F.posexplode("keys").alias(*KEY), F.lit(1).alias("weight"))
+        both = distinct.select(F.col("fp").alias("node"), F.struct("bits", "wide").alias("value"))
+        near = lambda v, w: (F.bit_count(v["bits"].bitwiseXOR(w["bits"])) <= lane) & (differing(v["wide"], w["wide"]) <= budget)
+        cut, links = cells(dealt, both, near, piece)
+        with_bits = spread(distinct.select(F.col("fp").alias("_node"), F.col("bits").alias("fp"), "wide"), "_node")
+        found = forest_links(cut.join(with_bits, F.col("node") == F.col("_node")).drop("_node"), lane, budget)
+        roots = components(found if links is None else found.union(links))
+        links = confirmed(docs, id_col, text_col, distinct, roots, similarity, budget, piece)
+    return classes(of.select("doc_id", "th", "fp"), distinct, links)
 
 
 def representatives(found: DataFrame) -> DataFrame:
