@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, packing, quality, secrets, simhash
-from millrace.llm.common import bucket, shared_folder, spread, table
+from millrace.llm.common import bucket, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,11 +30,11 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whose texts are not alike are in different classes, and each stays; of rows with equal id and text, one. Empty and null
     texts are one class. A class without any id keeps a row, too. Empty tables give no rows; extra columns go.
     """
-    kept = simhash.representatives(simhash.similar(docs)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    named = lambda key, th: (F.coalesce(key, F.lit(0)).alias("key"), key.isNull().alias("no_key"), th.alias("th"))
+    kept = simhash.representatives(simhash.similar(docs)).select(*named(F.col("doc_id"), F.col("th")))
     # Partial sums take care of ids and texts that very many rows repeat.
-    rows = docs.groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x"))
-    rows = rows.join(spread(kept), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    return rows.select("doc_id", "x.text", "x.lang", "x.source", "x.n_chars")
+    rows = docs.groupBy(*named(F.col("doc_id"), F.xxhash64("text"))).agg(F.min(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("x"))
+    return rows.join(kept, ["key", "no_key", "th"]).select("x.*").select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
