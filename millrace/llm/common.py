@@ -37,6 +37,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def restarted(df: DataFrame) -> DataFrame:
+    """A checkpoint for iterations: the planner keeps nothing of what it knew or guessed of the rows.
+
+    A plain checkpoint hands on estimated sizes. Each join multiplies its inputs' sizes, so over a few rounds the estimates
+    get millions of digits, and planning takes minutes and the driver's memory.
+    """
+    spark, done = df.sparkSession, checkpointed(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """The rows for a join by ``keys`` (integers or strings), so that both sides get their own exchange and a skewed key can be split there.
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let, out, spread, steps, tidy
+from .common import checkpointed, let, out, restarted, spread, steps, tidy
 
 BUDGET = 4
 SHINGLE = 4
@@ -380,17 +380,18 @@ def confirmed_links(cut: DataFrame, similarity: float, wide_budget: int) -> Data
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each linked node's component. Large-star and small-star until all links are to a root."""
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = restarted(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.count_if(F.col("v") > F.col("u")).alias("above")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.count_if(F.col("v") > F.col("u")).alias("above"))
+        least = restarted(least)
         if least.where("below > 1 or below = 1 and above > 0").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        large = both.where("v > u").join(spread(least, "u"), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = checkpointed(large.where("u <> v").distinct())
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = restarted(large.where("u <> v").distinct())
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(spread(lower, "u"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.distinct())
+        edges = restarted(small.distinct())
 
 
 def classes(of: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
