@@ -1,13 +1,18 @@
 """Preference formatting of chosen and rejected conversations.
 
 The longest prefix of turns that both sides share (same turn number, role and text) is rendered once as the prompt; the
-turns after it are each side's completion, and of those the assistant's are what the loss is taken over. The result has
-one row for each rendered turn, so that no conversation has to fit one task; ``assembled`` puts pairs together where
-their length is known to be bounded. Turns are compared by joins on (pair, turn) with partial aggregates only.
+turns after it are each side's completion, and of those the assistant's are what the loss is taken over. ``preference``
+gives one row for each rendered turn; ``paired`` makes pair records of them: prompt, chosen and rejected completion, and for each
+completion a mask, the spans of it (code points, end exclusive) that the loss is taken over.
 
-Nulls: a null role or text equals another null and renders as empty. Of several rows for one turn the least (role, text)
-is used. Rows without a conversation id or turn are left out, as they have no place. A conversation whose partner is
-missing keeps its turns as a completion, with ``paired`` false. Empty tables give no rows.
+A record holds the turns of ``PART`` turn numbers, so that no record grows with a conversation: an ordinary pair is one record
+(part 0); a pair with more turns is several, whose texts in order of their parts are the whole. Turns are compared by joins on
+(pair, turn) with partial aggregates only.
+
+Nulls: a null role or text equals another null and renders as empty. Of several rows for one turn (repeats, ties) the least
+(role, text) is used. Rows without a conversation id or turn are left out, as they have no place. A conversation whose partner is
+missing keeps its turns as a completion, with ``paired`` false; the other side is empty. Texts of any length are rendered whole.
+Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -15,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import let, spread
 
 OPEN = "<|im_start|>"
 CLOSE = "<|im_end|>\n"
+#: Turn numbers that one record may span.
+PART = 1024
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -45,13 +52,24 @@ def preference(turns: DataFrame, pair: Column, chosen: Column, turn_col: str = "
     return made.select("pair_id", F.col("x.side").alias("side"), "turn", F.coalesce("x.role", F.lit("")).alias("role"), loss.alias("loss"), "paired", rendered(F.col("x.role"), F.col("x.text")).alias("rendered"))
 
 
-def assembled(segments: DataFrame) -> DataFrame:
-    """(pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask): masks are arrays of (text, loss). For pairs of bounded length."""
-    part = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("turn", "rendered", "loss"))))
-    rows = segments.groupBy("pair_id").agg(*[part(s).alias(s) for s in ("prompt", "chosen", "rejected")])
-    text = lambda c: F.array_join(F.transform(c, lambda x: x["rendered"]), "").alias(c)
-    mask = lambda c: F.transform(c, lambda x: F.struct(x["rendered"].alias("text"), x["loss"].alias("loss"))).alias(f"{c}_mask")
-    return rows.select("pair_id", text("prompt"), text("chosen"), text("rejected"), mask("chosen"), mask("rejected"))
+def assembled(segments: DataFrame, part: int = PART) -> DataFrame:
+    """(pair_id, part, paired, prompt, chosen, rejected, chosen_mask, rejected_mask): the records of ``preference``'s rows."""
+    said = F.array_sort(F.collect_list(F.struct("side", "turn", "rendered", "loss")))  # of ``part`` turns, three sides at most
+    rows = segments.groupBy("pair_id", F.floor(F.col("turn") / part).cast("bigint").alias("part"), "paired").agg(said.alias("said"))
+    of = lambda side: F.filter("said", lambda x: x["side"] == side)
+    text = lambda side: F.array_join(F.transform(of(side), lambda x: x["rendered"]), "").alias(side)
+
+    def mask(side: str) -> Column:
+        ends = F.aggregate(of(side), F.array().cast("array<int>"), lambda z, x: F.concat(z, F.array(F.coalesce(F.get(z, F.size(z) - 1), F.lit(0)) + F.length(x["rendered"]))))
+        spans = let(ends, lambda e: F.transform(of(side), lambda x, i: F.when(x["loss"], F.concat_ws(":", (e[i] - F.length(x["rendered"])).cast("string"), e[i].cast("string")))))
+        return F.array_join(F.array_compact(spans), ",").alias(f"{side}_mask")
+
+    return rows.select("pair_id", "part", "paired", text("prompt"), text("chosen"), text("rejected"), mask("chosen"), mask("rejected"))
+
+
+def paired(turns: DataFrame, pair: Column, chosen: Column, turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART) -> DataFrame:
+    """The pair records of conversations."""
+    return assembled(preference(turns, pair, chosen, turn_col, role_col, text_col), part)
 
 
 def oracle() -> str:
@@ -66,6 +84,12 @@ def oracle() -> str:
     made AS (
       SELECT b.pair_id, CASE WHEN parts IS NULL OR turn < parts THEN 'prompt' ELSE 'chosen' END AS side, turn, crole AS role, ctext AS text, paired FROM sides b JOIN parting p ON b.pair_id = p.pair_id WHERE has_c
       UNION ALL
-      SELECT b.pair_id, 'rejected', turn, rrole, rtext, paired FROM sides b JOIN parting p ON b.pair_id = p.pair_id WHERE has_r AND NOT (parts IS NULL OR turn < parts))
-    SELECT pair_id, side, turn, coalesce(role, '') AS role, side <> 'prompt' AND coalesce(role = 'assistant', false) AS loss, paired,
-           '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered FROM made"""
+      SELECT b.pair_id, 'rejected', turn, rrole, rtext, paired FROM sides b JOIN parting p ON b.pair_id = p.pair_id WHERE has_r AND NOT (parts IS NULL OR turn < parts)),
+    segments AS (SELECT pair_id, side, turn, side <> 'prompt' AND coalesce(role = 'assistant', false) AS loss, paired,
+           '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered FROM made),
+    placed AS (SELECT *, CAST(floor(turn / 1024) AS BIGINT) AS part, sum(length(rendered)) OVER (PARTITION BY pair_id, side, floor(turn / 1024) ORDER BY turn) AS upto FROM segments)
+    SELECT pair_id, part, paired, coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (side = 'prompt'), '') AS prompt,
+           coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (side = 'chosen'), '') AS chosen, coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (side = 'rejected'), '') AS rejected,
+           coalesce(string_agg((upto - length(rendered)) || ':' || upto, ',' ORDER BY turn) FILTER (side = 'chosen' AND loss), '') AS chosen_mask,
+           coalesce(string_agg((upto - length(rendered)) || ':' || upto, ',' ORDER BY turn) FILTER (side = 'rejected' AND loss), '') AS rejected_mask
+    FROM placed GROUP BY pair_id, part, paired"""

@@ -3,14 +3,16 @@
 An item's windows are its runs of ``WINDOW`` words (an item of fewer words: the whole of it). Training and test texts
 keep the minimum k-gram hash of each sliding window of k-grams; with k-grams of ``K`` words and ``WINDOW - K + 1``
 k-grams a window, any shared run of ``WINDOW`` words shares a kept fingerprint. Kept fingerprints are joined, and each
-hit is extended word by word to the item windows around it, so hash collisions cannot make a hit. Items of fewer
-words have fingerprints of their own length, one for each run of that many words.
+hit is extended to the windows around it, which are compared word by word, so hash collisions cannot make a hit. Items of
+fewer words have fingerprints of their own length, one for each run of that many words. Equal windows are numbered once, so a
+window costs a place the same whether one item or ten thousand have it; their items are listed once for a document.
 
-The test side is read in blocks of bounded size, each broadcast after its size was checked; a text is matched with all
-blocks, one after the other. The training side is never shuffled.
+The test side is cut into blocks of at most ``BLOCK_CHARS`` characters, whose size is checked; one block is broadcast at a
+time. With more than one, documents are read anew for each and hits are added up by row; texts are never shuffled for it.
 
 Nulls: a null text has no words and cannot be hit; an item without words has no windows. An item_id that comes twice
-counts once. Empty tables give no rows, or rows without hits. Ids may be null; extra columns are not read.
+counts once; items without an id count as one, and have no name. Empty tables give no rows, or rows without hits. Ids may
+be null; repeated rows are kept; texts of any length are read whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import out, steps
+from .common import checkpointed, spread, steps
 
 WINDOW = 10
 K = 5
@@ -58,6 +61,14 @@ def grams(ids: np.ndarray, k: int) -> np.ndarray:
     return _mixed(h)
 
 
+def grams_of_rows(rows: np.ndarray) -> np.ndarray:
+    """``grams`` of each row's whole run."""
+    h = np.zeros(len(rows), np.uint64)
+    for i in range(rows.shape[1]):
+        h = h * _BASE + rows[:, i].astype(np.uint64) + np.uint64(1)
+    return _mixed(h)
+
+
 def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     """Positions of the rightmost minimum of each run of w hashes."""
     n = len(hashes) - w + 1
@@ -82,123 +93,162 @@ class Block:
         for item, text in items:
             ids = [self.word.setdefault(x, len(self.word) + 1) for x in words_of(text)]
             if ids:
-                self.items.append(item)
+                self.items.append(None if item is None else str(item))
                 runs.append(np.array(ids, np.int32))
-        # For each length of gram: sorted hashes, and the places they stand at.
-        self.length = np.array([len(r) for r in runs], np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self.length + 1)))[: len(runs)]  # a zero after each item
-        self.ids = np.concatenate([np.append(r, 0) for r in runs]).astype(np.int32) if runs else np.zeros(0, np.int32)
-        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for i, ids in enumerate(runs):
-            short = len(ids) < window
-            size = len(ids) if short else k
+        #: For each length of window: sorted kept fingerprints; sorted window hashes, their words, and their items (those of window i from first[i] on).
+        self.prints: dict[int, np.ndarray] = {}
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        sizes = np.array([min(window, len(r)) for r in runs], np.int64)
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n).tolist()
+            size = k if n == window else n
+            kept = [grams(runs[i], size) for i in own]
+            self.prints[n] = np.unique(np.concatenate([h[winnow(h, n - size + 1)] for h in kept]))
+            words = np.concatenate([np.lib.stride_tricks.sliding_window_view(runs[i], n) for i in own])
+            item = np.repeat(own, [len(runs[i]) - n + 1 for i in own])
+            words, of = np.unique(words, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((of.ravel(), item)), axis=1)
+            hashes = grams_of_rows(words)
+            if len(np.unique(hashes)) < len(hashes):
+                raise ValueError("two windows of the benchmark have the same hash")
+            order = np.argsort(hashes)
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            by = np.argsort(place[pairs[0]], kind="stable")
+            first = np.concatenate(([0], np.cumsum(np.bincount(place[pairs[0]], minlength=len(order)))))
+            self.windows[n] = (hashes[order], words[order], first, pairs[1][by])
+
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words, first word, window) of the windows that occur in ids, which are numbers of this block's words, or 0."""
+        unknown = np.concatenate(([0], np.cumsum(ids == 0)))
+        for n, prints in self.prints.items():
+            size = self.k if n == self.window else n
             h = grams(ids, size)
-            kept = winnow(h, 1 if short else window - k + 1)
-            found.setdefault(-size if short else size, []).append((h[kept], np.full(len(kept), i), kept))
-        self.prints = {}
-        for size, parts in found.items():
-            h, i, q = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            self.prints[size] = (h[order], i[order], q[order])
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, words, item) of item windows that occur in ids, which are numbers of this block's words, or 0."""
-        at, size, item = [], [], []
-        for length, (prints, items, places) in self.prints.items():
-            short, n = length < 0, abs(length)
-            window = n if short else self.window
-            h = grams(ids, n)
-            kept = winnow(h, 1 if short else window - n + 1)
-            # A kept gram with a word the block doesn't have is in no window.
-            known = np.concatenate(([0], np.cumsum(ids == 0)))
-            kept = kept[known[kept + n] == known[kept]]
-            low, high = np.searchsorted(prints, h[kept], "left"), np.searchsorted(prints, h[kept], "right")
-            kept, low, high = kept[high > low], low[high > low], high[high > low]
-            total = np.cumsum(high - low)
-            for begin in range(0, int(total[-1]) if len(total) else 0, 1 << 18):  # pairs of a place here and one there
-                pair = np.arange(begin, min(begin + (1 << 18), int(total[-1])))
-                of = np.searchsorted(total, pair, "right")
-                there = low[of] + pair - (total[of] - (high - low)[of])
-                p, i, q = kept[of], items[there], places[there]
-                for back in range(window - n + 1):  # the windows that hold the gram
-                    a, b = p - back, q - back
-                    ok = (a >= 0) & (b >= 0) & (a + window <= len(ids)) & (b + window <= self.length[i])
-                    a, b, j = a[ok], b[ok], i[ok]
-                    same = np.ones(len(a), bool)
-                    for s in range(window):
-                        same &= ids[a + s] == self.ids[self.start[j] + b + s]
-                    at.append(a[same])
-                    size.append(np.full(int(same.sum()), window))
-                    item.append(j[same])
-        empty = np.zeros(0, np.int64)
-        return tuple(np.concatenate(x).astype(np.int64) if x else empty for x in (at, size, item))
+            kept = winnow(h, n - size + 1)
+            kept = kept[unknown[kept + size] == unknown[kept]]  # a gram with a word the block doesn't have is in no window
+            at = np.searchsorted(prints, h[kept])
+            kept = kept[(at < len(prints)) & (prints[np.minimum(at, len(prints) - 1)] == h[kept])]
+            starts = np.unique((kept[:, None] - np.arange(n - size + 1)).ravel())  # of the windows that hold the gram
+            starts = starts[(starts >= 0) & (starts + n <= len(ids))]
+            starts = starts[unknown[starts + n] == unknown[starts]]
+            if not len(starts):
+                continue
+            hashes, words, _, _ = self.windows[n]
+            own = ids[starts[:, None] + np.arange(n)]
+            mine = grams_of_rows(own)
+            at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+            same = (hashes[at] == mine) & (words[at] == own).all(axis=1)
+            yield n, starts[same], at[same]
+
+    def names(self, n: int, windows: np.ndarray) -> set[str | None]:
+        """The items that have any of these windows."""
+        _, _, first, item = self.windows[n]
+        return {self.items[i] for w in windows.tolist() for i in item[first[w] : first[w + 1]].tolist()}
 
 
 def unpacked(part: Broadcast) -> Block:
-    """A broadcast block; the worker doesn't keep its bytes, so that it never holds more than one block."""
+    """A broadcast block; the worker doesn't keep its bytes beside it."""
     block = pickle.loads(part.value)
     part.__dict__.pop("_value", None)
     return block
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
-    """The benchmark in lists of bounded size, sorted into blocks by hash; never more than one block in the driver."""
-    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-2 * total // chars))
+    """The benchmark in lists of at most ``chars`` characters (or of one text), dealt by hash; never more than one list in the driver."""
+    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
+    n = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // chars))
+    while True:
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+        most = dealt.groupBy("block").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows")).where(F.col("chars") > chars).where("rows > 1")
+        if n == 1 or most.isEmpty():
+            break
+        n *= 2
     for i in range(n):
-        yield [tuple(r) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)).collect()]
+        yield [(r[0], r[1]) for r in dealt.where(F.col("block") == i).select("item", "text").collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K, keep: tuple[str, ...] = (), block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Every row's doc_id, n_words, hit ranges and items: (doc_id, n_words, n_hit, starts, ends, items), then the columns in ``keep``.
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint ranges that spans make."""
+    a: list[int] = []
+    b: list[int] = []
+    for x, y in sorted(spans):
+        if b and x <= b[-1]:
+            b[-1] = max(b[-1], y)
+        else:
+            a.append(x)
+            b.append(y)
+    return a, b
 
-    ``starts`` and ``ends`` are word positions of disjoint hit ranges, end exclusive; ``items`` are item ids as strings, sorted.
-    """
-    sc = docs.sparkSession.sparkContext
-    parts = [sc.broadcast(pickle.dumps(Block(items, window, k))) for items in blocks_of(benchmark, item_col, item_text_col, block_chars)]
-    fields = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_hit": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "items": pa.list_(pa.string())}
-    kept = [docs.schema[c] for c in keep]
-    ddl = "doc_id bigint, n_words bigint, n_hit bigint, starts array<bigint>, ends array<bigint>, items array<string>"
+
+def sorted_names(names: set[str | None]) -> list[str | None]:
+    """Names in order; a nameless item comes last."""
+    return [*sorted(x for x in names if x is not None), *([None] if None in names else [])]
+
+
+FIELDS = {"n_words": "bigint", "n_hit": "bigint", "starts": "array<bigint>", "ends": "array<bigint>", "items": "array<string>"}
+
+
+def matched(rows: DataFrame, items: list[tuple], window: int, k: int, hits_only: bool = False) -> DataFrame:
+    """``rows`` with _text in place of FIELDS, matched with one block, which is broadcast; with ``hits_only``, only rows that are hit."""
+    part = rows.sparkSession.sparkContext.broadcast(pickle.dumps(Block(items, window, k)))
+    rest = [f for f in rows.schema.fields if f.name != "_text"]
+    names = [*(f.name for f in rest), *FIELDS]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = unpacked(parts[0]) if len(parts) == 1 else None
+        block = unpacked(part)
+        number = block.word.get
         for batch in steps(batches, "_text"):
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
+            texts = [words_of(t) for t in batch.column(batch.schema.get_field_index("_text")).to_pylist()]
             first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))  # a zero between texts
+            ids = np.zeros(first[-1], np.int32)
+            for t, at in zip(texts, first.tolist(), strict=False):
+                ids[at : at + len(t)] = [number(x, 0) for x in t]
             spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            for part in parts:
-                block = one or unpacked(part)
-                number = block.word.get
-                ids = np.zeros(first[-1], np.int32)
-                for t, at in zip(texts, first.tolist(), strict=False):
-                    ids[at : at + len(t)] = [number(x, 0) for x in t]
-                at, size, item = block.hits(ids)
+            items: list[set[str | None]] = [set() for _ in texts]
+            for n, at, found in block.hits(ids):
                 doc = np.searchsorted(first, at, "right") - 1
-                for d, a, s, i in zip(doc.tolist(), (at - first[doc]).tolist(), size.tolist(), item.tolist(), strict=True):
-                    spans[d].append((a, a + s))
-                    items[d].add(str(block.items[i]))
-            starts, ends = [], []
-            for own in spans:
-                a: list[int] = []
-                b: list[int] = []
-                for x, y in sorted(own):
-                    if b and x <= b[-1]:
-                        b[-1] = max(b[-1], y)
-                    else:
-                        a.append(x)
-                        b.append(y)
-                starts.append(a)
-                ends.append(b)
-            made = {"doc_id": batch.column(0), "n_words": [len(t) for t in texts], "n_hit": [sum(b) - sum(a) for a, b in zip(starts, ends, strict=True)], "starts": starts, "ends": ends, "items": [sorted(i) for i in items]}
-            arrays = [made[c] if isinstance(made[c], pa.Array) else pa.array(made[c], kind) for c, kind in fields.items()]
-            yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(2 + i) for i in range(len(kept)))], [*fields, *(f.name for f in kept)])
-
-    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in keep])
-    for f in kept:
-        ddl += f", `{f.name}` {f.dataType.simpleString()}"
-    return picked.mapInArrow(work, ddl)
+                for d, x in zip(doc.tolist(), (at - first[doc]).tolist(), strict=True):
+                    spans[d].append((x, x + n))
+                for d in np.unique(doc).tolist():
+                    items[d] |= block.names(n, np.unique(found[doc == d]))
+            ranges = [merged(x) for x in spans]
+            made = [pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(b) - sum(a) for a, b in ranges], pa.int64()), pa.array([a for a, _ in ranges], pa.list_(pa.int64())), pa.array([b for _, b in ranges], pa.list_(pa.int64())), pa.array([sorted_names(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in rest), *made], names)
+
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{c} {kind}" for c, kind in FIELDS.items())])
+    found = rows.mapInArrow(work, ddl)
+    return found.where("n_hit > 0") if hits_only else found
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K, keep: tuple[str, ...] = (), block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Every row's doc_id, n_words, hit ranges and items: (doc_id, n_words, n_hit, starts, ends, items), then the columns in ``keep``.
+
+    ``starts`` and ``ends`` are word positions of disjoint hit ranges, end exclusive; ``items`` are item ids as strings, sorted
+    (an item without an id is a null, at the end).
+    """
+    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    order = ["doc_id", *FIELDS, *[F.col(f"_keep_{c}").alias(c) for c in keep]]
+    blocks = blocks_of(benchmark, item_col, item_text_col, block_chars)
+    items, more = next(blocks), next(blocks, None)
+    if more is None:
+        return matched(picked, items, window, k).select(*order)
+    rows = checkpointed(picked.withColumn("_row", F.monotonically_increasing_id()))
+    found = None
+    for part in chain((items, more), blocks):
+        new = checkpointed(matched(rows.select("_row", "_text"), part, window, k, hits_only=True))
+        found = new if found is None else found.unionByName(new)
+    found = found.groupBy(F.col("_row").alias("_of")).agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"), F.flatten(F.collect_list("items")).alias("names"))  # a row's, from each block
+    rest = [f for f in rows.schema.fields if f.name not in ("_text", "_row")]
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "_text"):
+            column = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
+            ranges = [merged([(x["starts"], x["ends"]) for x in s or ()]) for s in column["spans"].to_pylist()]
+            made = [pa.array([len(words_of(t)) for t in column["_text"].to_pylist()], pa.int64()), pa.array([sum(y) - sum(x) for x, y in ranges], pa.int64()), pa.array([x for x, _ in ranges], pa.list_(pa.int64())), pa.array([y for _, y in ranges], pa.list_(pa.int64())), pa.array([sorted_names(set(x or ())) for x in column["names"].to_pylist()], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(column[f.name] for f in rest), *made], [*(f.name for f in rest), *FIELDS])
+
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{c} {kind}" for c, kind in FIELDS.items())])
+    return rows.join(spread(found, "_of"), F.col("_row") == F.col("_of"), "left").mapInArrow(united, ddl).select(*order)
 
 
 def digest(hits: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 A text, in lower case and with single spaces between letters and digits, keeps its cuts (ends of sentences and lines) as
 newlines. A known licence sentence is found where its words stand between two cuts; cuts inside it ("v. 2.0", "software: you")
-and its line breaks don't matter. A licence is found where its rule's sentences occur in the text's sequence of identifiers
-in the rule's order, with anything between them. Nulls: a null text has no sentences. Every row is kept.
+and its line breaks and comment marks don't matter. A licence is found where its rule's sentences occur in the text's sequence of
+identifiers in the rule's order, with anything between them. A licence whose rule another one's contains is named only where
+that other is not found (``WITHIN``).
+
+Nulls: a null text has no sentences. Every row is kept, repeated ones too; an empty table gives no rows; extra columns are not
+read; texts of any length are read whole. Where two sentences begin at one place the longer is taken.
 """
 
 from __future__ import annotations
@@ -33,11 +37,31 @@ SENTENCES = [
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "this source code form is subject to the terms of the mozilla public license v 2 0",
     "all rights reserved",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "this is free and unencumbered software released into the public domain",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    "this work is licensed under a creative commons attribution 4 0 international license",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "distributed under the boost software license version 1 0",
+    "neither the name of the copyright holder nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 ]
 
-#: The same sentences as licences print them at greater length, and their identifiers.
+#: The same sentences as licences print them at greater length or in other words, and their identifiers.
 LONGER = {
     SENTENCES[2] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": 3,
+    SENTENCES[29] + " https www eclipse org legal epl 2 0": 30,
+    SENTENCES[34].replace("of contributors", "of any contributors"): 35,
+    SENTENCES[15].replace("copyright holder", "organization"): 16,
 }
 
 # Licences and the identifiers that their rules ask for, in order.
@@ -47,21 +71,41 @@ RULES = [
     ("MIT", (3, 4)),
     ("Apache-2.0", (5,)),
     ("Apache-2.0", (6, 7)),
+    ("GPL-2.0-only", (20,)),
+    ("GPL-2.0-or-later", (19,)),
     ("GPL-3.0-only", (8,)),
     ("GPL-3.0-or-later", (9,)),
+    ("LGPL-2.1-or-later", (21,)),
+    ("LGPL-3.0-or-later", (22,)),
+    ("LGPL-3.0-or-later", (23,)),
+    ("AGPL-3.0-or-later", (24,)),
     ("CC-BY-NC-4.0", (10,)),
+    ("CC-BY-NC-4.0", (33,)),
     ("CC-BY-4.0", (11,)),
+    ("CC-BY-4.0", (31,)),
     ("CC-BY-SA-4.0", (12,)),
+    ("CC-BY-SA-4.0", (32,)),
     ("BSD-2-Clause", (13, 14, 15)),
     ("BSD-3-Clause", (13, 14, 15, 16)),
+    ("BSD-3-Clause", (13, 14, 15, 35)),
+    ("ISC", (25,)),
+    ("ISC", (26,)),
+    ("Zlib", (27,)),
+    ("BSL-1.0", (34,)),
     ("MPL-2.0", (17,)),
+    ("EPL-2.0", (30,)),
+    ("Unlicense", (28,)),
+    ("CC0-1.0", (29,)),
     ("Proprietary", (18,)),
 ]
 
+#: Licences whose rule is part of another's: named only where the other is not found. A notice of a known licence may reserve rights.
+WITHIN = {"BSD-2-Clause": ("BSD-3-Clause",), "Proprietary": tuple(dict.fromkeys(n for n, _ in RULES if n != "Proprietary"))}
+
 #: Where sentences end.
 CUT = r"[.!?;:]+(?:[ \t\r\n]+|$)|\n+"
 #: Texts without any of these have no licence sentence.
-HINT = "(?i)licen|permission|redistribut|copyright|rights reserved"
+HINT = "(?i)licen|permission|redistribut|copyright|rights reserved|free software|unencumbered"
 
 
 def normalised(text: Column) -> Column:
@@ -72,7 +116,7 @@ def normalised(text: Column) -> Column:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = LONGER | {s: i for i, s in enumerate(SENTENCES, 1)}
-    pattern = "(?<=\n) ?(?:" + "|".join(s.replace(" ", "[ \n]+") for s in known) + ") ?(?=\n)"
+    pattern = "(?<=\n) ?(?:" + "|".join(s.replace(" ", "[ \n]+") for s in sorted(known, key=len, reverse=True)) + ") ?(?=\n)"
     identifier = lambda x: F.element_at(F.array(*map(F.lit, known.values())), F.array_position(F.array(*map(F.lit, known)), F.trim(F.regexp_replace(x, "[ \n]+", " "))).cast("int"))
     found = F.transform(F.regexp_extract_all(normalised(text), F.lit(pattern), F.lit(0)), identifier)
     return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<int>"))
@@ -82,7 +126,9 @@ def licenses_of(ids: Column) -> Column:
     """Licences whose rules the sequence matches, each once, in the rules' order."""
     line = F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ",,"), F.lit(","))
     hits = [F.when(line.like("%" + "%".join(f",{i}," for i in rule) + "%"), F.lit(name)) for name, rule in RULES]
-    return F.when(F.size(ids) > 0, F.array_distinct(F.array_compact(F.array(*hits)))).otherwise(F.array().cast("array<string>"))
+    covered = lambda found, name: F.coalesce(*[F.when(name == F.lit(n), F.arrays_overlap(found, F.array(*map(F.lit, by)))) for n, by in WITHIN.items()], F.lit(False))
+    named = let(F.array_distinct(F.array_compact(F.array(*hits))), lambda found: F.filter(found, lambda name: ~covered(found, name)))
+    return F.when(F.size(ids) > 0, named).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,10 +146,20 @@ def oracle() -> str:
     quoted = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
     rules = ", ".join(f"CASE WHEN line LIKE '%{'%'.join(f',{i},' for i in rule)}%' THEN '{name}' END" for name, rule in RULES)
     order = list(dict.fromkeys(name for name, _ in RULES))
+    within = " ".join(f"WHEN n = '{n}' THEN NOT list_has_any(hits, {quoted(by)})" for n, by in WITHIN.items())
+    known = LONGER | {x: i for i, x in enumerate(SENTENCES, 1)}
+    words = f"trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '{CUT}', chr(10), 'g')), '[^a-z0-9\n]+', ' ', 'g'))"
+    # Every run of pieces between cuts that begins at a piece, joined with single spaces, is looked up; the longest that is known counts.
     return f"""
-    WITH cut AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '{CUT}'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS s FROM documents),
-    ids AS (SELECT doc_id, list_filter(list_transform(s, lambda x: coalesce(list_position({quoted(SENTENCES)}, x), 0)), lambda i: i > 0) AS ids FROM cut),
+    WITH known(s, i) AS (VALUES {', '.join(f"('{x}', {i})" for x, i in known.items())}),
+    hinted AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents),
+    cut AS (SELECT id, list_filter(list_transform(string_split({words}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM hinted WHERE regexp_matches(coalesce(text, ''), '{HINT}')),
+    starts AS (SELECT id, p, unnest(range(1, len(p) + 1)) AS a FROM cut),
+    firsts AS (SELECT DISTINCT string_split(s, ' ')[1] AS w FROM known),
+    runs AS (SELECT id, a, unnest(range(1, least(len(p) - a + 1, 40) + 1)) AS n, p FROM starts WHERE string_split(p[a], ' ')[1] IN (SELECT w FROM firsts)),
+    met AS (SELECT id, a, n, known.i FROM runs JOIN known ON known.s = array_to_string(p[a:a + n - 1], ' ')),
+    ids AS (SELECT h.doc_id, h.id, coalesce(list(m.i ORDER BY m.a) FILTER (m.i IS NOT NULL), []) AS ids FROM hinted h LEFT JOIN (SELECT id, a, i FROM met QUALIFY row_number() OVER (PARTITION BY id, a ORDER BY n DESC) = 1) m USING (id) GROUP BY h.doc_id, h.id),
     lines AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',,') || ',' AS line FROM ids),
     named AS (SELECT doc_id, ids, [{rules}] AS hits FROM lines)
     SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-           array_to_string(list_filter({quoted(order)}, lambda n: list_contains(hits, n)), ',') AS licenses FROM named"""
+           array_to_string(list_filter({quoted(order)}, lambda n: list_contains(hits, n) AND CASE {within} ELSE true END), ',') AS licenses FROM named"""

@@ -15,7 +15,7 @@ from .common import bucket, table
 def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k."""
     conv = F.col("conv_id")
-    return chat.preference(table(spark, sf_dir, "conversations"), F.expr("conv_id div 2"), conv % 2 == 0)
+    return chat.paired(table(spark, sf_dir, "conversations"), F.expr("conv_id div 2"), conv % 2 == 0)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

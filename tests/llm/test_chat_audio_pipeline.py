@@ -24,12 +24,30 @@ def test_preference(spark):
     assert set(made) == {0, 1, 2}
     turn = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
     assert made[0].prompt == turn("system", "s") + turn("user", "hi") + turn("assistant", "") + turn("user", "x")
-    assert made[0].chosen == turn("assistant", "good") and [m.loss for m in made[0].rejected_mask] == [True, True]
+    good, bad, worse = turn("assistant", "good"), turn("assistant", "bad"), turn("assistant", "worse")
+    assert made[0].chosen == good and made[0].chosen_mask == f"0:{len(good)}" and made[0].rejected == bad + worse
+    assert made[0].rejected_mask == f"0:{len(bad)},{len(bad)}:{len(bad + worse)}"
     assert made[1].chosen == made[1].rejected == "" and made[2].prompt == "" and made[2].chosen.startswith(turn("system", "s"))
     assert {r.paired for r in found.where("pair_id = 2").collect()} == {False} and found.where("pair_id = 2").count() == 3
     assert chat.preference(turns.limit(0), F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0).collect() == []
 
 
+def test_preference_of_long_conversations(spark):
+    """A hundred thousand turns on each side, and a text of a million letters: records of bounded turns that are the whole in order."""
+    n, parting = 100_000, 99_000
+    turn = F.col("id") % n
+    rows = spark.range(2 * n).select(F.floor(F.col("id") / n).alias("conv_id"), turn.alias("turn"), F.when(turn % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                     F.when((F.col("id") >= n) & (turn >= parting), F.concat(F.lit("b"), turn)).when(turn == 7, F.repeat(F.lit("x"), 1_000_000)).otherwise(turn.cast("string")).alias("text"))
+    found = sorted(chat.paired(rows, F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0).collect(), key=lambda r: r.part)
+    assert [r.part for r in found] == list(range(-(-n // chat.PART))) and all(r.paired for r in found)
+    said = lambda i, t: f"<|im_start|>{'user' if i % 2 == 0 else 'assistant'}\n{t}<|im_end|>\n"
+    assert "".join(r.prompt for r in found) == "".join(said(i, "x" * 1_000_000 if i == 7 else i) for i in range(parting))
+    assert "".join(r.rejected for r in found) == "".join(said(i, f"b{i}") for i in range(parting, n))
+    for r in found:
+        spans = [tuple(map(int, x.split(":"))) for x in r.chosen_mask.split(",") if x]
+        assert "".join(r.chosen[a:b] for a, b in spans) == "".join(x for x in r.chosen.split("<|im_start|>") if x.startswith("assistant")).replace("assistant\n", "<|im_start|>assistant\n")
+
+
 def recordings():
     rng = np.random.default_rng(2)
     tunes = [rng.normal(0, 0.13, 64) for _ in range(30)]
