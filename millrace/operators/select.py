@@ -29,7 +29,7 @@ def pearson(df, columns, y, index, k, **_):
 
 
 def variance(df, columns, y, index, k, threshold: float = 0.0, **_):
-    found = column_scores(df, columns, "variance", y).withColumn("score", F.round("score", 9)).where(F.col("score") > threshold)
+    found = column_scores(df, columns, "variance", y).where(F.col("score") > threshold)
     return top_k(found, k)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -32,10 +33,15 @@ def metrics(df: DataFrame, y: str = "y", prediction: str = "prediction", by: Seq
 
 def column_scores(df: DataFrame, columns: Sequence[str], score: str, y: str = "y") -> DataFrame:
     """(feature, ordinal, score) for score pearson (absolute), f (univariate regression) or variance."""
-    of = {"pearson": lambda c: F.abs(F.corr(c, y)), "variance": lambda c: F.var_pop(c), "f": lambda c: F.pow(F.corr(c, y), 2)}[score]
+    # A constant column has no correlation (null, scored 0); rounding may not take one beyond 1.
+    capped = lambda r: F.when(r > 1, F.lit(1.0)).otherwise(r)
+    corr = lambda c: capped(F.abs(F.try_divide(F.covar_pop(c, y), F.stddev_pop(c) * F.stddev_pop(y))))
+    of = {"pearson": corr, "variance": lambda c: F.var_pop(c), "f": lambda c: F.pow(corr(c), 2)}[score]
     row = df.agg(*[of(c).alias(f"s{i}") for i, c in enumerate(columns)], F.count("*").alias("n"))
     if score == "f":
-        row = row.select(*[(F.col(f"s{i}") / (1 - F.col(f"s{i}")) * (F.col("n") - 2)).alias(f"s{i}") for i in range(len(columns))])
+        # A feature that is the target up to scale has no rest to divide by: its score is the greatest number.
+        rest = lambda s: F.when(1 - s <= 0, F.lit(sys.float_info.max)).otherwise(s / F.nullif(1 - s, F.lit(0.0)) * (F.col("n") - 2))
+        row = row.select(*[rest(F.col(f"s{i}")).alias(f"s{i}") for i in range(len(columns))])
     stack = ", ".join(f"'{c}', {i}, s{i}" for i, c in enumerate(columns))
     return row.selectExpr(f"stack({len(columns)}, {stack}) as (feature, ordinal, score)").withColumn("score", finite_or_zero(F.col("score")))
 

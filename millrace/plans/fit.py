@@ -41,6 +41,9 @@ class Result:
     importance: DataFrame
     interaction: DataFrame | None
     counts: list[dict]
+    windows: DataFrame
+    columns: list[str]
+    scaler: DataFrame
 
 
 def scaled(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +63,7 @@ def fit_windows(rows: DataFrame, columns: Sequence[str], settings: Settings, cou
     model, params, trials = tune.study(settings.algorithm, train, val, kept, settings.hyperparams, settings.n_trials, settings.seed, settings.timeout, intercept=settings.intercept, non_negative=settings.non_negative)
     y = scaler.where("feature = 'y'").first()
     found = model.predict(z).select("split", "split_row_idx", F.col("truth").alias("y"), (F.col("prediction") * y["std"] + y["mean"]).alias("prediction"))
-    return Result(model, params, trials, stats.metrics(found), found, kept, model.importance(z), model.interaction(z), counts or [])
+    return Result(model, params, trials, stats.metrics(found), found, kept, model.importance(z), model.interaction(z), counts or [], rows.withColumnRenamed("bin", "split_row_idx"), list(columns), scaler)
 
 
 def fit(rows: DataFrame, columns: Sequence[str], settings: Settings, external_test: DataFrame | None = None) -> Result:

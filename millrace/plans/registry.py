@@ -23,3 +23,4 @@ def query(oracle: str | None = None) -> Callable:
 
 
 from . import frames, integers, learning, runs  # noqa: E402, F401  they register their queries
+from . import artifacts  # noqa: E402, F401  it reuses their SQL

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from ..sources import config as C
 from ..sources import sinks, tables
 from .fit import Result, Settings, fit
 
-log = logging.getLogger("millrace")
+log = logging.getLogger("pipeline")
 
 
 def settings_of(c: C.Config) -> Settings:
@@ -23,6 +25,21 @@ def settings_of(c: C.Config) -> Settings:
     )
 
 
+@contextmanager
+def logged(run_dir: str) -> Iterator[None]:
+    """The run's messages in its fit.log; the line that names the report says that the run is finished."""
+    handler, level = logging.FileHandler(os.path.join(run_dir, "fit.log"), mode="w", encoding="utf-8"), log.level
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s :: %(message)s"))
+    log.addHandler(handler)
+    log.setLevel(logging.INFO)
+    try:
+        yield
+    finally:
+        log.removeHandler(handler)
+        log.setLevel(level)
+        handler.close()
+
+
 def run(spark: SparkSession, config_path: str, output_root: str, base: str = ".", n_trials: int = 5) -> tuple[C.Config, Result]:
     """Fit what a configuration says; its folder gets tables, report.md, and a log line that names the report."""
     c = C.load(config_path, output_root)
@@ -30,19 +47,22 @@ def run(spark: SparkSession, config_path: str, output_root: str, base: str = "."
     settings.n_trials = n_trials
     paths = {k: [C.resolved(p, base) for p in g[k]] for k in ("trainset_x_path", "testset_x_path", "y_path")}
     rows, test, columns = tables.load_train_test(spark, paths["trainset_x_path"], paths["testset_x_path"], paths["y_path"], g["y_label"])
-    result = fit(rows, columns, settings, test)
-    sinks.save_splits(result.predictions, f"{c.run_dir}/predictions")
-    sinks.save_importance(result.importance, f"{c.run_dir}/importance")
-    sinks.save_table(result.trials, f"{c.run_dir}/trials")
-    notes = []
-    if result.interaction is None:
-        notes.append("this model gives no interactions")
-    else:
-        top = [r["feature"] for r in sinks.top_features(result.importance).collect()]
-        sinks.save_table(sinks.interaction_matrix(result.interaction, top), f"{c.run_dir}/interaction")
-    if hasattr(result.model, "table"):
-        sinks.save_table(result.model.table(rows).orderBy(F.desc(F.abs("coef") * F.col("support"))), f"{c.run_dir}/rules")
-    report = os.path.join(c.run_dir, "report.md")
-    sinks.write_atomically(report, sinks.report(c.path, settings.algorithm, settings.selector, result.counts, result.metrics, result.params, notes))
-    log.info("done: %s", report)
+    with logged(c.run_dir):
+        result = fit(rows, columns, settings, test)
+        sinks.save_split_tables(result.windows, result.columns, f"{c.run_dir}/splits")
+        sinks.save_scaler(result.scaler, f"{c.run_dir}/standardizer")
+        sinks.save_splits(result.predictions, f"{c.run_dir}/predictions")
+        sinks.save_importance(result.importance, f"{c.run_dir}/importance")
+        sinks.save_table(result.trials, f"{c.run_dir}/trials")
+        notes = []
+        if result.interaction is None:
+            notes.append("this model gives no interactions")
+        else:
+            top = [r["feature"] for r in sinks.top_features(result.importance).collect()]
+            sinks.save_table(sinks.interaction_matrix(result.interaction, top), f"{c.run_dir}/interaction")
+        if hasattr(result.model, "table"):
+            sinks.save_table(result.model.table(rows).orderBy(F.desc(F.abs("coef") * F.col("support"))), f"{c.run_dir}/rules")
+        report = os.path.join(c.run_dir, "report.md")
+        sinks.write_atomically(report, sinks.report(c.path, settings.algorithm, settings.selector, result.counts, result.metrics, result.params, notes))
+        log.info("done: %s", report)
     return c, result

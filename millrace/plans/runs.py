@@ -120,6 +120,6 @@ def hpo_running_best(spark, sf_dir):
 def last_report(spark, sf_dir):
     """A log for each event: its last completion line names the report; a batch answer holds the job's number."""
     name = F.concat(F.lit("runs/"), "event_type", F.lit("/report.md"))
-    log = F.concat(F.lit("start\n"), F.when(F.col("event_id") % 3 == 0, F.lit("stopped")).otherwise(F.concat(F.lit("12:00 INFO done: runs/old.md\n13:00 INFO done: "), name, F.lit("\n"))))
+    log = F.concat(F.lit("start\n"), F.when(F.col("event_id") % 3 == 0, F.lit("stopped")).otherwise(F.concat(F.lit("12:00 INFO pipeline :: done: runs/old/report.md\n12:30 INFO other :: done: x/report.md\n13:00 INFO pipeline :: done: "), name, F.lit("\n"))))
     said = F.concat(F.lit("Submitted batch job "), F.col("event_id").cast("string"))
     return V.table(spark, sf_dir, "events").select("event_id", S.last_report(log).alias("report"), S.job_id(said).alias("job"))

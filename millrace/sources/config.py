@@ -71,13 +71,20 @@ def resolved(path: str, base: str) -> str:
     return path if os.path.isabs(path) or "://" in path else os.path.join(base, path)
 
 
+def run_name(path: str, now: datetime.datetime) -> str:
+    return f"{os.path.splitext(os.path.basename(path))[0]}_{now.strftime('%Y%m%d_%H%M%S')}"
+
+
+def is_config(name: str) -> bool:
+    return name.endswith((".yaml", ".yml"))
+
+
 def load(path: str, output_root: str, now: datetime.datetime | None = None) -> Config:
     """Read and check a configuration, and make its run folder <stem>_<YYYYmmdd_HHMMSS> with what was resolved."""
     with open(path, encoding="utf-8") as f:
         raw = yaml.safe_load(f)
     check(raw)
-    stem = os.path.splitext(os.path.basename(path))[0]
-    run_dir = os.path.join(output_root, f"{stem}_{(now or datetime.datetime.now()).strftime('%Y%m%d_%H%M%S')}")
+    run_dir = os.path.join(output_root, run_name(path, now or datetime.datetime.now()))
     os.makedirs(run_dir, exist_ok=True)
     with open(os.path.join(run_dir, "config.yaml"), "w", encoding="utf-8") as f:
         yaml.safe_dump(raw | {"_meta": {"config_path": os.path.abspath(path), "run_dir": run_dir}}, f, sort_keys=False)
@@ -86,4 +93,4 @@ def load(path: str, output_root: str, now: datetime.datetime | None = None) -> C
 
 def discover(folder: str) -> list[str]:
     """Configurations in a folder, sorted, each once."""
-    return sorted({os.path.join(folder, n) for n in os.listdir(folder) if n.endswith((".yaml", ".yml"))})
+    return sorted({os.path.join(folder, n) for n in os.listdir(folder) if is_config(n)})

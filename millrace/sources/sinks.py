@@ -16,6 +16,14 @@ def save_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def save_split_tables(df: DataFrame, columns: list[str], path: str) -> None:
+    """Six tables, x and y of each split (x_train to y_test), with their columns' types even where a split has no rows."""
+    for s in SPLITS:
+        own = df.where(F.col("split") == s)
+        own.select("split_row_idx", *[f"`{c}`" for c in columns]).write.mode("overwrite").parquet(f"{path}/x_{s}")
+        own.select("split_row_idx", "y").write.mode("overwrite").parquet(f"{path}/y_{s}")
+
+
 def save_scaler(scaler: DataFrame, path: str) -> None:
     scaler.write.mode("overwrite").parquet(path)
 

@@ -4,9 +4,10 @@ import duckdb
 import numpy as np
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from millrace.operators import attention, experiments, models, select
+from millrace.operators import attention, experiments, jobs, models, select, stats, tune
 from millrace.plans import registry, run
 from millrace.sources import config, sinks, tables
 from millrace.streaming.windows import stream_window_mean
@@ -18,10 +19,11 @@ def test_oracles_have_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["ols_metrics", "split_assign", "window_mean", "runs_latest", "parse_metrics_row", "int8_mlp", "int8_layer_norm", "rule_importance"])
+@pytest.mark.parametrize("name", ["ols_metrics", "split_assign", "window_mean", "runs_latest", "parse_metrics_row", "int8_mlp", "int8_layer_norm", "rule_importance", "last_report", "hpo_running_best",
+                                  *(n for n, f in registry.QUERIES.items() if f.__module__.endswith("artifacts"))])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "orders", "embeddings", "lineitem"):
+    for t in ("events", "orders", "embeddings", "lineitem", "nation", "region", "part"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(registry.ORACLES[name])
     got = registry.QUERIES[name](spark, SF)
@@ -55,6 +57,11 @@ def test_run_end_to_end(spark, tmp_path, algorithm, selector):
     assert "same" not in result.selected and (selector is None or {"f0", "f2"} <= set(result.selected))
     found = experiments.parsed_reports(experiments.parsed_dirs(tables.reports(spark, str(tmp_path / "out")))).first()
     assert found.skip_reason is None and abs(found.test_r2 - scores["test"]) < 1e-3 and found.module == "cp0" and found.algorithm == algorithm
+    # The run finds itself finished, and has left its splits and its scaler.
+    logs = spark.createDataFrame([("cp0_input_mcp_elasticnet", c.run_dir, open(f"{c.run_dir}/fit.log").read())], "stem string, run_dir string, log string")
+    done = experiments.finished(logs, spark.createDataFrame([(f"{c.run_dir}/report.md",)], "path string")).first()
+    assert done.run_dir == c.run_dir and experiments.unfinished(logs, experiments.finished(logs, logs.select(F.concat("run_dir", F.lit("/report.md")).alias("path"))), "stem").count() == 0
+    assert spark.read.parquet(f"{c.run_dir}/splits/x_test").count() == 150 and spark.read.parquet(f"{c.run_dir}/standardizer").where("feature = 'y'").count() == 1
     with pytest.raises(ValueError):
         tables.load_pairs(spark, [f"{tmp_path}/alpha_func"], [f"{tmp_path}/beta_pwr"], "p/Pc(top)")
 
@@ -153,3 +160,63 @@ def test_latest_and_failed_trials(spark):
     assert {r.run_dir for r in experiments.latest(runs, ["k"]).collect()} == {"d2", "d3"}
     last = experiments.ranked(runs, ["timestamp"], [experiments.sortable("r2").desc()])
     assert {r.run_dir: r.rank for r in last.collect()} == {"d3": 1, "d1": 2, "d2": 1}
+
+
+def test_bounded_jobs():
+    import threading
+
+    running, most, lock = [0], [0], threading.Lock()
+
+    def work(n):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            return 10 // n
+        finally:
+            with lock:
+                running[0] -= 1
+
+    found = jobs.run_bounded([5, 0, 2, 1, 10], work, 2)
+    assert [r for _, r, _ in found] == [2, None, 5, 10, 1] and found[1][2].startswith("ZeroDivisionError") and most[0] <= 2
+    with pytest.raises(ValueError):
+        jobs.run_bounded([1], work, 0)
+
+
+def test_strict_reports(spark):
+    good = "## Metrics (in original y units)\n" + "".join(f"| {s} | 1 | 2 | 3 | 4 | 0.5 |\n" for s in ("train", "val", "test"))
+    experiments.check_strictly(spark.createDataFrame([(good,)], "report string"))
+    with pytest.raises(ValueError, match="not a number"):
+        experiments.check_strictly(spark.createDataFrame([(good,), (good.replace("| 3", "| 1e"),)], "report string"))
+
+
+def test_perfect_feature_comes_first(spark):
+    rows = spark.createDataFrame([(float(i), 3.0 * i, float(i % 7), 1.0) for i in range(50)], "y double, same double, other double, flat double")
+    found = stats.column_scores(rows, ["flat", "other", "same"], "f")
+    assert [r.feature for r in stats.top_k(found, 3).collect()] == ["same", "other", "flat"]
+
+
+def test_running_best_in_parts(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", i, float(v) if v > 0.1 else None) for i, v in enumerate(rng.random(500))] + [("b", 1, None), ("b", 2, 0.5)]
+    found = {(r.study, r.trial): r.best for r in experiments.running_best(spark.createDataFrame(rows, "study string, trial int, score double"), "study", "trial", "score").collect()}
+    best = {}
+    for s, t, v in rows:
+        best[s] = max((x for x in (best.get(s), v) if x is not None), default=None)
+        assert found[s, t] == best[s]
+
+
+def test_failed_trials_of_any_kind_go_on(spark, monkeypatch):
+    rows = spark.createDataFrame([("train" if i % 3 else "val", i, float(i), 2.0 * i) for i in range(90)], "split string, split_row_idx bigint, a double, y double")
+    kind, calls = models.REGISTRY["ElasticNetCV"], []
+    fit = kind.fit
+
+    def sometimes(self, *a, **k):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("a worker was lost")
+        return fit(self, *a, **k)
+
+    monkeypatch.setattr(kind, "fit", sometimes)
+    _, _, trials = tune.study("ElasticNetCV", rows.where("split = 'train'"), rows.where("split = 'val'"), ["a"], n_trials=2)
+    assert [r.status.split(":")[0] for r in trials.orderBy("trial").collect()] == ["failed", "complete"]
