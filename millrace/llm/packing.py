@@ -35,7 +35,7 @@ END = 1
 BLOCK = 1 << 20
 LINEAR = 1.0
 QUADRATIC = 1.0 / LENGTH
-CACHE = 100_000
+CACHE = 200_000
 CACHED_BYTES = 64
 
 
