@@ -26,7 +26,7 @@ from .common import Recent, kept, out, steps
 
 LIMIT = 512
 #: Entries of a worker's cache, about half of those it may hold.
-CACHE = 100_000
+CACHE = 300_000
 #: Longer units are not cached.
 CACHED_CHARS = 64
 
