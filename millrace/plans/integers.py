@@ -143,7 +143,23 @@ def int8_mlp(spark, sf_dir):
     return rows.select("vec_id", I.mlp(F.col("x"), F.col("w1"), F.col("b1"), F.col("w2"), F.col("b1"), F.col("w3"), F.lit(5).cast("bigint")).alias("o")).select("vec_id", "o.y", "o.shift")
 
 
-@query()
+_AT = lambda x, i: f"{x}[({i}) + 1]"
+_SUM = lambda n, name, body: f"CAST(list_sum(list_transform(range({n}), lambda {name}: CAST({body} AS BIGINT))) AS BIGINT)"
+_EACH = lambda n, name, body: f"list_transform(range({n}), lambda {name}: {body})"
+_AFFINE = lambda x, at: _RQ(f"{_SUM(16, 'i', f'{_AT(x, at)} * {{w}}')} + {{b}} * 128")
+# Positions: qkv is token * 48 + (q, k, v) * 16 + head * 4 + part; s and e are head * 16 + query * 4 + key; c is token * 16 + head * 4 + part.
+_ATTENTION = f"""WITH {_Q},
+  qkv AS (SELECT vec_id, {_EACH(192, "o", _AFFINE("q", "(o // 48) * 16 + i").format(w=_W.format("(o % 48) * 16 + i"), b=_B.format("o % 48")))} AS x FROM q),
+  s AS (SELECT *, {_EACH(64, "o", _SHIFT.format(_SUM(4, "i", f"{_AT('x', '(o // 4 % 4) * 48 + (o // 16) * 4 + i')} * {_AT('x', '(o % 4) * 48 + 16 + (o // 16) * 4 + i')}") + " * 8192 + 524288", 1 << 20))} AS s FROM qkv),
+  d AS (SELECT *, {_EACH(64, "o", "94548 * (list_max(s[(o // 4) * 4 + 1 : (o // 4) * 4 + 4]) - " + _AT("s", "o") + ")")} AS m FROM s),
+  e AS (SELECT *, list_transform(m, lambda m: CASE WHEN m // 16777216 > 16 THEN 0 ELSE
+    ((11279 * (m % 16777216 // 256) * (m % 16777216 // 256)) // 4294967296 + CAST(floor(-44047 * (m % 16777216 // 256) / 65536.0) AS BIGINT) + 65536) // (1 << CAST(m // 16777216 AS INTEGER)) END) AS e FROM d),
+  t AS (SELECT *, {_EACH(16, "o", "greatest(1, CAST(list_sum(e[o * 4 + 1 : o * 4 + 4]) AS BIGINT))")} AS t FROM e),
+  c AS (SELECT vec_id, {_EACH(64, "o", _RQ("(" + _SUM(4, "i", f"{_AT('e', '(o // 4 % 4) * 16 + (o // 16) * 4 + i')} * {_AT('x', 'i * 48 + 32 + o % 16')}") + ") * ((16777216 + t[(o // 4 % 4) * 4 + o // 16 + 1] // 2) // t[(o // 4 % 4) * 4 + o // 16 + 1])", 24))} AS c FROM t)
+  SELECT vec_id, array_to_string({_EACH(64, "o", _AFFINE("c", "(o // 16) * 16 + i").format(w=_W.format("(o % 16) * 16 + i"), b=_B.format("o % 16")))}, ',') AS y FROM c"""
+
+
+@query(_ATTENTION)
 def int8_attention(spark, sf_dir):
     """Four tokens of width 16, four heads; integer NumPy in Arrow batches."""
     made = attention(_vectors(spark, sf_dir), "vec_id", "q", tokens=4, width=16, heads=4)

@@ -54,14 +54,20 @@ def hpo_trials(spark, sf_dir):
     return tune.study("ElasticNetCV", parts["train"], parts["val"], V.E_FEATURES, n_trials=4, intercept=True)[2]
 
 
+_GRAM = [*V.V_FEATURES, "y"]
 _FOLDS = f"""WITH {V.V_SQL}, n AS (SELECT count(*) AS n FROM vv), o AS (SELECT vv.*, row_number() OVER (ORDER BY vec_id) - 1 AS i, n.n FROM vv, n),
-  f AS (SELECT *, CAST(CASE WHEN i < (n % 3) * (n // 3 + 1) THEN i // (n // 3 + 1) ELSE (i - n % 3) // (n // 3) END AS INTEGER) AS fold FROM o) """ + " UNION ALL ".join(
-    f"SELECT fold, count(*)::BIGINT AS n, '{c}' AS feature, round(sum((({c} - (SELECT avg({c}) FROM vv)) / (SELECT stddev_pop({c}) FROM vv)) ** 2), 4) AS sum_of_squares FROM f GROUP BY fold" for c in V.V_FEATURES[:16])
+  f AS (SELECT *, CAST(CASE WHEN i < (n % 3) * (n // 3 + 1) THEN i // (n // 3 + 1) ELSE (i - n % 3) // (n // 3) END AS INTEGER) AS fold FROM o),
+  u AS (SELECT fold, vec_id, feature, v FROM (UNPIVOT f ON {", ".join(_GRAM)} INTO NAME feature VALUE v)),
+  s AS (SELECT feature, avg(v) AS m, stddev_pop(v) AS d FROM u WHERE feature <> 'y' GROUP BY feature),
+  z AS (SELECT fold, vec_id, u.feature, CASE WHEN u.feature = 'y' THEN v ELSE (v - m) / d END AS v FROM u LEFT JOIN s ON u.feature = s.feature)
+  SELECT a.fold, count(*)::BIGINT AS n, a.feature AS feature_i, b.feature AS feature_j, round(sum(a.v * b.v), 4) + 0.0 AS product
+  FROM z a JOIN z b ON a.fold = b.fold AND a.vec_id = b.vec_id GROUP BY ALL"""
 
 
 @query(_FOLDS)
 def fold_gram(spark, sf_dir):
-    """Row counts and the head of the Gram matrix's diagonal, for each of three folds."""
+    """Row counts, X'X, X'y and y'y of each of three folds, over all features."""
     rows = _vectors(spark, sf_dir)
     grams = stats.fold_grams(rows, V.V_FEATURES, "y", stats.fold_of(F.col("split_row_idx"), rows.count(), 3))
-    return spark.createDataFrame([(k, int(g.n), c, round(float(g.products[i, i]), 4)) for k, g in grams.items() for i, c in enumerate(V.V_FEATURES[:16])], "fold int, n bigint, feature string, sum_of_squares double")
+    made = [(k, int(g.n), a, b, round(float(g.products[i, j]), 4) + 0.0) for k, g in grams.items() for i, a in enumerate(_GRAM) for j, b in enumerate(_GRAM)]
+    return spark.createDataFrame(made, "fold int, n bigint, feature_i string, feature_j string, product double")
