@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -224,13 +226,29 @@ class Layers:
         return history
 
 
-def matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in the driver, for networks, whose training is one task; their number is checked."""
-    n = df.count()
+def trained(train: DataFrame, val: DataFrame, columns: Sequence[str], work: Callable) -> object:
+    """What work(x, y, xv, yv) returns, run in one task on rows in order; only its result comes to the driver. The rows' number is checked."""
+    rows = train.select(F.lit(0).alias("part"), "split_row_idx", *columns, "y").unionByName(val.select(F.lit(1).alias("part"), "split_row_idx", *columns, "y"))
+    n = rows.count()
     if n * (len(columns) + 1) > NETWORK_VALUES:
         raise ValueError(f"{n} rows of {len(columns)} columns are too many for one task; use wider windows")
-    rows = df.select(*columns, "y").toPandas().to_numpy(np.float64)
-    return rows[:, :-1], rows[:, -1]
+    one = rows.select("part", "split_row_idx", F.array(*[F.col(c).cast("double") for c in (*columns, "y")]).alias("z"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            t = pa.Table.from_batches(parts)
+            part, at = t["part"].to_numpy(), t["split_row_idx"].to_numpy()
+            z = np.concatenate([b.column(2).flatten().to_numpy(zero_copy_only=False) for b in parts]).reshape(len(part), -1)
+            order = np.lexsort((at, part))
+            z, cut = z[order], int((part == 0).sum())
+            made = pickle.dumps(work(z[:cut, :-1], z[:cut, -1], z[cut:, :-1], z[cut:, -1]))
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
+
+    made = one.repartition(1).mapInArrow(task, "made binary").collect()
+    if not made:
+        raise ValueError("a network needs training rows")
+    return pickle.loads(made[0][0])
 
 
 @register("MLP")
@@ -241,9 +259,13 @@ class Perceptron(Regressor):
 
     def fit(self, train, val, columns, hp):
         self.columns = list(columns)
-        (x, y), (xv, yv) = matrix(train.orderBy("split_row_idx"), columns), matrix(val.orderBy("split_row_idx"), columns)
-        self.net = Layers(len(columns), hp.get("hidden1", 64), hp.get("hidden2", 32), hp.get("dropout", 0.1), hp.get("lr", 3e-3), hp.get("weight_decay", 1e-5), self.seed)
-        self.history = self.net.train(x, y, xv, yv, hp.get("epochs", 300))
+        seed, p = self.seed, len(columns)
+
+        def work(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray) -> tuple:
+            net = Layers(p, hp.get("hidden1", 64), hp.get("hidden2", 32), hp.get("dropout", 0.1), hp.get("lr", 3e-3), hp.get("weight_decay", 1e-5), seed)
+            return net, net.train(x, y, xv, yv, hp.get("epochs", 300))
+
+        self.net, self.history = trained(train, val, columns, work)
         return self
 
     def predict(self, df):

@@ -95,7 +95,7 @@ def fold_of(index: Column, n: int | Column, folds: int) -> Column:
 
 
 def fold_grams(df: DataFrame, columns: Sequence[str], y: str = "y", fold: Column | None = None) -> dict[int, Gram]:
-    """The Gram of each fold in one pass: partial sums by NumPy in each partition, added up by Spark in a tree of array sums.
+    """The Gram of each fold in one pass: partial sums by NumPy in each partition, dealt by (fold, row of the matrix) and added up.
 
     A partition sends one vector of (p + 1)(p + 2) numbers for each fold; they are added up on the executors.
     """
@@ -118,9 +118,19 @@ def fold_grams(df: DataFrame, columns: Sequence[str], y: str = "y", fold: Column
             yield pa.RecordBatch.from_arrays([pa.array([k] * (p + 2), pa.int32()), pa.array(range(p + 2), pa.int32()), pa.array(list(s), pa.list_(pa.float64()))], schema=schema)
 
     partial = packed.mapInArrow(work, "fold int, row int, v array<double>")
-    each = partial.groupBy("fold", "row").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(p + 2)]) if p <= 60 else partial.select("fold", "row", F.posexplode("v").alias("i", "x")).groupBy("fold", "row", "i").agg(F.sum("x").alias("x")).groupBy("fold", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    rows = each.collect()  # p + 2 vectors of p + 2 numbers a fold
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                v = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                    sums[key] = sums[key] + v[i] if key in sums else v[i].copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int32()), pa.array([r for _, r in sums], pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], schema=schema)
+
+    rows = partial.repartition("fold", "row").mapInArrow(added, "fold int, row int, v array<double>").collect()  # p + 2 vectors of p + 2 numbers a fold
     found: dict[int, np.ndarray] = {}
     for r in rows:
-        found.setdefault(r[0], np.zeros((p + 2, p + 2)))[r[1]] = r["v"] if p > 60 else r[2:]
+        found.setdefault(r[0], np.zeros((p + 2, p + 2)))[r[1]] = r["v"]
     return {k: Gram(float(m[-1, -1]), m[-1, :-1].copy(), m[:-1, :-1].copy()) for k, m in sorted(found.items())}

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import Regressor, matrix, register
+from .models import Regressor, register, trained
 
 ATTENTION_ROWS = 1024
 
@@ -173,10 +173,14 @@ class FeatureTransformer(Regressor):
 
     def fit(self, train, val, columns, hp):
         self.columns = list(columns)
-        (x, y), (xv, yv) = matrix(train.orderBy("split_row_idx"), columns), matrix(val.orderBy("split_row_idx"), columns)
-        self.net = Transformer(len(columns), hp.get("d_token", 16), hp.get("n_blocks", 2), hp.get("n_heads", 4), hp.get("d_ffn", 32), hp.get("dropout", 0.0), self.seed)
-        self.history = self.net.train(x, y, xv, yv, hp.get("lr", 3e-3), hp.get("weight_decay", 1e-5), hp.get("noise", 0.0), hp.get("epochs", 300))
-        self.maps = self.net.attention(x[:ATTENTION_ROWS])
+        seed, p = self.seed, len(columns)
+
+        def work(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray) -> tuple:
+            net = Transformer(p, hp.get("d_token", 16), hp.get("n_blocks", 2), hp.get("n_heads", 4), hp.get("d_ffn", 32), hp.get("dropout", 0.0), seed)
+            history = net.train(x, y, xv, yv, hp.get("lr", 3e-3), hp.get("weight_decay", 1e-5), hp.get("noise", 0.0), hp.get("epochs", 300))
+            return net, history, net.attention(x[:ATTENTION_ROWS])
+
+        self.net, self.history, self.maps = trained(train, val, columns, work)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
