@@ -101,6 +101,11 @@ def split_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("n_rows"))
 
 
+def sampled(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
+    """n rows, or all where there are fewer: those whose keys have the least hash with the seed. Each task keeps n rows at most."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)
+
+
 # ---------------------------------------------------------------- windows and scaling
 
 

@@ -14,12 +14,14 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import rules, solvers
+from . import frame, rules, solvers, trees
 from .stats import fold_grams, fold_of
 
 REGISTRY: dict[str, type[Regressor]] = {}
 #: Numbers that a network's training data may have; it is trained in one task.
 NETWORK_VALUES = 50_000_000
+#: Training rows that interactions of boosted trees are averaged over; the feature is such a sample.
+INTERACTION_ROWS = 500
 
 
 def register(name: str) -> Callable[[type], type]:
@@ -106,6 +108,7 @@ class BoostedTrees(Regressor):
         self.model = gbt.fit(self.assembler.transform(rows))
         losses = [self.model.evaluateEachIteration(self.assembler.transform(d.select(*columns, "y")), "squared") for d in (train, val)]
         self.history = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(*losses, strict=True))]
+        self.sample = frame.sampled(train, INTERACTION_ROWS, self.seed, ["split_row_idx"]).select(*columns)
         return self
 
     def predict(self, df):
@@ -114,6 +117,10 @@ class BoostedTrees(Regressor):
     def importances(self):
         return dict(zip(self.columns, self.model.featureImportances.toArray().tolist(), strict=True))
 
+    def interaction(self, df):
+        """Mean absolute Shapley interaction over a seeded sample of the training rows."""
+        return trees.interactions(self.sample, self.columns, trees.leaves(self.model))
+
 
 def tree_rules(debug: str, columns: Sequence[str]) -> list[str]:
     """Every branch of trees, as printed by the model, as a conjunction of thresholds."""
@@ -139,9 +146,9 @@ class RuleFit(Regressor):
     def fit(self, train, val, columns, hp):
         depth = max(1, int(np.ceil(np.log2(hp.get("tree_size", 4)))))
         limit = hp.get("max_rules", 100)
-        trees = BoostedTrees(self.seed).fit(train, val, columns, {"n_estimators": max(1, limit // (2 ** (depth + 1))), "max_depth": depth, "learning_rate": 0.1, "subsample": 0.5})
-        found = tree_rules(trees.model.toDebugString, columns)[:limit]
-        self.columns, self.history = list(columns), trees.history
+        grown = BoostedTrees(self.seed).fit(train, val, columns, {"n_estimators": max(1, limit // (2 ** (depth + 1))), "max_depth": depth, "learning_rate": 0.1, "subsample": 0.5})
+        found = tree_rules(grown.model.toDebugString, columns)[:limit]
+        self.columns, self.history = list(columns), grown.history
         # Linear terms of the same weight as a rule of typical support: 0.4 / std.
         std = train.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
         self.scales = {c: 0.4 / std[c] if std[c] else 1.0 for c in columns}

@@ -54,6 +54,36 @@ def hpo_trials(spark, sf_dir):
     return tune.study("ElasticNetCV", parts["train"], parts["val"], V.E_FEATURES, n_trials=4, intercept=True)[2]
 
 
+@query()
+def gbdt_interaction(spark, sf_dir):
+    """Shapley interactions of boosted trees."""
+    rows = frame.window_mean(V.e_split(spark, sf_dir), [*V.E_FEATURES, "y"], V.WINDOW)
+    settings = fit.Settings(algorithm="GBDT", hyperparams={"n_estimators": 10, "max_depth": 3, "learning_rate": 0.3}, n_trials=1, non_negative=False, intercept=True)
+    return fit.fit_windows(rows, V.E_FEATURES, settings).interaction
+
+
+@query("SELECT event_id, value FROM events ORDER BY md5('42:' || CAST(event_id AS VARCHAR)), event_id LIMIT 500")
+def row_sample(spark, sf_dir):
+    """Five hundred rows by seed: the sample is the feature."""
+    return frame.sampled(V.table(spark, sf_dir, "events"), 500, 42, ["event_id"]).select("event_id", "value")
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS study, o_orderkey, CAST(o_totalprice AS DOUBLE) / 1000 + (CASE WHEN o_orderstatus = 'F' THEN 50 ELSE 0 END) AS score, CAST(o_totalprice AS VARCHAR) AS price, CAST(o_custkey AS VARCHAR) AS cust, o_orderstatus AS status FROM orders WHERE o_orderkey % 11 <> 0),
+  r AS (SELECT study, score, param, value, try_cast(value AS DOUBLE) AS x FROM (UNPIVOT t ON price, cust, status INTO NAME param VALUE value)),
+  w AS (SELECT study, param, min(x) AS low, max(x) AS high, count(x) = count(*) AS number, avg(score) AS mean, var_pop(score) AS var, count(*) AS n FROM r GROUP BY ALL),
+  p AS (SELECT r.study, r.param, mean, var, n, score, CASE WHEN number THEN CAST(coalesce(least(3, CAST(floor((x - low) / nullif(high - low, 0) * 4) AS BIGINT)), 0) AS VARCHAR) ELSE value END AS part FROM r JOIN w ON r.study = w.study AND r.param = w.param),
+  g AS (SELECT study, param, mean, var, n, count(*) AS k, avg(score) AS m FROM p GROUP BY study, param, mean, var, n, part),
+  s AS (SELECT study, param, sum(k * (m - mean) ** 2) / n / var AS share FROM g WHERE n > 1 AND var > 0 GROUP BY study, param, var, n)
+  SELECT study, param, round(share / sum(share) OVER (PARTITION BY study), 6) AS importance FROM s""")
+def hpo_param_importance(spark, sf_dir):
+    """Order priorities as studies, orders as trials; one in eleven failed."""
+    o = V.table(spark, sf_dir, "orders")
+    score = F.col("o_totalprice") / 1000 + F.when(F.col("o_orderstatus") == "F", 50).otherwise(0)
+    params = F.create_map(*[c for name, col in (("price", "o_totalprice"), ("cust", "o_custkey"), ("status", "o_orderstatus")) for c in (F.lit(name), F.col(col).cast("string"))])
+    trials = o.select(F.col("o_orderpriority").alias("study"), params.alias("params"), F.when(F.col("o_orderkey") % 11 != 0, score).otherwise(float("-inf")).alias("score"))
+    return tune.importances(trials).withColumn("importance", F.round("importance", 6))
+
+
 _GRAM = [*V.V_FEATURES, "y"]
 _FOLDS = f"""WITH {V.V_SQL}, n AS (SELECT count(*) AS n FROM vv), o AS (SELECT vv.*, row_number() OVER (ORDER BY vec_id) - 1 AS i, n.n FROM vv, n),
   f AS (SELECT *, CAST(CASE WHEN i < (n % 3) * (n // 3 + 1) THEN i // (n // 3 + 1) ELSE (i - n % 3) // (n // 3) END AS INTEGER) AS fold FROM o),

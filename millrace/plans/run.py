@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import tune
 from ..sources import config as C
 from ..sources import sinks, tables
 from .fit import Result, Settings, fit
@@ -54,6 +55,8 @@ def run(spark: SparkSession, config_path: str, output_root: str, base: str = "."
         sinks.save_splits(result.predictions, f"{c.run_dir}/predictions")
         sinks.save_importance(result.importance, f"{c.run_dir}/importance")
         sinks.save_table(result.trials, f"{c.run_dir}/trials")
+        sinks.save_table(tune.importances(result.trials.withColumn("study", F.lit(settings.algorithm))).orderBy(F.desc("importance")), f"{c.run_dir}/param_importances")
+        sinks.save_table(result.model.convergence(rows), f"{c.run_dir}/convergence")
         notes = []
         if result.interaction is None:
             notes.append("this model gives no interactions")
