@@ -67,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_preference": chat.oracle(),
+    "op2_secrets": secrets.oracle(),
     "op8_licenses": licenses.oracle(),
     "op10_decontamination": decontaminate.oracle(),
 }

@@ -139,3 +139,29 @@ def redacted(text: Column, spans: Column, live_mark: str = "[SECRET]", example_m
             F.when(x["live"], F.lit(live_mark)).otherwise(F.lit(example_mark)))),
         F.array(let(F.element_at(m, -1)["b"], lambda last: F.substring(text, last + 1, F.lit(2147483647) - last - 1)))))
     return F.when(F.size(spans) == 0, text).otherwise(F.array_join(pieces, ""))
+
+
+def oracle() -> str:
+    """The scan of ``documents`` as DuckDB SQL; only the kinds' patterns and the placeholder words are shared with the operator.
+
+    Letters of either case are written out, because that engine folds other letters onto ASCII ones too.
+    """
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    patterns = KINDS | {"assign": f"(?:{'|'.join(map(either, ('password', 'passwd', 'secret', 'token', 'api_?key')))})" + KINDS["assign"].split(")", 1)[1]}
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(f"SELECT r, {i} AS rank, {q(k)} AS kind, string_split_regex(t, {q(v)}) AS gaps, regexp_extract_all(t, {q(v)}) AS found FROM d" for i, (k, v) in enumerate(patterns.items()))
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, CAST(source AS VARCHAR) AS owner, CAST(doc_id AS VARCHAR) AS repository, coalesce(text, '') AS t FROM documents),
+  f AS ({found}),
+  u AS (SELECT r, rank, kind, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS hit, generate_subscripts(found, 1) AS i FROM f WHERE len(found) > 0),
+  s AS (SELECT r, rank, kind, hit, CASE WHEN rank = 0 THEN regexp_extract(hit, {q(patterns["assign"])}, 1) ELSE hit END AS value, sum(length(gap) + length(hit)) OVER (PARTITION BY r, rank ORDER BY i) AS stop FROM u),
+  k AS MATERIALIZED (SELECT r, rank, kind, value, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM s
+    WHERE (rank <> 0 OR length(value) >= 6) AND (rank <> 3 OR (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')))),
+  c AS MATERIALIZED (SELECT * FROM k WHERE rank < 3 UNION ALL SELECT * FROM k o WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.r = o.r AND b.rank < 3 AND b.start < o.stop AND o.start < b.stop)),
+  h AS (SELECT DISTINCT value, owner, repository FROM c JOIN d USING (r)),
+  w AS (SELECT value, count(DISTINCT coalesce('=' || owner, '')) >= {WIDE_OWNERS} OR count(*) >= {WIDE_REPOSITORIES} AS wide FROM h GROUP BY value),
+  j AS (SELECT c.*, wide, NOT wide AND len(list_distinct(string_split(c.value, ''))) >= 8 AND NOT regexp_matches(c.value, {q(PLACEHOLDER)}) AS live FROM c JOIN w ON c.value = w.value),
+  g AS (SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (wide) AS n_widespread FROM j WHERE rank < 3 OR live GROUP BY r)
+  SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+    coalesce(n_live, 0) AS n_live, coalesce(n_widespread, 0) AS n_widespread FROM d LEFT JOIN g ON d.r = g.r"""
