@@ -67,12 +67,23 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table that run() wrote, in whatever file system the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
+    """All stages over documents, each written as Parquet in the shared folder and read again by the next.
+
+    A stage's table goes once the next one is written, as nothing reads it any more; the last one stays for the caller.
+    """
     at = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{at}/{i}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            dropped(spark, f"{at}/{i - 1}_{STAGES[i - 1][0]}")
     return docs
