@@ -98,13 +98,14 @@ class ElasticNet(Regressor):
 class BoostedTrees(Regressor):
     @staticmethod
     def space() -> dict[str, tuple]:
-        return {"n_estimators": ("int", 20, 100), "max_depth": ("int", 3, 8), "learning_rate": ("log", 1e-2, 0.3), "subsample": ("float", 0.6, 1.0)}
+        return {"n_estimators": ("int", 100, 1500), "max_depth": ("int", 3, 8), "learning_rate": ("log", 1e-3, 0.3), "subsample": ("float", 0.6, 1.0), "colsample_bytree": ("float", 0.6, 1.0)}
 
     def fit(self, train, val, columns, hp):
         self.columns = list(columns)
         self.assembler = VectorAssembler(inputCols=self.columns, outputCol="_x")
         rows = train.select(*columns, "y").withColumn("_val", F.lit(False)).unionByName(val.select(*columns, "y").withColumn("_val", F.lit(True)))
-        gbt = GBTRegressor(featuresCol="_x", labelCol="y", predictionCol="prediction", validationIndicatorCol="_val", maxIter=hp.get("n_estimators", 50), maxDepth=hp.get("max_depth", 4), stepSize=hp.get("learning_rate", 0.1), subsamplingRate=hp.get("subsample", 1.0), seed=self.seed)
+        # Trees are added until validation rows get no better; a relative tolerance would end slow learning at its first tree.
+        gbt = GBTRegressor(featuresCol="_x", labelCol="y", predictionCol="prediction", validationIndicatorCol="_val", validationTol=0.0, featureSubsetStrategy=str(float(hp.get("colsample_bytree", 1.0))), maxIter=hp.get("n_estimators", 50), maxDepth=hp.get("max_depth", 4), stepSize=hp.get("learning_rate", 0.1), subsamplingRate=hp.get("subsample", 1.0), seed=self.seed)
         self.model = gbt.fit(self.assembler.transform(rows))
         losses = [self.model.evaluateEachIteration(self.assembler.transform(d.select(*columns, "y")), "squared") for d in (train, val)]
         self.history = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(*losses, strict=True))]
