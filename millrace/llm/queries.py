@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontaminate, langid, licenses, packing, quality, secrets, simhash, tokens
+from . import audio, chat, decontaminate, fim, langid, licenses, merkle, packing, quality, secrets, simhash, tokens
 from .common import bucket, table
 
 
@@ -61,8 +61,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_preference, op2_secrets, op3_quality, op4_tokens, op5_audio, op6_packing, op7_language, op8_licenses, op9_simhash, op10_decontamination)
+    f.__name__: f for f in (op1_preference, op2_secrets, op3_quality, op4_tokens, op5_audio, op6_packing, op7_language, op8_licenses, op9_simhash, op10_decontamination, op11_merkle, op12_fim)
 }
 
 ORACLES: dict[str, str] = {
@@ -70,4 +78,6 @@ ORACLES: dict[str, str] = {
     "op2_secrets": secrets.oracle(),
     "op8_licenses": licenses.oracle(),
     "op10_decontamination": decontaminate.oracle(),
+    "op11_merkle": merkle.oracle(),
+    "op12_fim": fim.oracle(),
 }
