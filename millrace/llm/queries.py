@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontaminate, fim, langid, licenses, merkle, packing, quality, secrets, simhash, tokens
+from . import audio, chat, decontaminate, fim, langid, licenses, merkle, packing, quality, secrets, simhash, tokens, toxicity
 from .common import bucket, table
 
 
@@ -69,8 +69,16 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = bucket(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_preference, op2_secrets, op3_quality, op4_tokens, op5_audio, op6_packing, op7_language, op8_licenses, op9_simhash, op10_decontamination, op11_merkle, op12_fim)
+    f.__name__: f for f in (op1_preference, op2_secrets, op3_quality, op4_tokens, op5_audio, op6_packing, op7_language, op8_licenses, op9_simhash, op10_decontamination, op11_merkle, op12_fim, op13_toxicity)
 }
 
 ORACLES: dict[str, str] = {
