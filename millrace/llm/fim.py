@@ -1,14 +1,15 @@
 """Fill-in-middle documents over an index of distinct texts.
 
-A text is cut into units (a run of ASCII letters, or any other code point). The index holds each distinct text once, with the
-ends of its units as an Elias-Fano list: a unit's end has its low bits packed, and its high bits as gaps in a bit string,
-so a unit takes about two bits and its low ones. Documents name their text by its SHA-256 and length, are joined back to the
-index by it, and read the two ends that their seed selects. Every document is verified at last: the text rebuilt from its
-own output must have the digest that the scan has found for that document, or the job fails.
+A text is cut into units (a run of ASCII letters, or any other code point). The index holds each distinct text once, found by its
+SHA-256 and length, without its copies being sent around: they are dropped where they are read, as far as one task has
+them. Documents are joined back to the index by that key, and a text's unit ends are listed once for all of its documents as an
+Elias-Fano list: low bits packed, high bits as gaps in a bit string, so a unit takes about two bits and its low ones. Each
+document reads the two ends that its seed selects. Every document is verified at last: the text rebuilt from its own output must
+have the digest that the scan has found for that document, or the job fails.
 
-Keys that very many documents share are dealt over several chunks on both sides: a key with more than one row in ``SHARE``
-of all, or more than ``CHUNK`` rows, so there are never more than ``SHARE`` plus one in ``CHUNK`` rows of such keys
-(40 bytes each), which are broadcast. Each chunk of such a key has its own copy of the list.
+A key with more than one row in ``SHARE`` of all, or with more than ``CHUNK`` rows, is dealt over several chunks on both sides, each with
+its own copy of the text. There are never more than ``SHARE`` plus one in ``CHUNK`` rows of such keys (50 bytes each), which
+are broadcast.
 
 Defined results: a null text is empty; a null id is seeded as an empty one. Empty texts have no units and are plain. Texts are
 cut whole, at any length. Rows that share an id get the same seed; equal rows give equal results. Empty tables give no rows;
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, out, steps
+from .common import STEP_BYTES, STEP_ROWS, checkpointed, out, steps
 
 MARKS = ("<P>", "<S>", "<M>")
 #: Shares, in percent: documents that stay plain, and of the others those with the suffix first.
 PLAIN, SUFFIX_FIRST = 10, 20
 SHARE = 512
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Ends between two marks of where to look in the bit string.
 SKIP = 256
 
@@ -124,38 +125,42 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows (key, chunk, text) with their lists of ends."""
-    schema = pa.schema([("key", pa.binary()), ("chunk", pa.int32()), ("text", pa.string()), ("ends", pa.binary())])
-    for b in steps(batches):
-        yield out(schema, {"key": b.column(0), "chunk": b.column(1), "text": b.column(2), "ends": [EliasFano.of(unit_ends(t)).dump() for t in b.column(2).to_pylist()]})
+def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, documents) to each document's form, cuts, output and digests; a text's list of ends is made once for all of them."""
+    made, size = [], 0
 
+    def flushed() -> pa.RecordBatch:
+        return out(_OUT, dict(zip(_OUT.names, zip(*made, strict=True), strict=True)))
 
-def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, text, ends) to the document's form, cuts, output and digests."""
-    names = _OUT.names
     for b in steps(batches):
-        made: dict[str, list] = {name: [] for name in names}
-        for i, key, text, ends in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            h1, h2, h3, h4 = seeds(i)
-            ends = EliasFano.load(ends)
-            form, cut, output = form_of(text, h3, h4), (None, None), text
-            if form != "plain":
-                one, two = sorted((h1 % (ends.n + 1), h2 % (ends.n + 1)))
-                a, z = (ends[k - 1] if k else 0 for k in (one, two))
-                cut, output = (a, z - a), joined(form, text[:a], text[a:z], text[z:])
-            back = _sha(restored(output, form))
-            if bytes.fromhex(back) != key[:32]:
-                raise ValueError(f"the text of document {i} can't be rebuilt")
-            for name, v in zip(names, (i, ends.n, form, *cut, output, _sha(output), back), strict=True):
-                made[name].append(v)
-        yield out(_OUT, made)
+        for key, text, members in zip(*b.columns, strict=True):
+            key, text = key.as_py(), text.as_py()
+            ends, h = EliasFano.of(unit_ends(text)), _sha(text)
+            for i in members.values.field(0).to_pylist():
+                h1, h2, h3, h4 = seeds(i)
+                form, cut, output, h_output = form_of(text, h3, h4), (None, None), text, h
+                if form != "plain":
+                    one, two = sorted((h1 % (ends.n + 1), h2 % (ends.n + 1)))
+                    a, z = (ends[k - 1] if k else 0 for k in (one, two))
+                    cut, output = (a, z - a), joined(form, text[:a], text[a:z], text[z:])
+                    h_output = _sha(output)
+                back = _sha(restored(output, form))
+                if bytes.fromhex(back) != key[:32]:
+                    raise ValueError(f"the text of document {i} can't be rebuilt")
+                made.append((i, ends.n, form, *cut, output, h_output, back))
+                size += len(output)
+                if len(made) >= STEP_ROWS or size >= STEP_BYTES:
+                    yield flushed()
+                    made, size = [], 0
+    if made:
+        yield flushed()
 
 
 def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output, output_sha256, restored_sha256), one row a document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.concat(F.unhex(F.sha2(text.cast("binary"), 256)), F.unhex(F.lpad(F.hex(F.octet_length(text)), 16, "0")))
+    key = F.coalesce(key, F.lit(b""))  # never null, and the planner may know
     named = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"))
     # How many documents have each key: keys with very many are few, by their number.
     counts = checkpointed(named.groupBy("key").agg(F.count("*").alias("rows")))
@@ -165,10 +170,9 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = lambda rows, by: rows.join(hot, "key", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64(by), F.col("chunks")).cast("int"), F.lit(0)))
 
     whole = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), key.alias("key"))
-    index = dealt(whole, "doc_id").groupBy("key", "chunk").agg(F.min("text").alias("text")).select("key", "chunk", "text")
-    index = index.mapInArrow(listed, "key binary, chunk int, text string, ends binary")
-    rows = dealt(named, "doc_id").select("doc_id", "key", "chunk")
-    met = rows.join(index, ["key", "chunk"]).select("doc_id", "key", "text", "ends")
+    index = dealt(whole, "doc_id").groupBy("key", "chunk").agg(F.min("text").alias("text"))
+    members = dealt(named, "doc_id").groupBy("key", "chunk").agg(F.collect_list(F.struct("doc_id")).alias("documents"))  # a chunk's ids, about ``most``
+    met = index.join(members, ["key", "chunk"]).select("key", "text", "documents")  # both lie by key and chunk
     return met.mapInArrow(transformed, _COLUMNS)
 
 
