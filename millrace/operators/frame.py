@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cluster import checkpointed
 from ..functions.scalar import guarded, is_finite
+from .moments import moments
 
 
 def with_row_index(df: DataFrame, group: str, order: Sequence[str], name: str = "row_idx") -> DataFrame:
@@ -110,18 +111,23 @@ def sampled(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
 
 
 def window_mean(df: DataFrame, columns: Sequence[str], size: int, keys: Sequence[str] = ("split",), index: str = "split_row_idx") -> DataFrame:
-    """Means of full windows of ``size`` rows; what doesn't fill the last window is left out."""
+    """Means of full windows of ``size`` rows; what doesn't fill the last window is left out.
+
+    A group (split) that has rows but not one full window is an error when the windows are read: it would be lost as a whole.
+    """
     if size < 1:
         raise ValueError("a window has one row at least")
     bins = df.groupBy(*keys, F.floor(F.col(index) / size).cast("bigint").alias("bin")).agg(*[F.avg(c).alias(c) for c in columns], F.count("*").alias("_n"))
-    return bins.where(F.col("_n") == size).drop("_n")
+    # A group's window 0 is full if any is: rows are numbered from 0.
+    short = (F.col("bin") == 0) & (F.col("_n") < size)
+    told = F.raise_error(F.concat(F.lit(f"a window of {size} rows is wider than "), F.to_json(F.struct(*[F.col(k) for k in keys])), F.lit(", which has "), F.col("_n").cast("string"))).cast("boolean")
+    return bins.where(F.when(short, told).otherwise(F.col("_n") == size)).drop("_n")
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, mean, std): population deviation, 0 counted as 1."""
-    long = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)])
-    stack = ", ".join(f"'{c}', m{i}, s{i}" for i, c in enumerate(columns))
-    return long.selectExpr(f"stack({len(columns)}, {stack}) as (feature, mean, std)").withColumn("std", guarded(F.col("std")))
+    """(feature, mean, std): population deviation, 0 counted as 1; null without values."""
+    some = lambda c: F.when(F.col("n") > 0, c)
+    return moments(df, columns).select("feature", some(F.col("mean")).alias("mean"), guarded(some(F.sqrt(F.try_divide("m2", "n")))).alias("std"))
 
 
 def scale(df: DataFrame, scaler: DataFrame, columns: Sequence[str], inverse: bool = False) -> DataFrame:
@@ -132,10 +138,9 @@ def scale(df: DataFrame, scaler: DataFrame, columns: Sequence[str], inverse: boo
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, is_constant), in one pass."""
-    row = df.agg(*[(F.max(c) == F.min(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    stack = ", ".join(f"'{c}', c{i}" for i, c in enumerate(columns))
-    return row.selectExpr(f"stack({len(columns)}, {stack}) as (feature, is_constant)")
+    """(feature, is_constant), in one pass; nulls aside, NaN is a value of its own, and a column without values is neither."""
+    same = F.when(F.col("n_nan") > 0, F.col("n_nan") == F.col("n")).otherwise(F.col("min") == F.col("max"))
+    return moments(df, columns).select("feature", F.when(F.col("n") > 0, same).alias("is_constant"))
 
 
 def drop_constant(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -147,11 +152,7 @@ def drop_constant(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, lis
 
 def finite_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, n_nan, n_inf, n_null) in one pass."""
-    counts: list[Column] = []
-    for i, c in enumerate(columns):
-        counts += [F.count_if(F.isnan(c)).alias(f"n{i}"), F.count_if(F.abs(F.col(c)) == float("inf")).alias(f"i{i}"), F.count_if(F.col(c).isNull()).alias(f"u{i}")]
-    stack = ", ".join(f"'{c}', n{i}, i{i}, u{i}" for i, c in enumerate(columns))
-    return df.agg(*counts).selectExpr(f"stack({len(columns)}, {stack}) as (feature, n_nan, n_inf, n_null)")
+    return moments(df, columns).select("feature", *[F.col(c).cast("bigint").alias(c) for c in ("n_nan", "n_inf", "n_null")])
 
 
 def check_finite(df: DataFrame, columns: Sequence[str]) -> None:

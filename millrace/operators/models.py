@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import frame, rules, solvers, trees
-from .stats import fold_grams, fold_of
+from ..functions.scalar import vector
+from . import boosting, frame, rules, solvers, trees
+from .stats import Gram, fold_grams, fold_of
 
 REGISTRY: dict[str, type[Regressor]] = {}
 #: Numbers that a network's training data may have; it is trained in one task.
@@ -66,12 +63,14 @@ class Regressor:
         return df.sparkSession.createDataFrame(self.history, "iteration int, train_loss double, val_loss double")
 
 
-def _linear(columns: Sequence[str], w: np.ndarray, a: float) -> F.Column:
-    made = F.lit(float(a))
-    for c, v in zip(columns, w, strict=True):
-        if v:
-            made = made + F.col(c) * float(v)
-    return made
+def by_rows(df: DataFrame, columns: Sequence[str], of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Add the prediction of each row's vector, in Arrow batches; the plan doesn't grow with the columns' or terms' number."""
+
+    @F.arrow_udf("double")
+    def predicted(v: pa.Array) -> pa.Array:
+        return pa.array(of(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)), pa.float64())
+
+    return df.withColumn("prediction", predicted(vector(columns)))
 
 
 @register("ElasticNetCV")
@@ -88,7 +87,8 @@ class ElasticNet(Regressor):
         return self
 
     def predict(self, df):
-        return df.withColumn("prediction", _linear(self.columns, self.w, self.a))
+        w, a = self.w, self.a
+        return by_rows(df, self.columns, lambda x: x @ w + a)
 
     def importances(self):
         return dict(zip(self.columns, np.abs(self.w).tolist(), strict=True))
@@ -101,40 +101,35 @@ class BoostedTrees(Regressor):
         return {"n_estimators": ("int", 100, 1500), "max_depth": ("int", 3, 8), "learning_rate": ("log", 1e-3, 0.3), "subsample": ("float", 0.6, 1.0), "colsample_bytree": ("float", 0.6, 1.0)}
 
     def fit(self, train, val, columns, hp):
+        """Trees are added until the validation rows' error hasn't fallen for 30 of them; those up to the best one count."""
         self.columns = list(columns)
-        self.assembler = VectorAssembler(inputCols=self.columns, outputCol="_x")
-        rows = train.select(*columns, "y").withColumn("_val", F.lit(False)).unionByName(val.select(*columns, "y").withColumn("_val", F.lit(True)))
-        # Trees are added until validation rows get no better; a relative tolerance would end slow learning at its first tree.
-        gbt = GBTRegressor(featuresCol="_x", labelCol="y", predictionCol="prediction", validationIndicatorCol="_val", validationTol=0.0, featureSubsetStrategy=str(float(hp.get("colsample_bytree", 1.0))), maxIter=hp.get("n_estimators", 50), maxDepth=hp.get("max_depth", 4), stepSize=hp.get("learning_rate", 0.1), subsamplingRate=hp.get("subsample", 1.0), seed=self.seed)
-        self.model = gbt.fit(self.assembler.transform(rows))
-        losses = [self.model.evaluateEachIteration(self.assembler.transform(d.select(*columns, "y")), "squared") for d in (train, val)]
-        self.history = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(*losses, strict=True))]
+        self.model = boosting.boost(train, val, columns, hp.get("n_estimators", 1500), hp.get("max_depth", 4), hp.get("learning_rate", 0.1), hp.get("subsample", 1.0), hp.get("colsample_bytree", 1.0), self.seed, hp.get("early_stopping_rounds", 30))
+        self.history = self.model.history
         self.sample = frame.sampled(train, INTERACTION_ROWS, self.seed, ["split_row_idx"]).select(*columns)
         return self
 
     def predict(self, df):
-        return self.model.transform(self.assembler.transform(df)).drop("_x")
+        return by_rows(df, self.columns, self.model.predict)
 
     def importances(self):
-        return dict(zip(self.columns, self.model.featureImportances.toArray().tolist(), strict=True))
+        return dict(zip(self.columns, self.model.gains().tolist(), strict=True))
 
     def interaction(self, df):
         """Mean absolute Shapley interaction over a seeded sample of the training rows."""
         return trees.interactions(self.sample, self.columns, trees.leaves(self.model))
 
 
-def tree_rules(debug: str, columns: Sequence[str]) -> list[str]:
-    """Every branch of trees, as printed by the model, as a conjunction of thresholds."""
+def tree_rules(grown: Sequence[boosting.Tree], columns: Sequence[str]) -> list[str]:
+    """Every branch of trees as a conjunction of thresholds, equal ones once."""
     found: list[str] = []
-    path: list[tuple[int, str]] = []
-    for line in debug.splitlines():
-        if m := re.match(r"^(\s*)(If|Else) \(feature (\d+) (<=|>) (-?[\d.eE+-]+)\)", line):
-            depth = len(m[1])
-            path = [p for p in path if p[0] < depth]
-            path.append((depth, f"{columns[int(m[3])]} {m[4]} {float(m[5])!r}"))
-            found.append(" & ".join(t for _, t in path))
-        elif re.match(r"^\s*Tree \d+", line):
-            path = []
+    for t in grown:
+        path = {0: []}
+        for node in range(len(t.feature)):  # parents come before their children
+            if t.feature[node] >= 0:
+                name, cut = columns[t.feature[node]], float(t.threshold[node])
+                for child, op in ((t.left[node], "<="), (t.right[node], ">")):
+                    path[int(child)] = [*path[node], f"{name} {op} {cut!r}"]
+                    found.append(" & ".join(path[int(child)]))
     return list(dict.fromkeys(found))
 
 
@@ -142,39 +137,49 @@ def tree_rules(debug: str, columns: Sequence[str]) -> list[str]:
 class RuleFit(Regressor):
     @staticmethod
     def space() -> dict[str, tuple]:
-        return {"tree_size": ("int", 2, 5), "max_rules": ("choice", [50, 100, 200])}
+        return {"tree_size": ("int", 2, 5), "max_rules": ("choice", [500, 1000, 2000, 4000]), "memory_par": ("log", 1e-3, 1e-1)}
 
     def fit(self, train, val, columns, hp):
-        depth = max(1, int(np.ceil(np.log2(hp.get("tree_size", 4)))))
-        limit = hp.get("max_rules", 100)
-        grown = BoostedTrees(self.seed).fit(train, val, columns, {"n_estimators": max(1, limit // (2 ** (depth + 1))), "max_depth": depth, "learning_rate": 0.1, "subsample": 0.5})
-        found = tree_rules(grown.model.toDebugString, columns)[:limit]
-        self.columns, self.history = list(columns), grown.history
-        # Linear terms of the same weight as a rule of typical support: 0.4 / std.
-        std = train.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
-        self.scales = {c: 0.4 / std[c] if std[c] else 1.0 for c in columns}
-        support = {r["rule_id"]: r["support"] for r in rules.rule_support(train, found).collect()} if found else {}
-        self.rules = [r for i, r in enumerate(found) if 0 < support[i] < 1]
-        self.support = [support[i] for i, r in enumerate(found) if 0 < support[i] < 1]
-        wide = self.terms(train)
-        names = [*[f"lin_{i}" for i in range(len(columns))], *[f"rule_{i}" for i in range(len(self.rules))]]
-        folds = fold_grams(wide, names, "y", fold_of(F.col("split_row_idx"), train.count(), 3))
-        self.w, self.a, *_ = solvers.elastic_net_cv(folds, [1.0], 30, self.non_negative, self.intercept, max_iter=300)
-        self.names = names
+        """Small trees on row samples, each tree's number of leaves drawn about ``tree_size``; all their branches, and the columns themselves, as terms of a lasso.
+
+        A column's term has the weight of a rule of typical support: it is scaled by 0.4 over its deviation.
+        """
+        size, limit = hp.get("tree_size", 4), hp.get("max_rules", 2000)
+        n = train.count()
+        rng = np.random.default_rng(self.seed)
+        grown = -(-limit // size)
+        leaves = (2 + np.floor(rng.exponential(max(size - 2, 0), grown))).astype(int).tolist()
+        share = min(0.5, (100 + 6 * np.sqrt(n)) / n)
+        deepest = max(1, int(np.ceil(np.log2(max(leaves)))) + 1)
+        made = boosting.boost(train, val, columns, grown, deepest, hp.get("memory_par", 0.01), share, 1.0, self.seed, None, leaves, parallel=8)
+        found = tree_rules(made.trees, columns)[:limit]
+        self.columns, self.history = list(columns), made.history
+        std = {r["feature"]: r["std"] for r in frame.fit_scaler(train, columns).collect()}
+        scales = [0.4 / std[c] for c in columns]
+        folds = rules.rule_grams(train, columns, scales, found, fold_of(F.col("split_row_idx"), n, 3))
+        # Rules that hold everywhere or nowhere say nothing.
+        p, total = len(columns), sum(folds.values(), Gram(0.0, 0.0, 0.0))
+        support = total.sums[p:-1] / total.n
+        kept = np.flatnonzero((support > 0) & (support < 1))
+        at = np.concatenate((np.arange(p), p + kept))
+        w, self.a, *_ = solvers.elastic_net_cv({k: g.only(at) for k, g in folds.items()}, [1.0], 100, self.non_negative, self.intercept)
+        self.rules, self.support = [found[i] for i in kept], support[kept].tolist()
+        self.linear, self.w = w[:p] * scales, w[p:]
         return self
 
-    def terms(self, df: DataFrame) -> DataFrame:
-        df = df.withColumns({f"lin_{i}": F.col(c) * self.scales[c] for i, c in enumerate(self.columns)})
-        return rules.indicators(df, self.rules)
-
     def predict(self, df):
-        kept = df.columns
-        return self.terms(df).withColumn("prediction", _linear(self.names, self.w, self.a)).select(*kept, "prediction")
+        live = np.flatnonzero(self.w)
+        maps, linear, w, a = rules.Bitmaps([self.rules[i] for i in live], self.columns), self.linear, self.w[live], self.a
+
+        def of(x: np.ndarray) -> np.ndarray:
+            held = np.unpackbits(maps.of(x).view(np.uint8), axis=1, count=len(x), bitorder="little") if len(w) and len(x) else np.zeros((len(w), len(x)))
+            return x @ linear + w @ held + a
+
+        return by_rows(df, self.columns, of)
 
     def table(self, df: DataFrame) -> DataFrame:
-        p = len(self.columns)
-        rows = [(c, "linear", float(self.w[i] * self.scales[c]), 1.0) for i, c in enumerate(self.columns)]
-        rows += [(r, "rule", float(self.w[p + i]), float(self.support[i])) for i, r in enumerate(self.rules)]
+        rows = [(c, "linear", float(v), 1.0) for c, v in zip(self.columns, self.linear, strict=True)]
+        rows += [(r, "rule", float(v), float(s)) for r, v, s in zip(self.rules, self.w, self.support, strict=True)]
         return df.sparkSession.createDataFrame(rows, "rule string, type string, coef double, support double")
 
     def importance(self, df):
@@ -240,7 +245,7 @@ def trained(train: DataFrame, val: DataFrame, columns: Sequence[str], work: Call
     n = rows.count()
     if n * (len(columns) + 1) > NETWORK_VALUES:
         raise ValueError(f"{n} rows of {len(columns)} columns are too many for one task; use wider windows")
-    one = rows.select("part", "split_row_idx", F.array(*[F.col(c).cast("double") for c in (*columns, "y")]).alias("z"))
+    one = rows.select("part", "split_row_idx", vector([*columns, "y"]).alias("z"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -277,13 +282,8 @@ class Perceptron(Regressor):
         return self
 
     def predict(self, df):
-        net, columns = self.net, self.columns
-
-        @F.pandas_udf("double")
-        def of(*parts: pd.Series) -> pd.Series:
-            return pd.Series(net.forward(np.column_stack([p.to_numpy(np.float64) for p in parts]))[0])
-
-        return df.withColumn("prediction", of(*[F.col(c) for c in columns]))
+        net = self.net
+        return by_rows(df, self.columns, lambda x: net.forward(x)[0])
 
     def importances(self):
         return dict(zip(self.columns, np.abs(self.net.w[0]).sum(1).tolist(), strict=True))

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import EPSILON, finite_or_zero
+from ..functions.scalar import EPSILON, finite_or_zero, vector
+from .moments import moments
 
 
 def metric_columns(y: Column, p: Column) -> list[Column]:
@@ -32,18 +33,26 @@ def metrics(df: DataFrame, y: str = "y", prediction: str = "prediction", by: Seq
 
 
 def column_scores(df: DataFrame, columns: Sequence[str], score: str, y: str = "y") -> DataFrame:
-    """(feature, ordinal, score) for score pearson (absolute), f (univariate regression) or variance."""
-    # A constant column has no correlation (null, scored 0); rounding may not take one beyond 1.
-    capped = lambda r: F.when(r > 1, F.lit(1.0)).otherwise(r)
-    corr = lambda c: capped(F.abs(F.try_divide(F.covar_pop(c, y), F.stddev_pop(c) * F.stddev_pop(y))))
-    of = {"pearson": corr, "variance": lambda c: F.var_pop(c), "f": lambda c: F.pow(corr(c), 2)}[score]
-    row = df.agg(*[of(c).alias(f"s{i}") for i, c in enumerate(columns)], F.count("*").alias("n"))
-    if score == "f":
-        # A feature that is the target up to scale has no rest to divide by: its score is the greatest number.
-        rest = lambda s: F.when(1 - s <= 0, F.lit(sys.float_info.max)).otherwise(s / F.nullif(1 - s, F.lit(0.0)) * (F.col("n") - 2))
-        row = row.select(*[rest(F.col(f"s{i}")).alias(f"s{i}") for i in range(len(columns))])
-    stack = ", ".join(f"'{c}', {i}, s{i}" for i, c in enumerate(columns))
-    return row.selectExpr(f"stack({len(columns)}, {stack}) as (feature, ordinal, score)").withColumn("score", finite_or_zero(F.col("score")))
+    """(feature, ordinal, score) for score pearson (absolute), f (univariate regression) or variance, from one pass over all columns.
+
+    A constant column, or a constant y, has no correlation and scores 0. A feature that is the target up to scale has no rest to
+    divide by: its f is the greatest number.
+    """
+    wanted = [*columns] if score == "variance" else [*columns, y]
+    found = moments(df, wanted, None if score == "variance" else y)
+    std = lambda m2, n: F.sqrt(F.try_divide(m2, n))
+    if score == "variance":
+        made = found.withColumn("score", F.try_divide(F.col("m2"), F.col("n")))
+    else:
+        # The target is the last column of the table; its row goes along with the others (one row).
+        of_y = found.where(F.col("ordinal") == len(columns)).select(F.col("m2").alias("y_m2"), F.col("n").alias("y_n"))
+        both = found.where(F.col("ordinal") < len(columns)).crossJoin(F.broadcast(of_y))
+        r = F.abs(F.try_divide(F.try_divide(F.col("co"), F.col("n_both")), std(F.col("m2"), F.col("n")) * std(F.col("y_m2"), F.col("y_n"))))
+        made = both.withColumn("score", F.when(r > 1, F.lit(1.0)).otherwise(r))  # rounding may not take it beyond 1
+        if score == "f":
+            s, rows = F.pow("score", 2), F.col("n") + F.col("n_null")
+            made = made.withColumn("score", F.when(1 - s <= 0, F.lit(sys.float_info.max)).otherwise(F.try_divide(s, 1 - s) * (rows - 2)))
+    return made.select("feature", "ordinal", finite_or_zero(F.col("score")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -67,6 +76,11 @@ class Gram:
     def __sub__(self, other: Gram) -> Gram:
         return Gram(self.n - other.n, self.sums - other.sums, self.products - other.products)
 
+    def only(self, features: np.ndarray) -> Gram:
+        """Of these features and y."""
+        at = np.append(features, len(self.sums) - 1)
+        return Gram(self.n, self.sums[at], self.products[np.ix_(at, at)])
+
     @property
     def centred(self) -> tuple[np.ndarray, np.ndarray, float]:
         """X'X, X'y and y'y over n, all centred."""
@@ -100,7 +114,7 @@ def fold_grams(df: DataFrame, columns: Sequence[str], y: str = "y", fold: Column
     A partition sends one vector of (p + 1)(p + 2) numbers for each fold; they are added up on the executors.
     """
     p = len(columns)
-    packed = df.select((fold if fold is not None else F.lit(0)).cast("int").alias("fold"), F.array(*[F.col(c).cast("double") for c in columns], F.col(y).cast("double")).alias("z"))
+    packed = df.select((fold if fold is not None else F.lit(0)).cast("int").alias("fold"), vector([*columns, y]).alias("z"))
     schema = pa.schema([("fold", pa.int32()), ("row", pa.int32()), ("v", pa.list_(pa.float64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +131,15 @@ def fold_grams(df: DataFrame, columns: Sequence[str], y: str = "y", fold: Column
         for k, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * (p + 2), pa.int32()), pa.array(range(p + 2), pa.int32()), pa.array(list(s), pa.list_(pa.float64()))], schema=schema)
 
-    partial = packed.mapInArrow(work, "fold int, row int, v array<double>")
+    return added_grams(packed.mapInArrow(work, PARTS), p)
+
+
+PARTS = "fold int, row int, v array<double>"
+
+
+def added_grams(partial: DataFrame, p: int) -> dict[int, Gram]:
+    """The Gram of each fold from parts of it: rows of its matrix (p features, y, ones), added up on the executors."""
+    schema = pa.schema([("fold", pa.int32()), ("row", pa.int32()), ("v", pa.list_(pa.float64()))])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -129,7 +151,7 @@ def fold_grams(df: DataFrame, columns: Sequence[str], y: str = "y", fold: Column
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int32()), pa.array([r for _, r in sums], pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], schema=schema)
 
-    rows = partial.repartition("fold", "row").mapInArrow(added, "fold int, row int, v array<double>").collect()  # p + 2 vectors of p + 2 numbers a fold
+    rows = partial.repartition("fold", "row").mapInArrow(added, PARTS).collect()  # p + 2 vectors of p + 2 numbers a fold
     found: dict[int, np.ndarray] = {}
     for r in rows:
         found.setdefault(r[0], np.zeros((p + 2, p + 2)))[r[1]] = r["v"]

@@ -12,38 +12,32 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cluster import new_folder
+from ..functions.scalar import vector
+
+from .boosting import Ensemble
 
 #: (value, [(feature, lower bound, upper bound, share)]): a row passes where lower < x <= upper.
 Leaf = tuple[float, list[tuple[int, float, float, float]]]
 
 
-def leaves(model: GBTRegressionModel) -> list[Leaf]:
-    """All leaves of a fitted ensemble, with the trees' weights in their values. Read from the model's own table of nodes."""
-    spark = SparkSession.active()
-    path = new_folder(spark, "trees")
-    model.write().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()  # one row a node of the model
-    weights, nodes = model.treeWeights, {(r["treeID"], r["id"]): r for r in rows}
+def leaves(model: Ensemble) -> list[Leaf]:
+    """All leaves of a fitted ensemble that have a path."""
     found: list[Leaf] = []
-    for tree, weight in enumerate(weights):
-        todo = [(0, {})]
+    for t in model.trees:
+        todo: list[tuple[int, dict]] = [(0, {})]
         while todo:
-            at, path_so_far = todo.pop()
-            node = nodes[tree, at]
-            if node["leftChild"] < 0:
-                if path_so_far:
-                    found.append((weight * node["prediction"], [(f, *bounds) for f, bounds in path_so_far.items()]))
+            at, path = todo.pop()
+            f, cut = int(t.feature[at]), float(t.threshold[at])
+            if f < 0:
+                if path:
+                    found.append((float(t.value[at]), [(k, *bounds) for k, bounds in path.items()]))
                 continue
-            f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-            lo, hi, share = path_so_far.get(f, (-np.inf, np.inf, 1.0))
-            for child, a, b in ((node["leftChild"], lo, min(hi, cut)), (node["rightChild"], max(lo, cut), hi)):
-                part = nodes[tree, child]["rawCount"] / max(1, node["rawCount"])
-                todo.append((child, path_so_far | {f: (a, b, share * part)}))
+            lo, hi, share = path.get(f, (-np.inf, np.inf, 1.0))
+            for child, a, b in ((int(t.left[at]), lo, min(hi, cut)), (int(t.right[at]), max(lo, cut), hi)):
+                todo.append((child, path | {f: (a, b, share * t.cover[child] / max(1, t.cover[at]))}))
     return found
 
 
@@ -81,7 +75,7 @@ def interactions(rows: DataFrame, columns: Sequence[str], found: Sequence[Leaf])
                 pairs = [(-1, -1), *sums]  # the first one carries the number of rows
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.int32()), pa.array([0.0, *[float(np.abs(v).sum()) for v in sums.values()]], pa.float64()), pa.array([b.num_rows] + [0] * len(sums), pa.int64())], schema=schema)
 
-    parts = rows.select(F.array(*[F.col(c).cast("double") for c in names])).mapInArrow(work, "i int, j int, total double, n bigint")
+    parts = rows.select(vector(names)).mapInArrow(work, "i int, j int, total double, n bigint")
     sums = parts.groupBy("i", "j").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()  # one row a pair of features
     n = sum(r["n"] for r in sums)
     made = [(names[a], names[b], r["total"] / n) for r in sums if r["i"] >= 0 for a, b in ((r["i"], r["j"]), (r["j"], r["i"]))]

@@ -207,10 +207,12 @@ def mcp_threshold(spark, sf_dir):
     return V.l_rows(spark, sf_dir).groupBy("benchmark").agg(F.round(F.sum(S.mcp_threshold(z, 0.3, 5.0)), 4).alias("total"))
 
 
-@query(f"WITH {V.E_SQL}, t AS (SELECT benchmark, count(*) AS n FROM ev GROUP BY 1) SELECT event_id, CAST(CASE WHEN row_idx < (n % 3) * (n // 3 + 1) THEN row_idx // (n // 3 + 1) ELSE (row_idx - n % 3) // (n // 3) END AS INTEGER) AS fold FROM ev JOIN t USING (benchmark) WHERE benchmark = 'click'")
+@query(f"WITH {V.E_SQL}, t AS (SELECT benchmark, count(*) AS n FROM ev GROUP BY 1) SELECT event_id, CAST(CASE WHEN row_idx < (n % 3) * (n // 3 + 1) THEN row_idx // (n // 3 + 1) ELSE (row_idx - n % 3) // (n // 3) END AS INTEGER) AS fold FROM ev JOIN t USING (benchmark)")
 def kfold_assign(spark, sf_dir):
-    rows = V.e_view(spark, sf_dir).where("benchmark = 'click'")
-    return rows.select("event_id", stats.fold_of(F.col("row_idx"), rows.count(), 3).alias("fold"))
+    """Contiguous folds of every benchmark's rows, each by its own count."""
+    rows = V.e_view(spark, sf_dir)
+    counts = rows.groupBy("benchmark").agg(F.count("*").alias("n"))  # one row a benchmark
+    return rows.join(F.broadcast(counts), "benchmark").select("event_id", stats.fold_of(F.col("row_idx"), F.col("n"), 3).alias("fold"))
 
 
 @query("SELECT p_partkey, CASE WHEN length(p_name) <= 14 THEN p_name ELSE substr(p_name, 1, 8) || '...' || right(p_name, 3) END AS short, regexp_replace(p_type || '/' || p_name, '[^A-Za-z0-9_.-]+', '_', 'g')[1:120] AS job FROM part")

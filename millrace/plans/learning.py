@@ -25,7 +25,7 @@ def _selected(method: str, **hp):
     return run
 
 
-for _name, _method, _hp in (("fs_rfe", "rfe", {}), ("fs_lasso", "from_model", {}), ("fs_forest", "from_model", {"estimator": "rf", "trees": 20}), ("fs_sequential", "sequential", {}), ("fs_mcp", "mcp", {}), ("fs_deep", "deep", {}), ("fs_mutual_info", "univariate", {"score_func": "mutual_info"})):
+for _name, _method, _hp in (("fs_rfe", "rfe", {}), ("fs_lasso", "from_model", {}), ("fs_forest", "from_model", {"estimator": "rf"}), ("fs_sequential", "sequential", {}), ("fs_mcp", "mcp", {}), ("fs_deep", "deep", {}), ("fs_mutual_info", "univariate", {"score_func": "mutual_info"})):
     _run = _selected(_method, **_hp)
     _run.__name__ = _name
     query()(_run)
@@ -40,7 +40,7 @@ def _modelled(algorithm: str, **hp):
     return run
 
 
-for _name, _algorithm, _hp in (("model_elastic_net", "ElasticNetCV", {}), ("model_gbdt", "GBDT", {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.3}), ("model_rulefit", "RuleFit", {"max_rules": 50}), ("model_mlp", "MLP", {"epochs": 60}), ("model_transformer", "FTTransformer", {"epochs": 40, "lr": 3e-3, "d_token": 16, "n_blocks": 2, "dropout": 0.0, "d_ffn": 32})):
+for _name, _algorithm, _hp in (("model_elastic_net", "ElasticNetCV", {}), ("model_gbdt", "GBDT", {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.3}), ("model_rulefit", "RuleFit", {"max_rules": 500, "tree_size": 4, "memory_par": 0.05}), ("model_mlp", "MLP", {}), ("model_transformer", "FTTransformer", {"lr": 3e-3, "d_token": 16, "n_blocks": 2, "dropout": 0.0, "d_ffn": 32})):
     _run = _modelled(_algorithm, **_hp)
     _run.__name__ = _name
     query()(_run)
@@ -58,7 +58,7 @@ def hpo_trials(spark, sf_dir):
 def gbdt_interaction(spark, sf_dir):
     """Shapley interactions of boosted trees."""
     rows = frame.window_mean(V.e_split(spark, sf_dir), [*V.E_FEATURES, "y"], V.WINDOW)
-    settings = fit.Settings(algorithm="GBDT", hyperparams={"n_estimators": 10, "max_depth": 3, "learning_rate": 0.3}, n_trials=1, non_negative=False, intercept=True)
+    settings = fit.Settings(algorithm="GBDT", hyperparams={"n_estimators": 100, "max_depth": 3, "learning_rate": 0.3}, n_trials=1, non_negative=False, intercept=True)
     return fit.fit_windows(rows, V.E_FEATURES, settings).interaction
 
 

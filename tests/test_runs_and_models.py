@@ -7,7 +7,7 @@ import yaml
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from millrace.operators import attention, experiments, jobs, models, select, stats, tune
+from millrace.operators import attention, boosting, experiments, jobs, models, select, stats, tune
 from millrace.plans import registry, run
 from millrace.sources import config, sinks, tables
 from millrace.streaming.windows import stream_window_mean
@@ -91,8 +91,9 @@ def test_network_gradients():
 
 
 def test_tree_rules():
-    debug = "GBT\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 0.5)\n     Predict: 1.0\n    Else (feature 0 > 0.5)\n     If (feature 1 <= -2.0)\n      Predict: 1\n     Else (feature 1 > -2.0)\n      Predict: 2\n"
-    assert models.tree_rules(debug, ["a", "b"]) == ["a <= 0.5", "a > 0.5", "a > 0.5 & b <= -2.0", "a > 0.5 & b > -2.0"]
+    z = np.zeros(5)
+    tree = boosting.Tree(np.array([0, -1, 1, -1, -1]), z.astype(int), np.array([0.5, 0, -2.0, 0, 0]), np.array([1, -1, 3, -1, -1]), np.array([2, -1, 4, -1, -1]), z, z, z)
+    assert models.tree_rules([tree, tree], ["a", "b"]) == ["a <= 0.5", "a > 0.5", "a > 0.5 & b <= -2.0", "a > 0.5 & b > -2.0"]
 
 
 def test_mutual_information_ranks():

@@ -37,7 +37,7 @@ def test_tree_interactions(spark):
     model = models.BoostedTrees(1).fit(train, val, names, {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.3})
     found = trees.leaves(model.model)
     # The leaves are the model: with all features known they give its predictions.
-    sure = [sum(v for v, path in found if all(lo < r[f] <= hi for f, lo, hi, _ in path)) for r in x[:20]]
+    sure = [model.model.base + sum(v for v, path in found if all(lo < r[f] <= hi for f, lo, hi, _ in path)) for r in x[:20]]
     want = [r.prediction for r in model.predict(rows.where("split_row_idx < 20")).orderBy("split_row_idx").collect()]
     assert np.allclose(sure, want)
     fast = trees.interaction_values(x[:10], found)
