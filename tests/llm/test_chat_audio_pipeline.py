@@ -32,6 +32,14 @@ def test_preference(spark):
     assert chat.preference(turns.limit(0), F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0).collect() == []
 
 
+def test_preference_of_far_turn_numbers(spark):
+    """A pair is one record however far its turns' numbers are apart."""
+    rows = [(c, t, "user" if t < 9 else "assistant", "same" if t < 9 else f"end {c}") for c in (0, 1) for t in (-3000, 5, 1500, 10**9)]
+    found = chat.paired(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0).collect()
+    assert len(found) == 1 and found[0].part == 0 and found[0].prompt.count("same") == 2
+    assert found[0].chosen.count("end 0") == found[0].rejected.count("end 1") == 2 and len(found[0].chosen_mask.split(",")) == 2
+
+
 def test_preference_of_long_conversations(spark):
     """A hundred thousand turns on each side, and a text of a million letters: records of bounded turns that are the whole in order."""
     n, parting = 100_000, 99_000
