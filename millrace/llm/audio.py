@@ -2,12 +2,17 @@
 
 A recording (mono samples) becomes frames of twelve pitch classes; rectangles of an integral image over them are
 compared by sixteen filters, each giving two bits (Gray code), so every position has a packed 32-bit integer.
-Recordings with the same integers are one class. Positions are indexed by two consecutive integers, the first position
-of each run of equal pairs only; queries and classes meet by a join on that key, are counted by (query, class, offset)
-with partial sums, and the best offset's bit errors over the overlap decide.
-
-Nulls: a null or empty recording has no integers; all such are one class, which matches nothing. Recordings too short
-for a position likewise. Repeated rows are members of one class.
+Recordings with the same integers are one class. The stated queries are dealt into blocks of about ``BLOCK`` positions, and each block
+meets every class where that is read: the histogram over offsets counts, for each offset, all bits that agree where query and
+recording overlap (a correlation of bits as signs, 32 channels at once, by short transforms), and the bit error is that count's
+rest. So no offset is missed and no key is shared by many; the cost is queries times recordings, as stated, and nothing but
+matches is sent.
+
+Defined results: a null or empty recording has no integers; all such are one class, which matches nothing. Recordings too short
+for a position likewise. Repeated rows are members of one class. A query and a class match at the offset of least bit error among those
+where ``OVERLAP`` of the shorter one's positions meet, the nearest to 0 on ties, then the lesser. Recordings of any length are taken
+whole; a query longer than a block is a block of its own. Rows without an id whose recording others have are members of that class;
+a class of such rows alone matches nothing. Empty tables give no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +31,12 @@ RATE = 4000
 FRAME = 512
 HOP = 128
 WIDTH = 16
-VOTES = 3
 ERRORS = 0.35
+#: Share of the shorter recording's positions that have to meet.
+OVERLAP = 0.5
+#: Positions in a block of queries, and numbers in a step's histograms.
+BLOCK = 1 << 22
+PAIR_NUMBERS = 1 << 22
 LEVEL = 0.25
 
 
@@ -100,32 +110,131 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, decode: Callable
     return media.select(F.col(id_col).cast("bigint"), media_col).mapInArrow(work, "rec_id bigint, prints array<int>")
 
 
-def align(prints: DataFrame, is_query: Column, votes: int = VOTES, errors: float = ERRORS) -> DataFrame:
+class Queries:
+    """A block of queries' integers, ready to meet recordings: spectra by length of transform, made once a worker and length."""
+
+    def __init__(self, ids: list[int], prints: list[np.ndarray]) -> None:
+        order = np.argsort([len(p) for p in prints], kind="stable")
+        self.ids, self.prints = [ids[i] for i in order], [prints[i] for i in order]
+
+    def parts(self, most: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        """Slices of queries of not too different lengths."""
+        start = 0
+        for end in range(1, len(self.ids) + 1):
+            if end == len(self.ids) or end - start >= most or len(self.prints[end]) > 1.25 * len(self.prints[start]) + 16:
+                yield self.ids[start:end], self.prints[start:end]
+                start = end
+
+
+def signs(prints: list[np.ndarray], n: int) -> np.ndarray:
+    """(recordings, 32, n): each position's bits as 1 and -1, zero beyond the end."""
+    made = np.zeros((len(prints), n, 32), np.float32)
+    for m, p in zip(made, prints, strict=True):
+        m[: len(p)] = np.unpackbits(np.ascontiguousarray(p).view(np.uint8).reshape(-1, 4), axis=1).astype(np.float32) * 2 - 1
+    return made.transpose(0, 2, 1)
+
+
+def good_length(n: int) -> int:
+    """The least length from n on that has no prime factor beyond 7."""
+    while True:
+        rest = n
+        for f in (2, 3, 5, 7):
+            while rest % f == 0:
+                rest //= f
+        if rest == 1:
+            return n
+        n += 1
+
+
+def met(a: list[np.ndarray], b: list[np.ndarray], overlap: float, errors: float) -> tuple[np.ndarray, ...]:
+    """(i, j, offset, votes, bit error) of the pairs of a[i] and b[j] whose least bit error is at most ``errors``.
+
+    Transforms wrap only at offsets that are out of reach. Which pairs may pass is seen in single numbers with room for their
+    rounding; those are then decided by whole ones.
+    """
+    la, lb = np.array([len(p) for p in a])[:, None], np.array([len(p) for p in b])[None, :]
+    need = np.maximum(1, np.ceil(overlap * np.minimum(la, lb))).astype(np.int64)
+    low, high = int((need - la).min()), int((lb - need).max())  # offsets that any pair needs
+    n = good_length(int(max(la.max() + max(0, high), lb.max() - min(0, low), high - low + 1)))
+    spectra = lambda p: np.fft.rfft(signs(p, n), axis=2).transpose(2, 0, 1)
+    product = np.matmul(spectra(a).conj(), spectra(b).transpose(0, 2, 1))
+    r = np.fft.irfft(product, n, axis=0)  # agreeing bits less differing ones, by offset
+    alike = np.full(need.shape, -np.inf, np.float32)  # at best: one less twice the bit error
+    if (la == la[0, 0]).all() and (lb == lb[0, 0]).all():
+        for part, first in ((r[: high + 1], 0), (r[n + low :], low)) if low < 0 else ((r[: high + 1], 0),):
+            o = np.arange(first, first + len(part))
+            both = np.minimum(la[0, 0], lb[0, 0] - o) - np.maximum(0, -o)
+            inverse = np.where(both >= need[0, 0], 1 / np.maximum(1, 32 * both), 0).astype(np.float32)
+            np.maximum(alike, (part * inverse[:, None, None]).max(0, initial=-np.inf), out=alike)
+    else:
+        for o in range(low, high + 1):
+            both = np.minimum(la, lb - o) - max(0, -o)
+            np.maximum(alike, np.where(both >= need, r[o % n] / np.maximum(1, 32 * both).astype(np.float32), -np.inf), out=alike)
+    i, j = np.nonzero(alike >= 1 - 2 * errors - 1e-3)
+    offsets = np.array(sorted(range(low, high + 1), key=lambda o: (abs(o), o)))[:, None]
+    both = np.minimum(la[i, 0], lb[0, j] - offsets) - np.maximum(0, -offsets)
+    votes = np.rint((r[offsets % n, i, j] + 32 * both) / 2).astype(np.int64)
+    error = np.where(both >= need[i, j], 1 - votes / np.maximum(1, 32 * both), np.inf)
+    best = error.argmin(0) if len(i) else np.zeros(0, np.int64)
+    at = np.arange(len(i))
+    passed = np.flatnonzero(error[best, at] <= errors)
+    best, at = best[passed], at[passed]
+    return i[at], j[at], offsets[best, 0], votes[best, at], error[best, at]
+
+
+def align(prints: DataFrame, is_query: Column, errors: float = ERRORS, overlap: float = OVERLAP) -> DataFrame:
     """(kind, a_id, b_id, offset, votes, bit_error).
 
     kind ``member``: b_id's recording has the same integers as a_id's, its class's least id (itself included).
-    kind ``match``: class a_id, which has a query, agrees with class b_id when b is ``offset`` positions later.
+    kind ``match``: class a_id, which has a query, agrees with class b_id when b is ``offset`` positions later; votes are the bits that agree there.
     """
+    spark = prints.sparkSession
     rows = checkpointed(prints.select("rec_id", "prints", F.sha2(F.array_join(F.col("prints").cast("array<string>"), ","), 256).alias("key"), F.coalesce(is_query, F.lit(False)).alias("query")))
     classes = checkpointed(rows.groupBy("key").agg(F.min("rec_id").alias("id"), F.first("prints").alias("prints"), F.max("query").alias("query")))
     members = rows.select("key", "rec_id").join(spread(classes.select(F.col("key").alias("_key"), "id"), "_key"), F.col("key") == F.col("_key"))
-    members = members.select(F.lit("member").alias("kind"), F.col("id").alias("a_id"), F.col("rec_id").alias("b_id"), F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("votes"), F.lit(0.0).alias("bit_error"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("prints") - 1), lambda i: F.shiftleft(F.element_at("prints", i).cast("bigint"), 32).bitwiseXOR(F.element_at("prints", i + 1).cast("bigint")))
-    keyed = classes.where("id is not null and size(prints) > 1").select("id", "query", pairs.alias("pairs"))
-    fresh = F.filter(F.transform("pairs", lambda p, i: F.struct(p.alias("pair"), i.alias("at"), (F.when(i == 0, F.lit(True)).otherwise(F.element_at("pairs", F.greatest(i, F.lit(1))) != p)).alias("new"))), lambda x: x["new"])
-    places = keyed.select("id", "query", F.explode(fresh).alias("x")).select("id", "query", F.col("x.pair").alias("pair"), F.col("x.at").alias("at"))
-    asked = places.where("query").select(F.col("id").alias("a_id"), "pair", F.col("at").alias("a_at"))
-    met = asked.join(places.select(F.col("id").alias("b_id"), "pair", F.col("at").alias("b_at")), "pair").where("a_id <> b_id")
-    counted = met.groupBy("a_id", "b_id", (F.col("b_at") - F.col("a_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = counted.groupBy("a_id", "b_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("x")).where(F.col("x.votes") >= votes)
-    best = best.select("a_id", "b_id", F.col("x.offset").alias("offset"), F.col("x.votes").alias("votes"))
-    of = lambda side: spread(classes.select(F.col("id").alias(f"_{side}"), F.col("prints").alias(f"{side}_prints")), f"_{side}")
-    both = best.join(of("a"), F.col("a_id") == F.col("_a")).join(of("b"), F.col("b_id") == F.col("_b"))
-    first = F.greatest(F.lit(0), -F.col("offset"))
-    n = F.least(F.size("a_prints") - first, F.size("b_prints") - first - F.col("offset"))
-    wrong = F.aggregate(F.zip_with(F.slice("a_prints", first + 1, F.col("n")), F.slice("b_prints", first + F.col("offset") + 1, F.col("n")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    found = both.withColumn("n", n).withColumn("bit_error", wrong / (32 * F.col("n"))).where(F.col("bit_error") <= errors)
-    return members.unionByName(found.select(F.lit("match").alias("kind"), "a_id", "b_id", "offset", "votes", "bit_error"))
+    found = members.select(F.lit("member").alias("kind"), F.col("id").alias("a_id"), F.col("rec_id").alias("b_id"), F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("votes"), F.lit(0.0).alias("bit_error"))
+
+    heard = classes.where("id is not null and size(prints) > 0").select("id", "prints", "query")
+    total = heard.where("query").agg(F.sum(F.size("prints"))).first()[0] or 0
+    blocks = -(-total // BLOCK)
+    asked = heard.where("query").select("id", "prints", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))).alias("block"))
+    asked = checkpointed(asked) if blocks > 1 else asked
+    # All recordings, dealt evenly: a task's time is its recordings' number times the queries'.
+    others = heard.select("id", "prints").repartition(4 * spark.sparkContext.defaultParallelism)
+    for k in range(blocks):
+        own = asked.where(F.col("block") == k).collect()  # about BLOCK integers
+        if own:
+            queries = Queries([r["id"] for r in own], [np.array(r["prints"], np.int32) for r in own])
+            found = found.unionByName(others.mapInArrow(meeting(spark.sparkContext.broadcast(queries), errors, overlap), "kind string, a_id bigint, b_id bigint, offset int, votes bigint, bit_error double"))
+    return found
+
+
+def meeting(shared: Broadcast, errors: float, overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step over (id, prints): matches with a block of queries."""
+    schema = pa.schema([("kind", pa.string()), ("a_id", pa.int64()), ("b_id", pa.int64()), ("offset", pa.int32()), ("votes", pa.int64()), ("bit_error", pa.float64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, prints = b.column(0).to_numpy(), b.column(1)
+            sizes = prints.value_lengths().to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            start = 0
+            while start < len(order):
+                n = int(sizes[order[start]])
+                most = int(np.clip(np.sqrt(PAIR_NUMBERS / (2 * n + 64)), 1, 128))
+                end = start + 1
+                while end < len(order) and end - start < most and sizes[order[end]] <= 1.25 * n + 16:
+                    end += 1
+                own = order[start:end]
+                theirs = [prints[int(i)].values.to_numpy() for i in own]
+                for a_ids, asked in shared.value.parts(most):
+                    i, j, *rest = met(asked, theirs, overlap, errors)
+                    a_id, b_id = np.array(a_ids, np.int64)[i], ids[own][j]
+                    if (others := a_id != b_id).any():
+                        yield out(schema, {"kind": ["match"] * int(others.sum()), "a_id": a_id[others], "b_id": b_id[others], **{name: v[others] for name, v in zip(("offset", "votes", "bit_error"), rest, strict=True)}})
+                start = end
+
+    return work
 
 
 def melody(vector: list[float] | None, rate: int = RATE, note: int = 256) -> np.ndarray | None:

@@ -85,12 +85,34 @@ def test_audio_recall(spark):
     prints = {i: audio.integers(audio.chroma(audio.melody(list(np.float32(t))))) for i, t in rows if t and len(t) == 64 and t[0] is not None}
     want = {(q, i) for q in {members[q] for q in prints if q % 20 == 0} for i in prints if members[i] == i and i != q and plain_error(prints[q], prints[i])[0] <= audio.ERRORS}
     got = {(r.a_id, r.b_id) for r in found if r.kind == "match"}
-    assert want and len(want & got) >= 0.9 * len(want)
+    assert want and want == got
     shifted = {r.b_id: r.offset for r in found if r.kind == "match" and r.a_id == 0}
     assert abs(shifted[100] - 18) <= 1
     assert audio.align(audio.fingerprints(media.limit(0), "vec_id", "embedding", audio.melody), F.lit(True)).collect() == []
 
 
+def test_audio_in_noise(spark):
+    """Copies under white noise as loud as they are (0 dB) are found, as are all pairs of the small table that brute force finds."""
+    rng = np.random.default_rng(9)
+    tunes = [audio.melody(rng.normal(0, 0.13, 64).tolist()) for _ in range(40)]
+    noisy = [t + rng.normal(0, np.sqrt(np.mean(t**2)), len(t)).astype(np.float32) for t in tunes]
+    rows = spark.createDataFrame([(k * 1000 + i, t.tolist()) for k, ts in enumerate((tunes, noisy)) for i, t in enumerate(ts)], "id bigint, sound array<float>")
+    prints = audio.fingerprints(rows, "id", "sound", lambda v: np.array(v, np.float32))
+    found = {(r.a_id, r.b_id) for r in audio.align(prints, F.col("rec_id") < 1000).collect() if r.kind == "match"}
+    assert sum((i, 1000 + i) in found for i in range(40)) >= 36
+
+
+def test_audio_query_is_brute_force(spark, monkeypatch):
+    media = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    prints = {i: audio.integers(audio.chroma(audio.melody(v))) for i, v in media}
+    want = {(q, i): plain_error(prints[q], prints[i]) for q in prints if q % 20 == 0 for i in prints if i != q}
+    want = {k: e for k, e in want.items() if e[0] <= audio.ERRORS}
+    for block in (audio.BLOCK, 500):  # one block of queries, or several
+        monkeypatch.setattr(audio, "BLOCK", block)
+        found = {(r.a_id, r.b_id): r.bit_error for r in queries.op5_audio(spark, SF).collect() if r.kind == "match"}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k][0]) < 1e-9 for k in want)
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs, made = spark.read.parquet(f"{SF}/documents.parquet"), []
