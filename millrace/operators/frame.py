@@ -51,11 +51,13 @@ def repeated_stems(files: DataFrame) -> DataFrame:
 
 
 def align_rows(x: DataFrame, y: DataFrame, group: str = "benchmark") -> DataFrame:
-    """Join features and labels by place; groups of unequal length are an error."""
-    n = x.groupBy(group).agg(F.count("*").alias("nx")).join(y.groupBy(group).agg(F.count("*").alias("ny")), group, "full").where("coalesce(nx, 0) <> coalesce(ny, 0)").limit(5).collect()
-    if n:
-        raise ValueError(f"row counts differ: {[tuple(r) for r in n]}")
-    return x.join(y, [group, "row_idx"])
+    """Join features and labels by place; groups of unequal length are an error. Rows without a group are a group of their own."""
+    of = lambda d, n: d.groupBy(F.col(group).alias(f"_{n}")).agg(F.count("*").alias(n))
+    counts = of(x, "nx").join(of(y, "ny"), F.col("_nx").eqNullSafe(F.col("_ny")), "full")
+    if bad := counts.where("coalesce(nx, 0) <> coalesce(ny, 0)").select(F.coalesce("_nx", "_ny"), "nx", "ny").limit(5).collect():
+        raise ValueError(f"row counts differ: {[tuple(r) for r in bad]}")
+    right = y.withColumnsRenamed({group: "_group", "row_idx": "_row"})
+    return x.join(right, F.col(group).eqNullSafe(F.col("_group")) & (F.col("row_idx") == F.col("_row"))).drop("_group", "_row")
 
 
 def check_same_columns(frames: dict[str, list[str]]) -> None:
@@ -73,7 +75,7 @@ def split_plan(counts: dict[str, int], ratios: Sequence[float], seed: int, exter
     """(benchmark, rows, start, end of block, end of its val part) for each benchmark, drawn in their sorted order."""
     val, test = ratios[1], ratios[2]
     cut, rng, plan = val + test, np.random.default_rng(seed), []
-    for name in sorted(counts):
+    for name in sorted(counts, key=lambda g: (g is not None, g)):  # rows without a benchmark come first
         n = counts[name]
         block = int(round(n * cut))
         if block >= n:
@@ -91,11 +93,11 @@ def split(df: DataFrame, ratios: Sequence[float], seed: int, group: str = "bench
     for name, n, start, end, middle in split_plan(counts, ratios, seed, external_test):
         rows.append((name, start, end, middle, offsets["train"], offsets["val"], offsets["test"]))
         offsets = {"train": offsets["train"] + n - (end - start), "val": offsets["val"] + middle - start, "test": offsets["test"] + end - middle}
-    plan = df.sparkSession.createDataFrame(rows, f"`{group}` string, _start bigint, _end bigint, _mid bigint, _train bigint, _val bigint, _test bigint")
+    plan = df.sparkSession.createDataFrame(rows, "_group string, _start bigint, _end bigint, _mid bigint, _train bigint, _val bigint, _test bigint")
     i = F.col("row_idx")
     which = F.when((i < F.col("_start")) | (i >= F.col("_end")), "train").when(i < F.col("_mid"), "val").otherwise("test")
     place = F.when(i < F.col("_start"), F.col("_train") + i).when(i >= F.col("_end"), F.col("_train") + i - (F.col("_end") - F.col("_start"))).when(i < F.col("_mid"), F.col("_val") + i - F.col("_start")).otherwise(F.col("_test") + i - F.col("_mid"))
-    return df.join(F.broadcast(plan), group).withColumn("split", which).withColumn("split_row_idx", place).select(*df.columns, "split", "split_row_idx")
+    return df.join(F.broadcast(plan), F.col(group).eqNullSafe(F.col("_group"))).withColumn("split", which).withColumn("split_row_idx", place).select(*df.columns, "split", "split_row_idx")
 
 
 def split_counts(df: DataFrame) -> DataFrame:
