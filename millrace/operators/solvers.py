@@ -102,34 +102,78 @@ def ridge(gram: Gram, columns: Sequence[int], penalty: float = 1.0) -> np.ndarra
     return np.linalg.solve(gram.n * G[np.ix_(S, S)] + penalty * np.eye(len(S)), gram.n * b[S])
 
 
+def bordered(M: np.ndarray, g: np.ndarray, d: float) -> np.ndarray:
+    """The inverse of [[A, g], [g', d]] from M, A's inverse."""
+    u = M @ g
+    rest = d - g @ u
+    return np.block([[M + np.outer(u, u) / rest, -u[:, None] / rest], [-u[None, :] / rest, np.array([[1 / rest]])]])
+
+
+def without(M: np.ndarray, gone: Sequence[int]) -> np.ndarray:
+    """The inverse of A less some rows and columns from M, A's inverse."""
+    left = np.setdiff1d(np.arange(len(M)), gone)
+    return M[np.ix_(left, left)] - M[np.ix_(left, gone)] @ np.linalg.solve(M[np.ix_(gone, gone)], M[np.ix_(gone, left)])
+
+
 def eliminate(gram: Gram, k: int, step: float = 0.1) -> list[int]:
-    """Recursive elimination by ridge; the kept columns by falling |coefficient|."""
-    left = list(range(len(gram.sums) - 1))
+    """Recursive elimination by ridge; the kept columns by falling |coefficient|. One inverse, from which eliminated columns are taken out."""
+    G, b, _ = gram.centred
+    left = list(range(len(b)))
     drop = max(1, int(step * len(left)))
+    M = np.linalg.inv(gram.n * G + np.eye(len(b)))
     while len(left) > k:
-        w = ridge(gram, left)
-        gone = set(np.argsort(w**2, kind="stable")[: min(drop, len(left) - k)].tolist())
-        left = [c for i, c in enumerate(left) if i not in gone]
+        w = M @ (gram.n * b[left])
+        gone = np.sort(np.argsort(w**2, kind="stable")[: min(drop, len(left) - k)])
+        M, left = without(M, gone), [c for i, c in enumerate(left) if i not in set(gone.tolist())]
     w = ridge(gram, left)
     return [left[i] for i in np.argsort(-np.abs(w), kind="stable")]
 
 
-def forward(folds: dict[int, Gram], k: int) -> list[int]:
-    """Forward search by mean R2 of ridge over the folds; the kept columns by falling |coefficient|."""
-    total = sum(folds.values(), Gram(0.0, 0.0, 0.0))
-    p, chosen = len(total.sums) - 1, []
-    parts = [(total - held, held) for held in folds.values()]
+class Candidates:
+    """Ridge on chosen columns of one set of rows, scored on another; every column is tried at once, from the inverse for those chosen so far."""
+
+    def __init__(self, rest: Gram, held: Gram) -> None:
+        G, b, _ = rest.centred
+        self.A, self.c = rest.n * G + np.eye(len(b)), rest.n * b
+        self.mean, self.n = rest.sums / rest.n, held.n
+        # Held-out rows about the other rows' means: sums and products of what an intercept leaves.
+        m, s = self.mean, held.sums
+        self.P = held.products - np.outer(m, s) - np.outer(s, m) + held.n * np.outer(m, m)
+        self.total = max(held.n * held.centred[2], 1e-300)
+        self.S: list[int] = []
+        self.M = np.zeros((0, 0))
+
+    def scores(self) -> np.ndarray:
+        """R2 on the held-out rows with each column added to the chosen ones."""
+        A, P, S = self.A, self.P, self.S
+        w = self.M @ self.c[S]
+        U = self.M @ A[S]
+        left = np.diag(A) - np.einsum("kp,kp->p", A[S], U)
+        left[S] = np.inf  # a chosen one adds nothing
+        t = (self.c - A[:, S] @ w) / left
+        PS = P[np.ix_(S, S)]
+        Pw, PU = PS @ w, PS @ U
+        square = w @ Pw - 2 * t * (U.T @ Pw) + t * t * np.einsum("kp,kp->p", U, PU)
+        cross = 2 * t * (P[:-1, S] @ w - t * np.einsum("kp,kp->p", P[S, :-1], U)) + t * t * np.diag(P)[:-1]
+        linear = P[-1, S] @ w - t * (P[-1, S] @ U) + t * P[-1, :-1]
+        return 1 - (square + cross - 2 * linear + P[-1, -1]) / self.total
+
+    def add(self, j: int) -> None:
+        self.M = bordered(self.M, self.A[self.S, j], self.A[j, j])
+        self.S.append(j)
 
-    def quality(columns: list[int]) -> float:
-        score = 0.0
-        for rest, held in parts:
-            w = np.zeros(p)
-            w[columns] = ridge(rest, columns)
-            score += 1 - held.loss(w, intercept_of(rest, w, True)) / max(held.n * held.centred[2], 1e-300)
-        return score / len(parts)
 
+def forward(folds: dict[int, Gram], k: int) -> list[int]:
+    """Forward search by mean R2 of ridge over the folds; the kept columns by falling |coefficient|. Ties go to the first column."""
+    total = sum(folds.values(), Gram(0.0, 0.0, 0.0))
+    p = len(total.sums) - 1
+    parts, chosen = [Candidates(total - held, held) for held in folds.values()], []
     while len(chosen) < min(k, p):
-        chosen.append(max((j for j in range(p) if j not in chosen), key=lambda j: (quality([*chosen, j]), -j)))
+        score = sum(part.scores() for part in parts)
+        score[chosen] = -np.inf
+        chosen.append(int(score.argmax()))
+        for part in parts:
+            part.add(chosen[-1])
     w = ridge(total, chosen)
     return [chosen[i] for i in np.argsort(-np.abs(w), kind="stable")]
 
@@ -155,27 +199,47 @@ def pursue(G: np.ndarray, b: np.ndarray, k: int) -> list[int]:
 
 
 def swap(G: np.ndarray, b: np.ndarray, yy: float, S: list[int], passes: int = 20) -> list[int]:
-    """Replace members one by one where that lowers the residual; a member that comes in goes to the end of the list."""
+    """Replace members one by one where that lowers the residual; a member that comes in goes to the end of the list.
+
+    The members' inverse is kept: one is taken out and another put in by updates. Members that depend on each other are solved anew.
+    """
     S = list(S)
     loss = lambda s: float(yy - b[s] @ _fit(G, b, s))
     now = loss(S)
     for _ in range(passes):
-        improved = False
+        improved, M = False, _inverse(G, S)
         for i in range(len(S)):
             rest = S[:i] + S[i + 1 :]
             outside = np.setdiff1d(np.arange(len(b)), S)
             if not len(outside):
                 break
-            gain = (b[outside] - (G[np.ix_(outside, rest)] @ _fit(G, b, rest) if rest else 0)) ** 2
-            tried = [*rest, int(outside[gain.argmax()])]
-            new = loss(tried)
+            less = without(M, [i]) if M is not None else None
+            w = less @ b[rest] if less is not None else _fit(G, b, rest)
+            j = int(outside[((b[outside] - (G[np.ix_(outside, rest)] @ w if rest else 0)) ** 2).argmax()])
+            tried, more = [*rest, j], None
+            if less is not None:
+                u = less @ G[rest, j]
+                left = G[j, j] - G[rest, j] @ u
+                if left > 1e-9 * G[j, j]:
+                    more = (b[j] - G[j, rest] @ w) ** 2 / left
+            new = float(yy - b[rest] @ w - more) if more is not None else loss(tried)
             if new < now - 1e-12 * max(abs(now), 1.0):
+                M = bordered(less, G[rest, j], G[j, j]) if more is not None else _inverse(G, tried)
                 S, now, improved = tried, new, True
         if not improved:
             break
     return S
 
 
+def _inverse(G: np.ndarray, S: list[int]) -> np.ndarray | None:
+    """The inverse of G on these columns, or None where they depend on each other."""
+    try:
+        M = np.linalg.inv(G[np.ix_(S, S)])
+    except np.linalg.LinAlgError:
+        return None
+    return M if np.isfinite(M).all() and np.abs(M).max() * np.abs(G[np.ix_(S, S)]).max() < 1e10 else None
+
+
 def deep(G: np.ndarray, b: np.ndarray, yy: float, k: int, multiplier: int = 3, passes: int = 20, gamma: float = 5.0) -> list[tuple[int, float]]:
     """Penalised pruning, pursuit, swaps; (column, |coefficient|), largest first."""
     k = min(k, len(b))
