@@ -85,11 +85,11 @@ def score_shift(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", I.score_shift(F.col("p_partkey") * 91 % 4001 - 2000, 8192, 21).alias("s"))
 
 
-@query(f"WITH {_Q} SELECT vec_id, array_to_string(list_transform(range(640), lambda i: {_RQ('q[i // 32 + 1] * ' + _W.format('i') + ' + ' + _B.format('i') + ' * 128')}), ',') AS y FROM q")
+@query(f"WITH {_Q} SELECT vec_id, array_to_string(list_transform(range(2048), lambda i: {_RQ('q[i // 32 + 1] * ' + _W.format('i') + ' + ' + _B.format('i') + ' * 128')}), ',') AS y FROM q")
 def int8_tokenizer(spark, sf_dir):
-    """Twenty features by 32."""
-    bias = F.transform(F.sequence(I.big(0), I.big(19)), lambda o: F.transform(F.sequence(I.big(0), I.big(31)), lambda i: _wrap(I.big(5) - (o * 32 + i) * 3)))
-    rows = _vectors(spark, sf_dir).select("vec_id", F.slice("q", 1, 20).alias("x"), _matrix(20, 32).alias("w"), bias.alias("b"))
+    """64 features by 32."""
+    bias = F.transform(F.sequence(I.big(0), I.big(63)), lambda o: F.transform(F.sequence(I.big(0), I.big(31)), lambda i: _wrap(I.big(5) - (o * 32 + i) * 3)))
+    rows = _vectors(spark, sf_dir).select("vec_id", F.col("q").alias("x"), _matrix(64, 32).alias("w"), bias.alias("b"))
     return rows.select("vec_id", _joined(I.tokenizer(F.col("x"), F.col("w"), F.col("b"))).alias("y"))
 
 
@@ -107,19 +107,19 @@ def _layer(n_in: int, n_out: int, x: str, start: int, relu: bool, bias_start: in
     return f"list_transform(range({n_out}), lambda o: {f'greatest(0, {body})' if relu else body})"
 
 
-@query(f"WITH {_Q}, h AS (SELECT vec_id, {_layer(32, 64, 'q', 0, True, 0)} AS h FROM q) SELECT vec_id, array_to_string({_layer(64, 32, 'h', 11, False, 5)}, ',') AS y FROM h")
+@query(f"WITH {_Q}, h AS (SELECT vec_id, {_layer(64, 64, 'q', 0, True, 0)} AS h FROM q) SELECT vec_id, array_to_string({_layer(64, 64, 'h', 11, False, 5)}, ',') AS y FROM h")
 def int8_ffn(spark, sf_dir):
-    """32 to 64 to 32; wide layers run as integer matrix products in Arrow batches."""
-    w1, w2 = fixture(64 * 32)[0].reshape(64, 32), fixture(32 * 64, 11)[0].reshape(32, 64)
-    b1, b2 = fixture(64)[1], fixture(32, 5)[1]
-    made = over_rows(_vectors(spark, sf_dir), "vec_id", "q", lambda x: feed_forward(x[:, :32], w1, b1, w2, b2))
+    """64 to 64 to 64; wide layers run as integer matrix products in Arrow batches."""
+    w1, w2 = fixture(64 * 64)[0].reshape(64, 64), fixture(64 * 64, 11)[0].reshape(64, 64)
+    b1, b2 = fixture(64)[1], fixture(64, 5)[1]
+    made = over_rows(_vectors(spark, sf_dir), "vec_id", "q", lambda x: feed_forward(x, w1, b1, w2, b2))
     return made.select("vec_id", _joined(F.col("y")).alias("y"))
 
 
-@query(f"WITH {_Q}, h AS (SELECT vec_id, {_layer(8, 4, 'q', 0, True, 0)} AS h FROM q) SELECT vec_id, array_to_string({_layer(4, 8, 'h', 11, False, 5)}, ',') AS y FROM h")
+@query(f"WITH {_Q}, h AS (SELECT vec_id, {_layer(64, 4, 'q', 0, True, 0)} AS h FROM q) SELECT vec_id, array_to_string({_layer(4, 64, 'h', 11, False, 5)}, ',') AS y FROM h")
 def int8_ffn_columns(spark, sf_dir):
-    """8 to 4 to 8, as one column expression."""
-    rows = _vectors(spark, sf_dir).select("vec_id", F.slice("q", 1, 8).alias("x"), _matrix(4, 8).alias("w1"), _biases(4).alias("b1"), _matrix(8, 4, 11).alias("w2"), _biases(8, 5).alias("b2"))
+    """64 to 4 to 64, as one column expression."""
+    rows = _vectors(spark, sf_dir).select("vec_id", F.col("q").alias("x"), _matrix(4, 64).alias("w1"), _biases(4).alias("b1"), _matrix(64, 4, 11).alias("w2"), _biases(64, 5).alias("b2"))
     return rows.select("vec_id", _joined(I.feed_forward(*map(F.col, ("x", "w1", "b1", "w2", "b2")))).alias("y"))
 
 
@@ -131,15 +131,15 @@ def _plain(n_in: int, n_out: int, x: str, start: int) -> str:
 _DYN = lambda a: f"greatest(0, {_BITS.format(f'list_max({a})')} - 7)"
 
 
-@query(f"""WITH {_Q}, x AS (SELECT vec_id, list_transform(q[1:32], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS x FROM q),
-  a AS (SELECT vec_id, {_plain(32, 16, 'x', 0)} AS a FROM x), a1 AS (SELECT *, {_DYN('a')} AS s FROM a), h AS (SELECT vec_id, list_transform(a, lambda v: {_RNE.format(s='s', a='v')}) AS h FROM a1),
+@query(f"""WITH {_Q}, x AS (SELECT vec_id, list_transform(q, lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS x FROM q),
+  a AS (SELECT vec_id, {_plain(64, 16, 'x', 0)} AS a FROM x), a1 AS (SELECT *, {_DYN('a')} AS s FROM a), h AS (SELECT vec_id, list_transform(a, lambda v: {_RNE.format(s='s', a='v')}) AS h FROM a1),
   b AS (SELECT vec_id, {_plain(16, 16, 'h', 3)} AS a FROM h), b1 AS (SELECT *, {_DYN('a')} AS s FROM b), g AS (SELECT vec_id, list_transform(a, lambda v: {_RNE.format(s='s', a='v')}) AS h FROM b1),
   c AS (SELECT vec_id, CAST({_DOT.format(n=16, x='h[i + 1]', w=_W.format('i + 9'))} + {_B.format('0')} AS BIGINT) AS a FROM g), d AS (SELECT *, greatest(0, {_BITS.format('abs(a)')} - 7) AS s FROM c)
   SELECT vec_id, {_RNE.format(s='s', a='a')}::BIGINT AS y, s::BIGINT AS shift FROM d""")
 def int8_mlp(spark, sf_dir):
-    """32 bits to 16 to 16 to one."""
-    x = F.transform(F.slice("q", 1, 32), lambda v: F.when(v > 0, I.big(1)).otherwise(I.big(0)))
-    rows = _vectors(spark, sf_dir).select("vec_id", x.alias("x"), _matrix(16, 32).alias("w1"), _biases(16).alias("b1"), _matrix(16, 16, 3).alias("w2"), _weights(16, 9).alias("w3"))
+    """64 bits to 16 to 16 to one."""
+    x = F.transform("q", lambda v: F.when(v > 0, I.big(1)).otherwise(I.big(0)))
+    rows = _vectors(spark, sf_dir).select("vec_id", x.alias("x"), _matrix(16, 64).alias("w1"), _biases(16).alias("b1"), _matrix(16, 16, 3).alias("w2"), _weights(16, 9).alias("w3"))
     return rows.select("vec_id", I.mlp(F.col("x"), F.col("w1"), F.col("b1"), F.col("w2"), F.col("b1"), F.col("w3"), F.lit(5).cast("bigint")).alias("o")).select("vec_id", "o.y", "o.shift")
 
 
