@@ -35,8 +35,8 @@ ERRORS = 0.35
 #: Share of the shorter recording's positions that have to meet.
 OVERLAP = 0.5
 #: Positions in a block of queries, and numbers in a step's histograms.
-BLOCK = 1 << 22
-PAIR_NUMBERS = 1 << 22
+BLOCK = 1 << 19
+PAIR_NUMBERS = 1 << 23
 LEVEL = 0.25
 
 
@@ -110,20 +110,31 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, decode: Callable
     return media.select(F.col(id_col).cast("bigint"), media_col).mapInArrow(work, "rec_id bigint, prints array<int>")
 
 
-class Queries:
-    """A block of queries' integers, ready to meet recordings: spectra by length of transform, made once a worker and length."""
+class Part:
+    """Some recordings' integers, and their spectra for the length of transform last asked for."""
 
     def __init__(self, ids: list[int], prints: list[np.ndarray]) -> None:
-        order = np.argsort([len(p) for p in prints], kind="stable")
-        self.ids, self.prints = [ids[i] for i in order], [prints[i] for i in order]
-
-    def parts(self, most: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-        """Slices of queries of not too different lengths."""
-        start = 0
-        for end in range(1, len(self.ids) + 1):
-            if end == len(self.ids) or end - start >= most or len(self.prints[end]) > 1.25 * len(self.prints[start]) + 16:
-                yield self.ids[start:end], self.prints[start:end]
-                start = end
+        self.ids, self.prints, self.made = np.array(ids, np.int64), prints, (0, None, None)
+        self.sizes = np.array([len(p) for p in prints])
+
+    def spectra(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Real and imaginary parts, (frequencies, recordings, 2 * 32) and (frequencies, 2 * 32, recordings)."""
+        if self.made[0] != n:
+            s = np.fft.rfft(signs(self.prints, n), axis=2)
+            both = np.concatenate((s.real, s.imag), 1)
+            self.made = (n, np.ascontiguousarray(both.transpose(2, 0, 1)), np.ascontiguousarray(both.transpose(2, 1, 0)))
+        return self.made[1:]
+
+
+def parts(ids: list[int], prints: list[np.ndarray]) -> list[Part]:
+    """Recordings in parts of not too different lengths, of so many that a step's histograms are bounded."""
+    order, made, start = sorted(range(len(ids)), key=lambda i: len(prints[i])), [], 0
+    for end in range(1, len(order) + 1):
+        least = len(prints[order[start]])
+        if end == len(order) or end - start >= np.clip(np.sqrt(PAIR_NUMBERS / (2 * least + 64)), 1, 256) or len(prints[order[end]]) > 1.25 * least + 16:
+            made.append(Part([ids[i] for i in order[start:end]], [prints[i] for i in order[start:end]]))
+            start = end
+    return made
 
 
 def signs(prints: list[np.ndarray], n: int) -> np.ndarray:
@@ -146,34 +157,46 @@ def good_length(n: int) -> int:
         n += 1
 
 
-def met(a: list[np.ndarray], b: list[np.ndarray], overlap: float, errors: float) -> tuple[np.ndarray, ...]:
+def met(a: Part, b: Part, overlap: float, errors: float) -> tuple[np.ndarray, ...]:
     """(i, j, offset, votes, bit error) of the pairs of a[i] and b[j] whose least bit error is at most ``errors``.
 
     Transforms wrap only at offsets that are out of reach. Which pairs may pass is seen in single numbers with room for their
     rounding; those are then decided by whole ones.
     """
-    la, lb = np.array([len(p) for p in a])[:, None], np.array([len(p) for p in b])[None, :]
+    la, lb = a.sizes[:, None], b.sizes[None, :]
     need = np.maximum(1, np.ceil(overlap * np.minimum(la, lb))).astype(np.int64)
     low, high = int((need - la).min()), int((lb - need).max())  # offsets that any pair needs
     n = good_length(int(max(la.max() + max(0, high), lb.max() - min(0, low), high - low + 1)))
-    spectra = lambda p: np.fft.rfft(signs(p, n), axis=2).transpose(2, 0, 1)
-    product = np.matmul(spectra(a).conj(), spectra(b).transpose(0, 2, 1))
-    r = np.fft.irfft(product, n, axis=0)  # agreeing bits less differing ones, by offset
-    alike = np.full(need.shape, -np.inf, np.float32)  # at best: one less twice the bit error
+    # The product of spectra as real numbers, and the way back as a matrix, for the wanted offsets only.
+    f = np.arange(n // 2 + 1)
+    left, right = a.spectra(n)[0], b.spectra(n)[1]
+    product = np.empty((2 * len(f), len(la), lb.shape[1]), np.float32)
+    np.matmul(left, right, out=product[: len(f)])
+    np.matmul(left, np.concatenate((right[:, 32:], -right[:, :32]), 1), out=product[len(f) :])
+    product = product.reshape(2 * len(f), -1)
+    weight = np.where((f == 0) | (2 * f == n), 1, 2) / n
+    back = lambda o: np.stack((weight * np.cos(2 * np.pi * o * f / n), -weight * np.sin(2 * np.pi * o * f / n)))
+    at_best = lambda r: r.max(0).reshape(need.shape)  # noqa: E731  one less twice the bit error
     if (la == la[0, 0]).all() and (lb == lb[0, 0]).all():
-        for part, first in ((r[: high + 1], 0), (r[n + low :], low)) if low < 0 else ((r[: high + 1], 0),):
-            o = np.arange(first, first + len(part))
-            both = np.minimum(la[0, 0], lb[0, 0] - o) - np.maximum(0, -o)
-            inverse = np.where(both >= need[0, 0], 1 / np.maximum(1, 32 * both), 0).astype(np.float32)
-            np.maximum(alike, (part * inverse[:, None, None]).max(0, initial=-np.inf), out=alike)
+        meet = lambda o: np.minimum(la[0, 0], lb[0, 0] - o) - np.maximum(0, -o)
+        scaled = lambda o: back(o[:, None]) / (32 * np.maximum(1, meet(o)))[None, :, None]
+        if low == -high:  # an offset and its opposite from the same two sums
+            cos, sin = scaled(np.arange(high + 1)).astype(np.float32)
+            r = np.abs(sin @ product[len(f) :])
+            r += cos @ product[: len(f)]
+        else:
+            r = np.concatenate(scaled(np.arange(low, high + 1)), 1).astype(np.float32) @ product
+        alike = at_best(r)
     else:
-        for o in range(low, high + 1):
-            both = np.minimum(la, lb - o) - max(0, -o)
-            np.maximum(alike, np.where(both >= need, r[o % n] / np.maximum(1, 32 * both).astype(np.float32), -np.inf), out=alike)
+        o = np.arange(low, high + 1)[:, None, None]
+        both = np.minimum(la, lb - o) - np.maximum(0, -o)
+        r = (np.concatenate(back(np.arange(low, high + 1)[:, None]), 1).astype(np.float32) @ product).reshape(both.shape)
+        alike = np.where(both >= need, r / np.maximum(1, 32 * both), -np.inf).max(0)
     i, j = np.nonzero(alike >= 1 - 2 * errors - 1e-3)
     offsets = np.array(sorted(range(low, high + 1), key=lambda o: (abs(o), o)))[:, None]
+    r = np.concatenate(back(offsets), 1) @ product[:, i * lb.shape[1] + j]  # agreeing bits less differing ones, whole numbers but for rounding
     both = np.minimum(la[i, 0], lb[0, j] - offsets) - np.maximum(0, -offsets)
-    votes = np.rint((r[offsets % n, i, j] + 32 * both) / 2).astype(np.int64)
+    votes = np.rint((r + 32 * both) / 2).astype(np.int64)
     error = np.where(both >= need[i, j], 1 - votes / np.maximum(1, 32 * both), np.inf)
     best = error.argmin(0) if len(i) else np.zeros(0, np.int64)
     at = np.arange(len(i))
@@ -204,7 +227,7 @@ def align(prints: DataFrame, is_query: Column, errors: float = ERRORS, overlap:
     for k in range(blocks):
         own = asked.where(F.col("block") == k).collect()  # about BLOCK integers
         if own:
-            queries = Queries([r["id"] for r in own], [np.array(r["prints"], np.int32) for r in own])
+            queries = parts([r["id"] for r in own], [np.array(r["prints"], np.int32) for r in own])
             found = found.unionByName(others.mapInArrow(meeting(spark.sparkContext.broadcast(queries), errors, overlap), "kind string, a_id bigint, b_id bigint, offset int, votes bigint, bit_error double"))
     return found
 
@@ -215,24 +238,13 @@ def meeting(shared: Broadcast, errors: float, overlap: float) -> Callable[[Itera
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, prints = b.column(0).to_numpy(), b.column(1)
-            sizes = prints.value_lengths().to_numpy()
-            order = np.argsort(sizes, kind="stable")
-            start = 0
-            while start < len(order):
-                n = int(sizes[order[start]])
-                most = int(np.clip(np.sqrt(PAIR_NUMBERS / (2 * n + 64)), 1, 128))
-                end = start + 1
-                while end < len(order) and end - start < most and sizes[order[end]] <= 1.25 * n + 16:
-                    end += 1
-                own = order[start:end]
-                theirs = [prints[int(i)].values.to_numpy() for i in own]
-                for a_ids, asked in shared.value.parts(most):
-                    i, j, *rest = met(asked, theirs, overlap, errors)
-                    a_id, b_id = np.array(a_ids, np.int64)[i], ids[own][j]
+            theirs = parts(b.column(0).to_pylist(), [v.values.to_numpy() for v in b.column(1)])
+            for own in theirs:
+                for asked in shared.value:
+                    i, j, *rest = met(asked, own, overlap, errors)
+                    a_id, b_id = asked.ids[i], own.ids[j]
                     if (others := a_id != b_id).any():
                         yield out(schema, {"kind": ["match"] * int(others.sum()), "a_id": a_id[others], "b_id": b_id[others], **{name: v[others] for name, v in zip(("offset", "votes", "bit_error"), rest, strict=True)}})
-                start = end
 
     return work
 
