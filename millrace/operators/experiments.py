@@ -151,3 +151,11 @@ def running_best(trials: DataFrame, study: str, trial: str, score: str) -> DataF
     before = tops.withColumn("_before", F.max("_top").over(Window.partitionBy(study).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
     own = F.max(score).over(Window.partitionBy(study, "_part").orderBy(trial).rowsBetween(Window.unboundedPreceding, 0))
     return lain.withColumn("best", own).join(before, [study, "_part"]).withColumn("best", F.greatest("best", "_before")).drop("_part", "_before")
+
+
+def only(runs: DataFrame, **wanted: Sequence[str] | None) -> DataFrame:
+    """Runs whose columns have one of the wanted values, column by column; None lets all pass, an empty list none."""
+    for column, values in wanted.items():
+        if values is not None:
+            runs = runs.where(F.col(column).isin(*values) if values else F.lit(False))
+    return runs

@@ -53,11 +53,16 @@ def batches(jobs: DataFrame, nodes: Sequence[str], gpu_algorithms: Iterable[str]
 
 
 def preview(dealt: DataFrame, name: str, first: int = 5) -> DataFrame:
-    """(pool, worker, n, jobs): each worker's number of jobs, and its first few in order, without running any."""
-    own = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("pool", "worker").orderBy(name))).where(F.col("_at") <= first)
-    counts = dealt.groupBy("pool", "worker").agg(F.count("*").alias("n"))
-    names = own.groupBy("pool", "worker").agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("jobs"))  # at most ``first``
-    return counts.join(names, ["pool", "worker"])
+    """(pool, worker, n, jobs): each worker's number of jobs, and its first few in order, without running any.
+
+    A part of a worker's jobs gives its own first few, so no task holds all of a worker's jobs.
+    """
+    few = lambda c: F.slice(F.array_sort(c), 1, first)
+    parts = dealt.groupBy("pool", "worker", F.pmod(F.xxhash64(name), F.lit(64)).alias("part"), F.col(name).alias("job")).agg(F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy("pool", "worker", "part").orderBy("job"))
+    parts = parts.withColumn("at", at).groupBy("pool", "worker", "part").agg(F.sum("n").alias("n"), F.flatten(F.collect_list(F.when(F.col("at") <= first, F.array_repeat("job", F.least(F.col("n"), F.lit(first)).cast("int"))))).alias("jobs"))
+    whole = parts.groupBy("pool", "worker").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("jobs")).alias("jobs"))  # 64 parts of a few
+    return whole.select("pool", "worker", "n", F.array_join(few(F.col("jobs")), ",").alias("jobs"))
 
 
 def manifest(dealt: DataFrame, answers: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -15,6 +16,9 @@ from . import solvers
 from .stats import Gram, column_scores, fold_grams, fold_of, top_k
 
 
+log = logging.getLogger("pipeline")
+
+
 def _table(df: DataFrame, columns: Sequence[str], found: Sequence[tuple[int, float]]) -> DataFrame:
     rows = [(i + 1, columns[j], float(s)) for i, (j, s) in enumerate(found)]
     return df.sparkSession.createDataFrame(rows, "rank int, feature string, score double")
@@ -29,8 +33,14 @@ def pearson(df, columns, y, index, k, **_):
 
 
 def variance(df, columns, y, index, k, threshold: float = 0.0, **_):
-    found = column_scores(df, columns, "variance", y).where(F.col("score") > threshold)
-    return top_k(found, k)
+    """Columns whose variance is above the threshold; none left is an error. On z-scored columns, all of variance one, it says little."""
+    scores = sorted(((r["score"], r["ordinal"]) for r in column_scores(df, columns, "variance", y).collect()), key=lambda s: (-s[0], s[1]))  # a number a column
+    if len(scores) > 1 and all(abs(s - 1) < 1e-6 for s, _ in scores):
+        log.warning("all %d columns have a variance of one: z-scored columns can't be told apart by it", len(scores))
+    found = [(j, s) for s, j in scores if s > threshold]
+    if not found:
+        raise ValueError(f"no column has a variance above {threshold}")
+    return _table(df, columns, found[:k])
 
 
 def _kth_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,30 +92,51 @@ def importances(trials: DataFrame, study: str = "study", parts: int = 4) -> Data
     return shares.join(total, study).select(study, "param", (F.col("share") / F.col("total")).alias("importance"))
 
 
-def study(algorithm: str, train: DataFrame, val: DataFrame, columns: Sequence[str], fixed: dict | None = None, n_trials: int = 5, seed: int = 42, timeout: float = 300, **flags) -> tuple[Regressor, dict, DataFrame]:
+def study(algorithm: str, train: DataFrame, val: DataFrame, columns: Sequence[str], fixed: dict | None = None, n_trials: int = 5, seed: int = 42, timeout: float = 300, at_once: int = 1, **flags) -> tuple[Regressor, dict, DataFrame]:
     """The best trial's model, its parameters, and the trials: (trial, params, score, status). Failed trials score -inf.
 
-    The best trial's model is the final one: a refit with the same parameters, rows and seed would give the same.
+    Trials run ``at_once`` side by side, each round proposed as a whole: those before it in its round count as done, with the middle
+    score so far, so that proposals depend on seed and scores only. At the timeout, running trials are cancelled as soon
+    as any has ended well; without one, the search goes on until the first does. The best trial's model is the final one: a
+    refit with the same parameters, rows and seed would give the same.
     """
     if not val.limit(1).count():
         raise ValueError("a search needs validation rows")
-    kind, rows, best, began = REGISTRY[algorithm], [], None, time.monotonic()
+    kind, rows, best, sc = REGISTRY[algorithm], [], None, train.sparkSession.sparkContext
     space, done, rng = {k: v for k, v in kind.space().items() if k not in (fixed or {})}, [], np.random.default_rng(seed)
-    for i in range(n_trials):
-        if i and time.monotonic() - began > timeout:
-            break
-        free = proposed(space, done, rng)
-        hp = free | (fixed or {})
+    end = time.monotonic() + timeout
+
+    def attempt(hp: dict, tag: str) -> tuple[Regressor | None, float, str]:
+        sc.addJobTag(tag)
         try:
             model = kind(seed=seed, **flags).fit(train, val, columns, hp)
-            score = float(metrics(model.predict(val).withColumn("split", F.lit("val"))).first()["r2"])
-            status = "complete"
+            return model, float(metrics(model.predict(val).withColumn("split", F.lit("val"))).first()["r2"]), "complete"
         except Exception as e:  # a trial may fail in any way; the search goes on
-            model, score, status = None, float("-inf"), f"failed: {e}"[:200]
-        done.append((free, score if math.isfinite(score) else float("-inf")))
-        rows.append((i, {k: str(v) for k, v in hp.items()}, score, status))
-        if model is not None and not math.isnan(score) and (best is None or score > best[0]):
-            best = (score, model, hp)
+            return None, float("-inf"), f"failed: {e}"[:200]
+        finally:
+            sc.removeJobTag(tag)
+
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        while len(rows) < n_trials and (best is None or time.monotonic() < end):
+            scores, round_ = sorted(s for _, s in done if math.isfinite(s)), []
+            middle = scores[len(scores) // 2] if scores else 0.0
+            for _ in range(min(max(1, at_once), n_trials - len(rows))):
+                free = proposed(space, [*done, *[(f, middle) for f, _, _ in round_]], rng)
+                round_.append((free, free | (fixed or {}), f"trial-{uuid.uuid4().hex}"))
+            running = {pool.submit(inheritable_thread_target(train.sparkSession)(attempt), hp, tag): tag for _, hp, tag in round_}  # trials stay in the caller's pool
+            well = best is not None
+            while left := [f for f in running if not f.done()]:
+                well = well or any(f.done() and f.result()[0] is not None for f in running)
+                if well and time.monotonic() >= end:
+                    for f in left:  # again and again, as a trial may be between two jobs
+                        sc.cancelJobsWithTag(running[f])
+                wait(left, timeout=1 if well and time.monotonic() >= end else max(0.05, min(1.0, end - time.monotonic())), return_when=FIRST_COMPLETED)
+            for (free, hp, _), f in zip(round_, running, strict=True):
+                model, score, status = f.result()
+                done.append((free, score if math.isfinite(score) else float("-inf")))
+                rows.append((len(rows), {k: str(v) for k, v in hp.items()}, score, status))
+                if model is not None and not math.isnan(score) and (best is None or score > best[0]):
+                    best = (score, model, hp)
     if best is None:
         raise ValueError(f"all trials failed: {rows[-1][3]}")
     trials = train.sparkSession.createDataFrame(rows, "trial int, params map<string,string>, score double, status string")

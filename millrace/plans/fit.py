@@ -28,6 +28,7 @@ class Settings:
     non_negative: bool = True
     n_trials: int = 5
     timeout: float = 300
+    at_once: int = 1
 
 
 @dataclass
@@ -52,6 +53,11 @@ def scaled(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFram
     return frame.scale(rows.withColumn("truth", F.col("y")), scaler, [*columns, "y"]), scaler
 
 
+def stage(name: str, rows: DataFrame, columns: Sequence[str]) -> dict:
+    """A stage's rows in each split and its number of features."""
+    return {"stage": name, "features": len(columns)} | {r["split"]: r["n_rows"] for r in frame.split_counts(rows).collect()}  # three rows
+
+
 def fit_windows(rows: DataFrame, columns: Sequence[str], settings: Settings, counts: list[dict] | None = None) -> Result:
     """From windows (split, bin, columns, y) to a fitted model and its report."""
     frame.check_finite(rows, [*columns, "y"])
@@ -60,10 +66,12 @@ def fit_windows(rows: DataFrame, columns: Sequence[str], settings: Settings, cou
     train, val = z.where("split = 'train'"), z.where("split = 'val'")
     ranked = select.select(train, columns, settings.selector, settings.top_k, hyperparams=settings.selector_hyperparams)
     kept = [r["feature"] for r in ranked.orderBy("rank").collect()]
-    model, params, trials = tune.study(settings.algorithm, train, val, kept, settings.hyperparams, settings.n_trials, settings.seed, settings.timeout, intercept=settings.intercept, non_negative=settings.non_negative)
+    after = stage("after_preprocess", z, columns)
+    counts = [*(counts or []), after, after | {"stage": "after_feature_selection", "features": len(kept)}]
+    model, params, trials = tune.study(settings.algorithm, train, val, kept, settings.hyperparams, settings.n_trials, settings.seed, settings.timeout, settings.at_once, intercept=settings.intercept, non_negative=settings.non_negative)
     y = scaler.where("feature = 'y'").first()
     found = model.predict(z).select("split", "split_row_idx", F.col("truth").alias("y"), (F.col("prediction") * y["std"] + y["mean"]).alias("prediction"))
-    return Result(model, params, trials, stats.metrics(found), found, kept, model.importance(z), model.interaction(z), counts or [], rows.withColumnRenamed("bin", "split_row_idx"), list(columns), scaler)
+    return Result(model, params, trials, stats.metrics(found), found, kept, model.importance(z), model.interaction(z), counts, rows.withColumnRenamed("bin", "split_row_idx"), list(columns), scaler)
 
 
 def fit(rows: DataFrame, columns: Sequence[str], settings: Settings, external_test: DataFrame | None = None) -> Result:
@@ -72,7 +80,7 @@ def fit(rows: DataFrame, columns: Sequence[str], settings: Settings, external_te
     if external_test is not None:
         test = frame.split(external_test, (1.0, 0.0, 0.0), settings.seed).withColumn("split", F.lit("test"))
         parts = parts.unionByName(test)
-    counts = [{"stage": "split", "features": len(columns)} | {r["split"]: r["n_rows"] for r in frame.split_counts(parts).collect()}]
+    counts = [stage("loaded", parts, columns)]
     if settings.drop_constant:
         parts, columns = frame.drop_constant(parts, columns)
     windows = frame.window_mean(parts, [*columns, "y"], settings.window)

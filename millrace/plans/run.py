@@ -41,11 +41,16 @@ def logged(run_dir: str) -> Iterator[None]:
         handler.close()
 
 
-def run(spark: SparkSession, config_path: str, output_root: str, base: str = ".", n_trials: int = 5) -> tuple[C.Config, Result]:
+def trials_of(result: Result) -> str:
+    """How the search went, one line a trial."""
+    return "\n".join(f"- {r['trial']}: {r['status']}, R2 {r['score']:.4f}" for r in result.trials.orderBy("trial").collect())
+
+
+def run(spark: SparkSession, config_path: str, output_root: str, base: str = ".", n_trials: int = 5, at_once: int = 1) -> tuple[C.Config, Result]:
     """Fit what a configuration says; its folder gets tables, report.md, and a log line that names the report."""
     c = C.load(config_path, output_root)
     g, settings = c.general, settings_of(c)
-    settings.n_trials = n_trials
+    settings.n_trials, settings.at_once = n_trials, at_once
     paths = {k: [C.resolved(p, base) for p in g[k]] for k in ("trainset_x_path", "testset_x_path", "y_path")}
     rows, test, columns = tables.load_train_test(spark, paths["trainset_x_path"], paths["testset_x_path"], paths["y_path"], g["y_label"])
     with logged(c.run_dir):
@@ -66,6 +71,6 @@ def run(spark: SparkSession, config_path: str, output_root: str, base: str = "."
         if hasattr(result.model, "table"):
             sinks.save_table(result.model.table(rows).orderBy(F.desc(F.abs("coef") * F.col("support"))), f"{c.run_dir}/rules")
         report = os.path.join(c.run_dir, "report.md")
-        sinks.write_atomically(report, sinks.report(c.path, settings.algorithm, settings.selector, result.counts, result.metrics, result.params, notes))
+        sinks.write_atomically(report, sinks.report(c.path, settings.algorithm, settings.selector, result.counts, result.metrics, result.params, notes, settings.seed, settings.top_k if settings.selector else None, {"Trials": trials_of(result)}))
         log.info("done: %s", report)
     return c, result

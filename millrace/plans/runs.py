@@ -67,7 +67,7 @@ def runs_high_r2(spark, sf_dir):
 
 @query(f"WITH {_LATEST_SQL} SELECT {_COLUMNS} FROM latest WHERE module IN ('cp0', 'lsu') AND kind = 'input'")
 def runs_filter(spark, sf_dir):
-    return _latest(spark, sf_dir).where(F.col("module").isin("cp0", "lsu") & F.col("kind").isin("input")).select(*_COLUMNS.split(", "))
+    return X.only(_latest(spark, sf_dir), module=["cp0", "lsu"], kind=["input"], selector=None).select(*_COLUMNS.split(", "))
 
 
 _GRID = f"grid AS (SELECT s || '_' || m AS setup FROM (SELECT unnest({_quoted(S.SELECTORS[:-1])}) AS s), (SELECT unnest({_quoted(S.MODELS)}) AS m))"

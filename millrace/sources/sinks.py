@@ -42,14 +42,29 @@ def save_table(df: DataFrame, path: str) -> None:
     df.select(*[F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("map", "struct", "array") else F.col(f.name) for f in df.schema]).write.mode("overwrite").csv(path, header=True)
 
 
-def report(config_path: str, algorithm: str, selector: str | None, counts: list[dict], metrics: DataFrame, params: dict, notes: list[str]) -> str:
-    """A run's Markdown report, in the form that the run analytics parse."""
-    rows = {r["split"]: r for r in metrics.collect()}  # three rows
-    lines = ["# Fit report", "", f"- Config: `{config_path}`", f"- Algorithm: **{algorithm}**", f"- Feature selection: **{selector or 'none'}**", "", "## Row counts", "", "| Stage | Train | Val | Test | Features |", "|---|---:|---:|---:|---:|"]
-    lines += [f"| {c['stage']} | {c.get('train', '-')} | {c.get('val', '-')} | {c.get('test', '-')} | {c.get('features', '-')} |" for c in counts]
-    lines += ["", "## Metrics (in original y units)", "", "| Split | sMAPE (%) | MAPE (%) | RMSE | MAE | R^2 |", "|---|---:|---:|---:|---:|---:|"]
-    lines += [f"| {s} | {r['smape']:.3f} | {r['mape']:.3f} | {r['rmse']:.5f} | {r['mae']:.5f} | {r['r2']:.4f} |" for s in SPLITS if (r := rows.get(s))]
-    lines += ["", "## Best hyper-parameters", "", *[f"- {k}: {v}" for k, v in params.items()], "", "## Notes", "", *[f"- {n}" for n in notes], ""]
+# The headings, key lines and cell formats that the run analytics parse.
+KEYS = ("- Config: `{}`", "- Algorithm: **{}**", "- Feature selection: **{}**")
+COUNTS = ("## Row counts", "| Stage | Train | Val | Test | Features |")
+METRICS = ("## Metrics (in original y units)", "| Split | sMAPE (%) | MAPE (%) | RMSE | MAE | R^2 |")
+CELLS = (("smape", ".3f"), ("mape", ".3f"), ("rmse", ".5f"), ("mae", ".5f"), ("r2", ".4f"))
+
+
+def markdown(heading: str, header: str, rows: list[list[object]]) -> list[str]:
+    """A section with a table, numbers to the right."""
+    columns = header.count("|") - 1
+    return [heading, "", header, "|---|" + "---:|" * (columns - 1), *["| " + " | ".join(map(str, r)) + " |" for r in rows], ""]
+
+
+def report(config_path: str, algorithm: str, selector: str | None, counts: list[dict], metrics: DataFrame, params: dict, notes: list[str], seed: int | None = None, top_k: int | None = None, extras: dict[str, str] | None = None) -> str:
+    """A run's Markdown report, in the form that the run analytics parse: its setting, rows by stage, metrics, parameters, notes and further sections."""
+    found = {r["split"]: r for r in metrics.collect()}  # three rows
+    lines = ["# Fit report", "", *[line.format(v) for line, v in zip(KEYS, (config_path, algorithm, selector or "none"), strict=True)]]
+    lines += [f"- {name}: {v}" for name, v in (("Top features", top_k), ("Seed", seed)) if v is not None] + [""]
+    lines += markdown(*COUNTS, [[c["stage"], *[c.get(s, 0) for s in SPLITS], c["features"]] for c in counts])
+    lines += markdown(*METRICS, [[s, *[format(found[s][name], form) for name, form in CELLS]] for s in SPLITS if s in found])
+    lines += ["## Best hyper-parameters", "", *[f"- {k}: {v}" for k, v in params.items()], "", "## Notes", "", *[f"- {n}" for n in notes], ""]
+    for title, body in (extras or {}).items():
+        lines += [f"## {title}", "", body, ""]
     return "\n".join(lines)
 
 

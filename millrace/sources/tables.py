@@ -200,3 +200,20 @@ def reports(spark: SparkSession, output_root: str) -> DataFrame:
     """(run_dir, report): each run's report as one text."""
     files = spark.read.text(f"{output_root}/*/report.md", wholetext=True)
     return files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run_dir"), F.col("value").alias("report"))
+
+
+def logs(spark: SparkSession, output_root: str) -> DataFrame:
+    """(stem, run_dir, log): each run's log as one text; none where there is no run yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{output_root}/*/fit.log")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where):
+        return spark.createDataFrame([], "stem string, run_dir string, log string")
+    files = spark.read.text(f"{output_root}/*/fit.log", wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("at"), F.col("value").alias("log"))
+    folder = F.regexp_replace("at", "/fit\\.log$", "")
+    return files.select(F.regexp_replace(F.element_at(F.split(folder, "/"), -1), "_[0-9]{8}_[0-9]{6}$", "").alias("stem"), folder.alias("run_dir"), "log")
+
+
+def report_paths(spark: SparkSession, output_root: str) -> DataFrame:
+    """(path) of the reports that exist."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{output_root}/*/report.md")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    return spark.createDataFrame([(f.getPath().toUri().getPath() if f.getPath().toUri().getScheme() == "file" else f.getPath().toString(),) for f in found], "path string")
