@@ -1,4 +1,5 @@
 import math
+import time
 from itertools import combinations
 
 import numpy as np
@@ -40,12 +41,14 @@ def test_tree_interactions(spark):
     sure = [model.model.base + sum(v for v, path in found if all(lo < r[f] <= hi for f, lo, hi, _ in path)) for r in x[:20]]
     want = [r.prediction for r in model.predict(rows.where("split_row_idx < 20")).orderBy("split_row_idx").collect()]
     assert np.allclose(sure, want)
-    fast = trees.interaction_values(x[:10], found)
+    paths = trees.Paths(found)
+    values = lambda rows: dict(zip(paths.pairs, paths.values(rows), strict=True))
+    fast = values(x[:10])
     for i, j in combinations(range(4), 2):
         slow = [plain_interaction(r, found, i, j, 4) for r in x[:10]]
         assert np.allclose(fast.get((i, j), np.zeros(10)), slow)
     table = {(r.feature_i, r.feature_j): r.weight for r in model.interaction(rows).collect()}
-    whole = trees.interaction_values(x[:240], found)
+    whole = values(x[:240])
     assert np.isclose(table["a", "b"], np.abs(whole[0, 1]).mean()) and table["a", "b"] == table["b", "a"] == max(table.values())
     assert not any(a == b for a, b in table)
     # No rows, or no paths of two features: no interactions.
@@ -53,6 +56,32 @@ def test_tree_interactions(spark):
     assert trees.interactions(rows.select(*names), names, []).count() == 0
 
 
+def test_interactions_of_many_deep_trees():
+    """1,500 trees of depth 8 on a row sample's part in seconds, some leaves against the definition."""
+    rng = np.random.default_rng(1)
+    found = []
+    for _ in range(1500 * 128):
+        path = [(int(f), *sorted(rng.normal(size=2).tolist()), float(rng.uniform(0.2, 0.8))) for f in rng.choice(20, int(rng.integers(2, 9)), replace=False)]
+        found.append((float(rng.normal()), path))
+    x = rng.normal(size=(16, 20))
+    few = found[:40]
+    paths = trees.Paths(few)
+    values = dict(zip(paths.pairs, paths.values(x[:2]), strict=True))
+    for i, j in paths.pairs[:12]:
+        own = [leaf for leaf in few if {i, j} <= {f for f, *_ in leaf[1]}]
+        assert np.allclose(values[i, j], [sum(plain_of_path(r, leaf, i, j) for leaf in own) for r in x[:2]])
+    began = time.perf_counter()
+    assert trees.Paths(found).values(x).shape == (190, 16)
+    assert time.perf_counter() - began < 90
+
+
+def plain_of_path(x, leaf, i, j):
+    """A leaf's interaction by the definition over the features on its path (others don't count)."""
+    features = [f for f, *_ in leaf[1]]
+    renamed = [(leaf[0], [(k, *t[1:]) for k, t in enumerate(leaf[1])])]
+    return plain_interaction(x[features], renamed, features.index(i), features.index(j), len(features))
+
+
 def test_sampled_rows(spark):
     rows = spark.range(2000)
     one, two = ({r.id for r in frame.sampled(d, 500, 7, ["id"]).collect()} for d in (rows, rows.repartition(5)))
