@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +112,11 @@ def fold_of(index: Column, n: int | Column, folds: int) -> Column:
 def fold_grams(df: DataFrame, columns: Sequence[str], y: str = "y", fold: Column | None = None) -> dict[int, Gram]:
     """The Gram of each fold in one pass: partial sums by NumPy in each partition, dealt by (fold, row of the matrix) and added up.
 
-    A partition sends one vector of (p + 1)(p + 2) numbers for each fold; they are added up on the executors.
+    A partition sends one vector of (p + 1)(p + 2) numbers for each fold; they are added up on the executors. Beyond TILE columns, no task
+    holds a fold's matrix (see gram_tiles); the driver, whose solvers need all of it, holds one for each fold.
     """
+    if len(columns) + 2 > TILE:
+        return tiled_grams(df, columns, y, fold)
     p = len(columns)
     packed = df.select((fold if fold is not None else F.lit(0)).cast("int").alias("fold"), vector([*columns, y]).alias("z"))
     schema = pa.schema([("fold", pa.int32()), ("row", pa.int32()), ("v", pa.list_(pa.float64()))])
@@ -134,6 +138,84 @@ def fold_grams(df: DataFrame, columns: Sequence[str], y: str = "y", fold: Column
     return added_grams(packed.mapInArrow(work, PARTS), p)
 
 
+def gram_tiles(df: DataFrame, columns: Sequence[str], y: str = "y", fold: Column | None = None, width: int | None = None, shares: int = 4) -> DataFrame:
+    """vector_tiles of z = (columns, y, ones)."""
+    packed = df.select((fold if fold is not None else F.lit(0)).cast("int").alias("fold"), vector([*columns, y], "1.0D").alias("z"))
+    return vector_tiles(packed, len(columns) + 2, width, shares)
+
+
+def vector_tiles(packed: DataFrame, size: int, width: int | None = None, shares: int = 4) -> DataFrame:
+    """(fold, i, j, tile): the products of vectors (fold, z: ``size`` doubles) as square tiles of ``width`` columns (binary doubles, row by row), i <= j.
+
+    Each block of rows goes, cut to its two groups of columns, to the task of each pair of groups, so data are sent once for each group and
+    not once for each column; a pair's rows are dealt over ``shares`` tasks. A task holds one tile (8 MB at 1,024) at a time.
+    """
+    width = width or TILE
+    groups = [range(a, min(a + width, size)) for a in range(0, size, width)]
+    cut = pa.schema([("fold", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("share", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                z = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                which, turn = part.column(0).to_numpy(), turn + 1
+                for k in np.unique(which):
+                    own = z[which == k]
+                    cells = [np.ascontiguousarray(own[:, g.start : g.stop]).tobytes() for g in groups]
+                    for i in range(len(groups)):
+                        for j in range(i, len(groups)):
+                            row = [int(k), i, j, turn % shares, cells[i], cells[j] if j > i else b""]
+                            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, cut, strict=True)], schema=cut)
+
+    tile = pa.schema([("fold", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("tile", pa.binary())])
+
+    def summed(of: Callable[[list], np.ndarray], keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Rows in order of their keys: one sum for each, one at a time."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, total = None, None
+            told = lambda: pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in now[:3]], pa.array([total.tobytes()], pa.binary())], schema=tile)
+            for b in batches:
+                for n in range(b.num_rows):
+                    row = [c[n] for c in b.columns]
+                    key = tuple(c.as_py() for c in row[:keys])
+                    if key != now:
+                        if now is not None:
+                            yield told()
+                        now, total = key, 0
+                    total = total + of(row)
+            if now is not None:
+                yield told()
+
+        return work
+
+    def product(row: list) -> np.ndarray:
+        i, j = row[1].as_py(), row[2].as_py()
+        left = np.frombuffer(row[4].as_buffer()).reshape(-1, len(groups[i]))
+        right = np.frombuffer(row[5].as_buffer()).reshape(-1, len(groups[j])) if j > i else left
+        return left.T @ right
+
+    kind = "fold int, i int, j int, tile binary"
+    parts = packed.mapInArrow(dealt, "fold int, i int, j int, share int, left binary, right binary").repartition("fold", "i", "j", "share").sortWithinPartitions("fold", "i", "j", "share").mapInArrow(summed(product, 4), kind)
+    return parts.repartition("fold", "i", "j").sortWithinPartitions("fold", "i", "j").mapInArrow(summed(lambda row: np.frombuffer(row[3].as_buffer()), 3), kind)
+
+
+def tiled_grams(df: DataFrame, columns: Sequence[str], y: str = "y", fold: Column | None = None, width: int | None = None) -> dict[int, Gram]:
+    """The Gram of each fold from tiles, which come to the driver one by one."""
+    p, width, found = len(columns), width or TILE, {}
+    for r in gram_tiles(df, columns, y, fold, width).toLocalIterator():
+        m = found.setdefault(r["fold"], np.zeros((p + 2, p + 2)))
+        a, b = r["i"] * width, r["j"] * width
+        t = np.frombuffer(r["tile"]).reshape(min(width, p + 2 - a), -1)
+        m[a : a + t.shape[0], b : b + t.shape[1]] = t
+        m[b : b + t.shape[1], a : a + t.shape[0]] = t.T
+    return {k: Gram(float(m[-1, -1]), m[:-1, -1].copy(), m[:-1, :-1]) for k, m in sorted(found.items())}
+
+
+#: Columns beyond which a Gram is made of tiles, and a tile's width.
+TILE = 1024
 PARTS = "fold int, row int, v array<double>"
 
 

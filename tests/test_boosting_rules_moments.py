@@ -177,3 +177,32 @@ def test_window_wider_than_a_split(spark):
     assert frame.window_mean(rows.where("split = 'train'"), ["v"], 8).count() == 2 and frame.window_mean(rows.where("false"), ["v"], 8).count() == 0
     with pytest.raises(Exception, match="wider than"):
         frame.window_mean(rows, ["v"], 8).collect()
+
+
+def test_gram_of_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 13))
+    df, names = table(spark, x, x[:, 0] + 1).repartition(3), [f"c{j}" for j in range(13)]
+    fold = stats.fold_of(F.col("split_row_idx"), 700, 3)
+    want = stats.fold_grams(df, names, "y", fold)
+    monkeypatch.setattr(stats, "TILE", 4)
+    for found in (stats.fold_grams(df, names, "y", fold), stats.tiled_grams(df, names, "y", fold, 5)):
+        assert found.keys() == want.keys()
+        for k, g in want.items():
+            assert g.n == found[k].n and np.allclose(g.sums, found[k].sums) and np.allclose(g.products, found[k].products)
+    assert stats.tiled_grams(df.where("false"), names) == {}
+
+
+def test_gram_of_ten_thousand_columns(spark):
+    """Ten thousand columns: each task holds a tile of 8 MB and a block of 512 rows."""
+    p, n = 10_000, 64
+    df = spark.range(n).select(F.lit(0).alias("fold"), F.expr(f"transform(sequence(0, {p - 1}), j -> (cast((id * 7919 + j * 104729) % 1009 as double) - 504) / 100)").alias("v"))
+    z = df.select("fold", F.concat("v", F.array(F.col("v")[0] * 2, F.lit(1.0))).alias("z"))
+    x = (np.arange(n)[:, None] * 7919 + np.arange(p) * 104729) % 1009 / 100 - 5.04
+    want, seen = np.column_stack((x, 2 * x[:, 0], np.ones(n))), 0
+    for r in stats.vector_tiles(z, p + 2, shares=1).where("i = j or i = 0").toLocalIterator():
+        a, b = r["i"] * stats.TILE, r["j"] * stats.TILE
+        t = np.frombuffer(r["tile"]).reshape(min(stats.TILE, p + 2 - a), -1)
+        assert np.allclose(t, want[:, a : a + len(t)].T @ want[:, b : b + t.shape[1]], atol=1e-8)
+        seen += 1
+    assert seen == 19
