@@ -1,5 +1,7 @@
 """License scan by sentence rules. DataFrame functions only; no shuffle.
 
+Besides sentences that licences print, notices (a beginning and a licence's name, by rule) and short-form tags are sentences, too.
+
 A text, in lower case and with single spaces between letters and digits, keeps its cuts (ends of sentences and lines) as
 newlines. A known licence sentence is found where its words stand between two cuts; cuts inside it ("v. 2.0", "software: you")
 and its line breaks and comment marks don't matter. A licence is found where its rule's sentences occur in the text's sequence of
@@ -99,13 +101,43 @@ RULES = [
     ("Proprietary", (18,)),
 ]
 
+# Licences and the names that notices call them by, normalised.
+NAMES = [
+    ("MIT", "mit license"), ("Apache-2.0", "apache license version 2 0"), ("Apache-2.0", "apache license 2 0"), ("Apache-1.1", "apache software license version 1 1"),
+    ("GPL-2.0-only", "gnu general public license version 2"), ("GPL-3.0-only", "gnu general public license version 3"), ("GPL-2.0-only", "gnu general public license v2 0"), ("GPL-3.0-only", "gnu general public license v3 0"),
+    ("LGPL-2.1-only", "gnu lesser general public license version 2 1"), ("LGPL-3.0-only", "gnu lesser general public license version 3"), ("AGPL-3.0-only", "gnu affero general public license version 3"), ("GFDL-1.3-only", "gnu free documentation license version 1 3"),
+    ("BSD-2-Clause", "bsd 2 clause license"), ("BSD-3-Clause", "bsd 3 clause license"), ("0BSD", "bsd zero clause license"), ("ISC", "isc license"), ("Zlib", "zlib license"), ("BSL-1.0", "boost software license version 1 0"),
+    ("MPL-1.1", "mozilla public license version 1 1"), ("MPL-2.0", "mozilla public license version 2 0"), ("MPL-2.0", "mozilla public license 2 0"), ("EPL-1.0", "eclipse public license version 1 0"), ("EPL-2.0", "eclipse public license version 2 0"), ("EPL-2.0", "eclipse public license 2 0"),
+    ("CDDL-1.0", "common development and distribution license version 1 0"), ("CPL-1.0", "common public license version 1 0"), ("EUPL-1.2", "european union public licence version 1 2"), ("OSL-3.0", "open software license version 3 0"), ("AFL-3.0", "academic free license version 3 0"),
+    ("Artistic-2.0", "artistic license 2 0"), ("OFL-1.1", "sil open font license version 1 1"), ("MS-PL", "microsoft public license"), ("Unlicense", "unlicense"), ("WTFPL", "do what the fuck you want to public license"), ("NCSA", "university of illinois ncsa open source license"),
+    ("PostgreSQL", "postgresql license"), ("Python-2.0", "python software foundation license"), ("PHP-3.01", "php license version 3 01"), ("ODbL-1.0", "open database license"), ("BUSL-1.1", "business source license 1 1"), ("Elastic-2.0", "elastic license 2 0"), ("SSPL-1.0", "server side public license version 1"),
+    ("CC0-1.0", "cc0 1 0 universal"), ("CC0-1.0", "creative commons zero v1 0 universal"), ("CC-BY-4.0", "creative commons attribution 4 0 international license"), ("CC-BY-SA-4.0", "creative commons attribution sharealike 4 0 international license"), ("CC-BY-NC-4.0", "creative commons attribution noncommercial 4 0 international license"),
+    ("CC-BY-ND-4.0", "creative commons attribution noderivatives 4 0 international license"), ("CC-BY-NC-SA-4.0", "creative commons attribution noncommercial sharealike 4 0 international license"), ("CC-BY-NC-ND-4.0", "creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("CC-BY-3.0", "creative commons attribution 3 0 unported license"), ("CC-BY-SA-3.0", "creative commons attribution sharealike 3 0 unported license"), ("CC-BY-SA-4.0", "cc by sa 4 0"), ("CC-BY-ND-4.0", "cc by nd 4 0"), ("CC-BY-NC-SA-4.0", "cc by nc sa 4 0"), ("CC-BY-NC-ND-4.0", "cc by nc nd 4 0"), ("CC-BY-4.0", "cc by 4 0"), ("CC-BY-NC-4.0", "cc by nc 4 0"),
+]
+
+# How notices begin. A notice is a beginning and a name; its identifier is NAMED plus the name's place in the list.
+BEGINNINGS = [f"{subject}{verb} under {article}" for subject in ("", *(f"this {x} is " for x in ("project", "software", "work", "program", "library", "code", "file", "package", "repository"))) for verb in ("licensed", "released", "distributed", "made available", "provided") for article in ("", "the ", "a ", "the terms of the ")]
+NAMED = 100
+#: A tag in a file's head names a licence by its short form; its identifier is TAGGED plus that licence's place in ``TAGS``.
+TAG = "spdx license identifier "
+TAGGED = 300
+TAGS = list(dict.fromkeys([*(n for n, _ in RULES if n != "Proprietary"), *(n for n, _ in NAMES)]))
+RULES += [(name, (NAMED + i,)) for i, (name, _) in enumerate(NAMES)] + [(name, (TAGGED + i,)) for i, name in enumerate(TAGS)]
+
+
+def short_form(name: str) -> str:
+    """A licence's short form, normalised as texts are."""
+    return "".join(c if c.isalnum() else " " for c in name.lower())
+
+
 #: Licences whose rule is part of another's: named only where the other is not found. A notice of a known licence may reserve rights.
 WITHIN = {"BSD-2-Clause": ("BSD-3-Clause",), "Proprietary": tuple(dict.fromkeys(n for n, _ in RULES if n != "Proprietary"))}
 
 #: Where sentences end.
 CUT = r"[.!?;:]+(?:[ \t\r\n]+|$)|\n+"
 #: Texts without any of these have no licence sentence.
-HINT = "(?i)licen|permission|redistribut|copyright|rights reserved|free software|unencumbered"
+HINT = "(?i)licen|permission|redistribut|copyright|rights reserved|free software|unencumbered|cc0|cc.by|creative commons"
 
 
 def normalised(text: Column) -> Column:
@@ -114,10 +146,21 @@ def normalised(text: Column) -> Column:
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences, notices and tags of a text, in order."""
     known = LONGER | {s: i for i, s in enumerate(SENTENCES, 1)}
-    pattern = "(?<=\n) ?(?:" + "|".join(s.replace(" ", "[ \n]+") for s in sorted(known, key=len, reverse=True)) + ") ?(?=\n)"
-    identifier = lambda x: F.element_at(F.array(*map(F.lit, known.values())), F.array_position(F.array(*map(F.lit, known)), F.trim(F.regexp_replace(x, "[ \n]+", " "))).cast("int"))
+    names, tags = [name for _, name in NAMES], [short_form(t) for t in TAGS]
+    longest = lambda xs: "|".join(sorted(xs, key=len, reverse=True))
+    forms = [longest(known), f"(?:{longest(BEGINNINGS)})(?:{longest(names)})", f"{TAG}(?:{longest(tags)})"]
+    pattern = "(?<=\n) ?(?:" + "|".join(forms).replace(" ", "[ \n]+") + ") ?(?=\n)"
+    place = lambda x, values: F.array_position(F.array(*map(F.lit, values)), x).cast("int")
+
+    def identifier(found: Column) -> Column:
+        x = F.trim(F.regexp_replace(found, "[ \n]+", " "))
+        own = F.get(F.array(*map(F.lit, known.values())), place(x, known) - 1)
+        tag = TAGGED - 1 + F.nullif(place(F.replace(x, F.lit(TAG), F.lit("")), tags), F.lit(0))
+        name = NAMED - 1 + place(F.regexp_replace(x, f"^(?:{longest(BEGINNINGS)})(?=(?:{longest(names)})$)", ""), names)
+        return F.coalesce(own, F.when(F.startswith(x, F.lit(TAG)), tag), name)
+
     found = F.transform(F.regexp_extract_all(normalised(text), F.lit(pattern), F.lit(0)), identifier)
     return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<int>"))
 
@@ -148,10 +191,14 @@ def oracle() -> str:
     order = list(dict.fromkeys(name for name, _ in RULES))
     within = " ".join(f"WHEN n = '{n}' THEN NOT list_has_any(hits, {quoted(by)})" for n, by in WITHIN.items())
     known = LONGER | {x: i for i, x in enumerate(SENTENCES, 1)}
+    more = [(TAG + short_form(t), TAGGED + i) for i, t in enumerate(TAGS)]
     words = f"trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '{CUT}', chr(10), 'g')), '[^a-z0-9\n]+', ' ', 'g'))"
     # Every run of pieces between cuts that begins at a piece, joined with single spaces, is looked up; the longest that is known counts.
     return f"""
-    WITH known(s, i) AS (VALUES {', '.join(f"('{x}', {i})" for x, i in known.items())}),
+    WITH printed(s, i) AS (VALUES {', '.join(f"('{x}', {i})" for x, i in [*known.items(), *more])}),
+    named_by(name, i) AS (VALUES {', '.join(f"('{x}', {NAMED + i})" for i, (_, x) in enumerate(NAMES))}),
+    notices AS (SELECT b || name AS s, min(i) AS i FROM named_by, (SELECT unnest({quoted(BEGINNINGS)}) AS b) GROUP BY 1),
+    known AS (SELECT * FROM printed UNION ALL SELECT * FROM notices WHERE s NOT IN (SELECT s FROM printed)),
     hinted AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents),
     cut AS (SELECT id, list_filter(list_transform(string_split({words}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM hinted WHERE regexp_matches(coalesce(text, ''), '{HINT}')),
     starts AS (SELECT id, p, unnest(range(1, len(p) + 1)) AS a FROM cut),
