@@ -8,7 +8,8 @@ order of length, each to the sequence of lowest cost that still has room for it;
 room, and its rest is placed in the same way.
 
 Nulls: a null text is empty, and is then its end id alone. Rows with equal ids are packed each on its own; sequence ids
-are unique in a result. Empty tables give no rows.
+are unique in a result. Documents of equal length tie and go in the order of the block; of sequences of equal cost the first is
+taken. Empty tables give no rows; other columns than id and text aren't read, so names can't clash.
 """
 
 from __future__ import annotations

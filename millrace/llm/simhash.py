@@ -18,7 +18,8 @@ distinct fingerprints only, so exact copies never meet each other:
 ``similar`` links documents by a Jaccard similarity, with wider fingerprints and another dealing (see there).
 
 Nulls: a null text has no words. No words: fingerprint zero, linked like any other. Empty tables give empty results;
-repeated rows are kept, and a null id gets its class from the rows it links with.
+repeated rows are kept, and a null id gets its class from the rows it links with. Texts of any length are hashed whole. Other
+columns than id and text aren't read, so names can't clash.
 """
 
 from __future__ import annotations

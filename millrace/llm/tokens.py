@@ -7,7 +7,8 @@ vocabulary that is a whole pre-token. Tier two is each worker's own cache, bound
 pre-tokens met there; what it lacks is encoded by the library. No pre-token is shuffled.
 
 Nulls: a null text counts as empty. Empty texts have no tokens; texts of any length are counted whole, and a unit with
-a special string in it goes to the library as a whole. Repeated rows are kept.
+a special string in it goes to the library as a whole. Repeated rows are kept. Empty tables give no rows; other columns than
+id and text aren't read, so names can't clash.
 """
 
 from __future__ import annotations
