@@ -16,7 +16,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. It learns from labelled rows outside the held-out fold."""
+    """Documents that the quality classifier doesn't reject. It learns from labelled rows outside the held-out fold.
+
+    Null and empty texts are scored like any other; repeated rows stay or go together. Empty tables give no rows; extra columns go.
+    """
     held_out = bucket(F.col("doc_id"), 5) == 0
     model = quality.fit(docs, table(spark, sf_dir, "labels"), held_out)
     scored = quality.score(docs.select(*COLUMNS), model, name="_score")
@@ -38,20 +41,20 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark window occurs in."""
+    """Documents that no benchmark window occurs in; null and empty texts stay, as do repeated rows. Empty tables give no rows; extra columns go."""
     hits = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=("text", "lang", "source", "n_chars"))
     return hits.where("n_hit = 0").select(*COLUMNS)
 
 
 def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with marks in the place of secrets."""
+    """All documents, with marks in the place of secrets; n_chars is counted anew where there are any. Null texts without any stay null. Extra columns go."""
     found = secrets.scan(docs, keep=("text", "lang", "source", "n_chars"))
     text = secrets.redacted(F.col("text"), F.col("spans"))
     return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed training sequences, one row for each piece, with its ids."""
+    """Packed training sequences, one row for each piece, with its ids; a null or empty text is its end id alone. Empty tables give no rows."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
