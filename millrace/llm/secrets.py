@@ -9,8 +9,8 @@ how many distinct repositories and owners hold that hash:
 
 Base spans always stay. An opaque span is added only where it is live. Nulls: a null text is empty; a null repository
 or owner counts as one of its own kind; repeated rows count once for their repository and keep their own row. Texts of any
-length are scanned whole. Spans that begin at one place stand in the order of the kinds; hashes that as many hold as the bound
-says are live. Empty tables give no rows; of the input's other columns only those named in ``keep`` are kept, under names that
+length are scanned whole. Spans that begin at one place stand in the order of the kinds; hashes that just as many hold as a
+bound says are widespread. Empty tables give no rows; of the input's other columns only those named in ``keep`` are kept, under names that
 can't clash with the scan's own.
 Counting is by partial sums over (hash, owner, repository), so a hash that a third of all rows hold is no hot spot.
 """
