@@ -6,13 +6,12 @@ import logging
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import solvers
+from . import information, solvers
 from .stats import Gram, column_scores, fold_grams, fold_of, top_k
 
 
@@ -43,82 +42,10 @@ def variance(df, columns, y, index, k, threshold: float = 0.0, **_):
     return _table(df, columns, found[:k])
 
 
-def _kth_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """Each row's distance (the larger of those in x and y) to its k-th nearest other row; in memory of a few numbers a row.
-
-    Rows meet by their places' distance in the order of x, near ones first. A row is done when its next ones on both sides
-    are as far in x alone as its k-th nearest so far.
-    """
-    n = len(x)
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    best = np.full((k, n), np.inf)  # ascending along the first axis
-    open_ = {side: np.arange(n) for side in (-1, 1)}
-    for step in range(1, n):
-        for side in (-1, 1):
-            i = open_[side]
-            i = i[(i + side * step >= 0) & (i + side * step < n)]
-            j = i + side * step
-            far = np.abs(x[i] - x[j])
-            going = far < best[-1, i]
-            open_[side] = i = i[going]
-            d = np.maximum(far[going], np.abs(y[i] - y[j[going]]))
-            nearer = d < best[-1, i]
-            i, d = i[nearer], d[nearer]
-            if len(i):
-                best[:, i] = np.sort(np.vstack((best[:-1, i], d)), axis=0)
-        if not len(open_[-1]) and not len(open_[1]):
-            break
-    found = np.empty(n)
-    found[order] = best[-1]
-    return found
-
-
-def _within(s: np.ndarray, v: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """How many of the sorted s are within r[i] of v[i], by their difference: the sum v + r, rounded, may reach one more."""
-    padded = np.concatenate(([-np.inf], s, [np.inf]))
-    low, high = np.searchsorted(s, v - r, "left"), np.searchsorted(s, v + r, "right")
-    while (off := padded[high] - v > r).any():
-        high[off] -= 1
-    while (off := padded[high + 1] - v <= r).any():
-        high[off] += 1
-    while (off := v - padded[low + 1] > r).any():
-        low[off] += 1
-    while (off := v - padded[low] <= r).any():
-        low[off] -= 1
-    return high - low
-
-
-def neighbours_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 42) -> float:
-    """Kraskov's estimate of mutual information by k nearest neighbours, over all rows."""
-    n = len(x)
-    if n <= k or np.ptp(x) == 0 or np.ptp(y) == 0:
-        return 0.0
-    rng = np.random.default_rng(seed)
-    ties = len(np.unique(x)) < len(np.unique(y))  # rows meet in the order of the one with fewer
-    x, y = x / x.std(), y / y.std()
-    x = x + 1e-10 * max(1, np.abs(x).mean()) * rng.standard_normal(n)
-    y = y + 1e-10 * max(1, np.abs(y).mean()) * rng.standard_normal(n)
-    harmonic = np.concatenate(([0.0], np.cumsum(1 / np.arange(1, n + 1))))
-    psi = lambda m: harmonic[m - 1] - np.euler_gamma
-    r = np.nextafter(_kth_distances(*((y, x) if ties else (x, y)), k), 0)
-    total = (psi(_within(np.sort(x), x, r)) + psi(_within(np.sort(y), y, r))).sum()
-    return max(0.0, float(psi(np.array(n)) + psi(np.array(k)) - total / n))
-
-
 def univariate(df, columns, y, index, k, score_func: str = "f_regression", **_):
     if score_func == "f_regression":
         return top_k(column_scores(df, columns, "f", y), k)
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)])).alias("p")
-    long = df.select(pairs, F.col(y).cast("double").alias("y"), F.col(index).alias("i")).select("p.ordinal", "p.x", "y", "i")
-    names = list(columns)
-
-    def estimate(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
-        o = int(part["ordinal"].iloc[0])
-        return pd.DataFrame({"feature": [names[o]], "ordinal": [o], "score": [neighbours_information(part["x"].to_numpy(), part["y"].to_numpy())]})
-
-    return top_k(long.groupBy("ordinal").applyInPandas(estimate, "feature string, ordinal int, score double"), k)
+    return top_k(information.scores(df, columns, y, index), k)
 
 
 def rfe(df, columns, y, index, k, step: float = 0.1, **_):
