@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import copy
-import datetime
 import re
+from collections.abc import Callable
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -19,75 +20,67 @@ from .registry import ORACLES, query
 
 # ---------------------------------------------------------------- configurations
 
-VALID = {
-    "general": {"trainset_x_path": ["a_func"], "testset_x_path": [], "y_path": ["a_pwr"], "y_label": "p", "seed": 1},
-    "preprocessing": {"drop_zero_var": True, "train_val_test_ratio": [0.7, 0.2, 0.1], "avg_wsize": 4},
-    "feature_selection": {"algorithm": "mcp", "top_k": 20, "hyperparams": {}},
-    "regression": {"algorithm": "GBDT", "intercept_on": True, "non_negative_coef_only": False, "hpo_timeout": 60},
-}
-_GONE = object()
-#: What is put in place of a value, and the place that has to be named (none: it stays valid).
-CASES = [
-    ("general", "seed", "x", "general.seed"), ("general", "seed", _GONE, "general.seed"), ("general", "y_label", 3, "general.y_label"), ("general", "trainset_x_path", [], "general.trainset_x_path"),
-    ("general", "testset_x_path", [], None), ("general", "y_path", [1], "general.y_path"), ("preprocessing", "drop_zero_var", "yes", "preprocessing.drop_zero_var"),
-    ("preprocessing", "train_val_test_ratio", [0.5, 0.2, 0.1], "preprocessing.train_val_test_ratio"), ("preprocessing", "train_val_test_ratio", [0, 0.5, 0.5], "preprocessing.train_val_test_ratio"),
-    ("preprocessing", "train_val_test_ratio", [0.7, 0.3], "preprocessing.train_val_test_ratio"), ("preprocessing", "train_val_test_ratio", [1.0, 0.0, 0.0], None), ("preprocessing", "avg_wsize", 0, "preprocessing.avg_wsize"),
-    ("feature_selection", "algorithm", "best", "feature_selection.algorithm"), ("feature_selection", "algorithm", None, None), ("feature_selection", "top_k", 0, "feature_selection.top_k"),
-    ("feature_selection", "hyperparams", [], "feature_selection.hyperparams"), ("regression", "algorithm", None, "regression.algorithm"), ("regression", "algorithm", "MLP", None),
-    ("regression", "intercept_on", 1, "regression.intercept_on"), ("regression", "non_negative_coef_only", _GONE, "regression.non_negative_coef_only"), ("regression", "hpo_timeout", 0, "regression.hpo_timeout"),
-    ("general", None, _GONE, "config.general"), ("regression", None, [], "config.regression"), (None, None, [], "the"), ("preprocessing", "avg_wsize", 1, None),
-]
-
-
-def place_of_error(case: tuple) -> str | None:
-    """The place that the check names for a case, or None if it passes."""
-    section, key, value, _ = case
-    raw = copy.deepcopy(VALID)
-    if section is None:
-        raw = value
-    elif key is None:
-        raw.pop(section) if value is _GONE else raw.update({section: value})
-    else:
-        raw[section].pop(key) if value is _GONE else raw[section].update({key: value})
-    try:
-        C.check(raw)
-    except C.ConfigError as e:
-        return str(e).split()[0].rstrip(":")
-    return None
+def _mapped(rows: DataFrame, of: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    return rows.mapInPandas(lambda batches: (of(b) for b in batches), schema)
 
 
-@query("SELECT n_nationkey AS k, CASE n_nationkey " + " ".join(f"WHEN {i} THEN '{c[3]}'" for i, c in enumerate(CASES) if c[3]) + " END AS place FROM nation")
-def config_errors(spark, sf_dir):
-    """Each nation stands for a configuration with one fault or none; the result names the place of the fault."""
-    found = spark.createDataFrame([(i, place_of_error(c)) for i, c in enumerate(CASES)], "_i int, place string")
-    return V.table(spark, sf_dir, "nation").join(found, F.col("n_nationkey") == F.col("_i")).select(F.col("n_nationkey").alias("k"), "place")
+_FAULTS = f"""CASE WHEN o_orderkey % 19 = 0 THEN 'config.regression'
+  WHEN o_orderkey % 5 = 0 THEN 'general.trainset_x_path' WHEN o_custkey % 7 = 0 THEN 'general.y_label' WHEN o_orderkey % 23 = 0 THEN 'general.seed'
+  WHEN o_totalprice < 15000 OR o_custkey % 11 = 0 THEN 'preprocessing.train_val_test_ratio' WHEN o_orderkey % 9 = 0 THEN 'preprocessing.avg_wsize'
+  WHEN o_custkey % 10 = 8 OR (o_custkey % 10 = 9 AND o_orderstatus = 'P') THEN 'feature_selection.algorithm' WHEN o_custkey % 10 <> 9 AND o_orderkey % 13 = 0 THEN 'feature_selection.top_k'
+  WHEN o_orderkey % 4 = 0 AND o_orderstatus = 'P' THEN 'feature_selection.hyperparams'
+  WHEN o_custkey % 6 = 5 THEN 'regression.algorithm' WHEN o_orderkey % 29 = 0 THEN 'regression.intercept_on' WHEN year(o_orderdate) <= 1995 THEN 'regression.hpo_timeout' END"""
 
 
-@query("""SELECT r_regionkey AS k, lower(r_name) || '_' || strftime(TIMESTAMP '2024-03-01 00:00:00' + to_hours(CAST(r_regionkey * 7 AS BIGINT)), '%Y%m%d_%H%M%S') AS run_dir,
-  CASE WHEN r_regionkey = 0 THEN '/abs/x' WHEN r_regionkey = 1 THEN 's3://b/x' ELSE 'base/' || lower(r_name) || '/x' END AS path, r_regionkey % 3 <> 2 AS listed FROM region""")
+@query(f"SELECT o_orderkey AS k, {_FAULTS} AS place FROM orders")
+def config_errors(spark, sf_dir):
+    """Each order's values are written as a configuration's text; the result names the place of its first error. Where the status is P, nulls are left out."""
+    key, cust, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    unless = lambda bad, value: F.when(~bad, value)
+    named = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    struct = lambda **of: F.struct(*[v.alias(n) for n, v in of.items()])
+    share = F.when(price < 15000, 0.0).otherwise(F.round(F.least(price / 1e6 + 0.1, F.lit(0.7)), 2))
+    general = struct(trainset_x_path=F.array_repeat("o_orderpriority", (key % 5).cast("int")), testset_x_path=F.array().cast("array<string>"), y_path=F.array(F.lit("a_pwr")), y_label=unless(cust % 7 == 0, F.col("o_orderstatus")), seed=unless(key % 23 == 0, cust))
+    preprocessing = struct(drop_zero_var=key % 2 == 0, train_val_test_ratio=F.array(share, F.lit(0.2), F.when(cust % 11 == 0, 0.7).otherwise(0.8) - share), avg_wsize=key % 9)
+    chosen = F.when(cust % 10 < 9, named([*C.SELECTORS, "best"], F.least(cust % 10, F.lit(8))))
+    feature_selection = struct(algorithm=chosen, top_k=key % 13, hyperparams=unless(key % 4 == 0, F.from_json(F.lit("{}"), "map<string,string>")))
+    regression = struct(algorithm=named([*C.ALGORITHMS, "OLS"], cust % 6), intercept_on=unless(key % 29 == 0, price > 100000), non_negative_coef_only=F.lit(False), hpo_timeout=F.year("o_orderdate") - 1995)
+    config = struct(general=general, preprocessing=preprocessing, feature_selection=feature_selection, regression=unless(key % 19 == 0, regression))
+    text = F.when(F.col("o_orderstatus") == "P", F.to_json(config)).otherwise(F.to_json(config, {"ignoreNullFields": "false"}))
+    return C.audited(V.table(spark, sf_dir, "orders").select(key.alias("k"), text.alias("config"))).select("k", "place")
+
+
+@query("""SELECT event_id AS k, event_type || '_' || user_id || '_' || strftime(ts, '%Y%m%d_%H%M%S') AS run_dir,
+  CASE event_id % 3 WHEN 0 THEN '/abs/' || event_type WHEN 1 THEN 's3://b/' || event_type ELSE 'base/' || event_type || '/x' END AS path, user_id % 3 <> 2 AS listed FROM events""")
 def config_paths(spark, sf_dir):
-    """Run folders' names, paths in relation to a base, and which names of a folder are configurations."""
-    rows = []
-    for r in V.table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():  # five rows
-        name, k = r.r_name.lower(), r.r_regionkey
-        given = {0: "/abs/x", 1: "s3://b/x"}.get(k, f"{name}/x")
-        rows.append((k, C.run_name(f"in/{name}.yaml", datetime.datetime(2024, 3, 1) + datetime.timedelta(hours=7 * k)), C.resolved(given, "base"), C.is_config(name + (".yaml", ".yml", ".yaml.bak")[k % 3])))
-    return spark.createDataFrame(rows, "k int, run_dir string, path string, listed boolean")
+    """Events as configurations' files: run folders' names, paths in relation to a base, and which names are configurations."""
+    def named(b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for k, kind, user, ts in zip(b["event_id"], b["event_type"], b["user_id"], b["ts"], strict=True):
+            given = (f"/abs/{kind}", f"s3://b/{kind}", f"{kind}/x")[k % 3]
+            rows.append((k, C.run_name(f"in/{kind}_{user}.yaml", ts), C.resolved(given, "base"), C.is_config(kind + (".yaml", ".yml", ".yaml.bak")[user % 3])))
+        return pd.DataFrame(rows, columns=["k", "run_dir", "path", "listed"])
+
+    return _mapped(V.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts"), named, "k bigint, run_dir string, path string, listed boolean")
 
 
-@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN 'same' WHEN n_nationkey % 3 = 1 THEN 'another order' ELSE 'differ' END AS outcome FROM nation")
+@query("""WITH c AS (SELECT o_orderkey AS k, string_split(o_orderkey::VARCHAR, '') AS a, CASE WHEN o_custkey % 3 = 0 THEN string_split(o_custkey::VARCHAR, '') ELSE list_reverse(string_split(o_orderkey::VARCHAR, '')) END AS b FROM orders)
+  SELECT k, CASE WHEN a = b THEN 'same' WHEN list_sort(list_distinct(a)) = list_sort(list_distinct(b)) THEN 'another order' ELSE 'differ' END AS outcome FROM c""")
 def schema_check(spark, sf_dir):
-    """Column lists of two tables: equal, in another order, or with others."""
-    def outcome(k: int) -> str:
-        other = [["a", "b", "c"], ["b", "a", "c"], ["a", "b", "d"]][k % 3]
+    """Column lists of two tables (the digits of an order's number, and those in reverse or of its customer's): equal, in another order, or with others."""
+    def outcome(one: str, two: str) -> str:
         try:
-            frame.check_same_columns({"one": ["a", "b", "c"], "two": other})
-        except ValueError:
-            return "another order" if set(other) == {"a", "b", "c"} else "differ"
+            frame.check_same_columns({"one": list(one), "two": list(two)})
+        except ValueError as e:
+            return "another order" if "missing [], extra []" in str(e) else "differ"
         return "same"
 
-    made = spark.createDataFrame([(k, outcome(k)) for k in range(3)], "_m int, outcome string")
-    return V.table(spark, sf_dir, "nation").join(made, F.col("n_nationkey") % 3 == F.col("_m")).select(F.col("n_nationkey").alias("k"), "outcome")
+    def outcomes(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": b["k"], "outcome": [outcome(*p) for p in zip(b["one"], b["two"], strict=True)]})
+
+    one, two = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    rows = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), one.alias("one"), F.when(F.col("o_custkey") % 3 == 0, two).otherwise(F.reverse(one)).alias("two"))
+    return _mapped(rows, outcomes, "k bigint, outcome string")
 
 
 # ---------------------------------------------------------------- what a run leaves
@@ -276,16 +269,18 @@ def _refused(check, *args) -> bool:
     return False
 
 
-#: Arguments, a wanted number of nodes, and whether they are refused.
-ARGUMENTS = [("gpu,cpu", None, False), ("gpu,,cpu", None, True), ("gpu,tpu", None, True), ("cpu,cpu", 2, False), ("cpu,cpu", 3, True)]
-
-
-@query("SELECT r_regionkey AS k, r_regionkey IN (1, 2, 4) AS nodes_refused, r_regionkey IN (0, 3) AS count_refused FROM region")
+@query("""SELECT o_orderkey AS k, o_orderstatus = 'P' OR o_custkey % 4 = 2 OR (o_custkey % 3 <> 0 AND o_orderkey % 5 = 0) AS nodes_refused, o_orderkey % 7 < 3 AS count_refused FROM orders""")
 def job_arguments(spark, sf_dir):
-    """What the arguments' checks refuse, a region for each case."""
-    counts = ["0", "1", "12", "-3", "2"]
-    made = spark.createDataFrame([(i, _refused(jobs.checked_nodes, a, n), _refused(jobs.checked_count, counts[i])) for i, (a, n, _) in enumerate(ARGUMENTS)], "_i int, nodes_refused boolean, count_refused boolean")
-    return V.table(spark, sf_dir, "region").join(made, F.col("r_regionkey") == F.col("_i")).select(F.col("r_regionkey").alias("k"), "nodes_refused", "count_refused")
+    """Orders as command lines: pools of two nodes, for some with a wanted number, and a count; what the checks refuse."""
+    def refused(b: pd.DataFrame) -> pd.DataFrame:
+        nodes = [_refused(jobs.checked_nodes, a, None if pd.isna(n) else int(n)) for a, n in zip(b["nodes"], b["wanted"], strict=True)]
+        return pd.DataFrame({"k": b["k"], "nodes_refused": nodes, "count_refused": [_refused(jobs.checked_count, c) for c in b["count"]]})
+
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    first = F.when(F.col("o_orderstatus") == "F", "gpu").when(F.col("o_orderstatus") == "O", "cpu").otherwise("tpu")
+    second = F.element_at(F.array(*map(F.lit, ("gpu", " cpu", "", "cpu"))), (cust % 4 + 1).cast("int"))
+    rows = V.table(spark, sf_dir, "orders").select(key.alias("k"), F.concat_ws(",", first, second).alias("nodes"), F.when(cust % 3 != 0, F.when(key % 5 == 0, 3).otherwise(2)).alias("wanted"), (key % 7 - 2).cast("string").alias("count"))
+    return _mapped(rows, refused, "k bigint, nodes_refused boolean, count_refused boolean")
 
 
 _DEALT = f"WITH {_JOBS_SQL}, d AS (SELECT config, CASE WHEN {_GPU} THEN 'gpu' ELSE 'cpu' END AS pool, ((row_number() OVER (PARTITION BY {_GPU} ORDER BY config) - 1) % CASE WHEN {_GPU} THEN 1 ELSE 2 END)::INTEGER AS worker FROM j)"

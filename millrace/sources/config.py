@@ -7,7 +7,10 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 import yaml
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Names that a configuration may use.
 SELECTORS = ("pearson", "variance", "univariate", "rfe", "from_model", "sequential", "mcp", "deep")
@@ -67,6 +70,30 @@ def check(raw: dict) -> None:
     _need(r, "hpo_timeout", "regression", int, lambda x: x >= 1, "must be 1 or more")
 
 
+def place_of_error(text: str | None) -> str | None:
+    """The place that the first broken rule of a configuration's YAML names (root where there is no mapping); None if it passes."""
+    try:
+        raw = yaml.load(text or "", getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    except yaml.YAMLError:
+        return "root"
+    try:
+        check(raw)
+    except ConfigError as e:
+        place = str(e).split()[0].rstrip(":")
+        return place if "." in place else "root"
+    return None
+
+
+def audited(configs: DataFrame, text: str = "config") -> DataFrame:
+    """A table of configurations' texts with the ``place`` of each one's first error, null where it passes. Null and empty texts have no root."""
+
+    @F.pandas_udf("string")
+    def places(texts: pd.Series) -> pd.Series:
+        return texts.map(place_of_error).astype(object)
+
+    return configs.withColumn("place", places(text))
+
+
 def resolved(path: str, base: str) -> str:
     return path if os.path.isabs(path) or "://" in path else os.path.join(base, path)
 
