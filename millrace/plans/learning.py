@@ -18,17 +18,70 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.with_row_index(rows.withColumn("one", F.lit(0)), "one", ["vec_id"], "split_row_idx")
 
 
-def _selected(method: str, **hp):
+def _selected(method: str, rounded: bool, **hp):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return select.select(_vectors(spark, sf_dir), V.V_FEATURES, method, 5, hyperparams={method: hp})
+        found = select.select(_vectors(spark, sf_dir), V.V_FEATURES, method, 5, hyperparams={method: hp})
+        return found.withColumn("score", F.round("score", 6)) if rounded else found
 
     return run
 
 
-for _name, _method, _hp in (("fs_rfe", "rfe", {}), ("fs_lasso", "from_model", {}), ("fs_forest", "from_model", {"estimator": "rf"}), ("fs_sequential", "sequential", {}), ("fs_mcp", "mcp", {}), ("fs_deep", "deep", {}), ("fs_mutual_info", "univariate", {"score_func": "mutual_info"})):
-    _run = _selected(_method, **_hp)
+_COLUMNS = ", ".join(V.V_FEATURES)
+#: Information by all pairs of rows, without the noise that tells equal values apart.
+_INFORMATION = f"""WITH {V.V_SQL}, u AS (SELECT vec_id, y, feature, v FROM (UNPIVOT vv ON {_COLUMNS} INTO NAME feature VALUE v)),
+  z AS (SELECT vec_id, feature, v / stddev_pop(v) OVER (PARTITION BY feature) AS x, y / stddev_pop(y) OVER (PARTITION BY feature) AS y FROM u),
+  d AS (SELECT a.feature, a.vec_id, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] AS d FROM z a JOIN z b ON a.feature = b.feature AND a.vec_id <> b.vec_id GROUP BY ALL),
+  c AS (SELECT a.feature, a.vec_id, count(*) FILTER (abs(a.x - b.x) < d) AS nx, count(*) FILTER (abs(a.y - b.y) < d) AS ny
+        FROM z a JOIN d ON a.feature = d.feature AND a.vec_id = d.vec_id JOIN z b ON a.feature = b.feature GROUP BY ALL),
+  n AS (SELECT count(*) AS n FROM vv), h AS (SELECT i AS m, sum(CASE WHEN i > 1 THEN 1 / (i - 1) ELSE 0 END) OVER (ORDER BY i) - 0.5772156649015329 AS psi FROM (SELECT unnest(range(1, n + 1)) AS i FROM n)),
+  s AS (SELECT feature, greatest(0, any_value(hn.psi) + any_value(hk.psi) - avg(hx.psi + hy.psi)) AS score
+        FROM c JOIN h hx ON nx = hx.m JOIN h hy ON ny = hy.m, n JOIN h hn ON n = hn.m, h hk WHERE hk.m = 3 GROUP BY feature)
+  SELECT row_number() OVER (ORDER BY score DESC, CAST(feature[2:] AS INTEGER))::INTEGER AS rank, feature, round(score, 6) AS score FROM s QUALIFY rank <= 5"""
+
+#: Ridge by sweeping: a column swept once is in the model, swept again it is out; the target's column then has the coefficients.
+_ELIMINATION = f"""WITH RECURSIVE {V.V_SQL}, u AS (SELECT vec_id, feature, v FROM (UNPIVOT vv ON {_COLUMNS}, y INTO NAME feature VALUE v)),
+  z AS (SELECT vec_id, CASE WHEN feature = 'y' THEN 0 ELSE CAST(feature[2:] AS INTEGER) END AS c,
+               (v - avg(v) OVER w) / CASE WHEN feature = 'y' THEN 1 ELSE stddev_pop(v) OVER w END AS v FROM u WINDOW w AS (PARTITION BY feature)),
+  g AS MATERIALIZED (SELECT a.c AS i, b.c AS j, sum(a.v * b.v) + CASE WHEN a.c = b.c AND a.c > 0 THEN 1 ELSE 0 END AS v FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY a.c, b.c),
+  r AS (SELECT 0 AS step, range(1, 65)::INTEGER[] AS todo, range(1, 65)::INTEGER[] AS kept, i, j, v FROM g
+        UNION ALL
+        SELECT step, todo, kept, i, j, v FROM (
+          WITH now AS (SELECT any_value(step) AS step, any_value(todo) AS todo, any_value(kept) AS kept FROM r),
+          worst AS (SELECT list(i ORDER BY v * v, i) AS c FROM r, now WHERE j = 0 AND list_contains(now.kept, i)),
+          next AS (SELECT step + 1 AS step, kept, CASE WHEN len(todo) > 0 THEN todo ELSE c[1 : least(6, len(kept) - 5)] END AS todo FROM now, worst WHERE len(todo) > 0 OR len(kept) > 5),
+          k AS (SELECT step, todo[1] AS k, todo[2:] AS todo, CASE WHEN step > 64 THEN list_filter(kept, lambda c: c <> todo[1]) ELSE kept END AS kept FROM next)
+          SELECT k.step, k.todo, k.kept, r.i, r.j, CASE WHEN r.i = k AND r.j = k THEN 1 / d.v WHEN r.i = k THEN r.v / d.v WHEN r.j = k THEN -r.v / d.v ELSE r.v - col.v * row.v / d.v END AS v
+          FROM r, k, r d, r col, r row WHERE d.i = k AND d.j = k AND col.i = r.i AND col.j = k AND row.i = k AND row.j = r.j))
+  SELECT row_number() OVER (ORDER BY abs(v) DESC)::INTEGER AS rank, 'e' || i AS feature, round(abs(v), 6) AS score FROM r WHERE step = (SELECT max(step) FROM r) AND j = 0 AND list_contains(kept, i)"""
+
+#: Forward search: matrices of the rows outside each of three folds, and of all rows (3), are swept by each chosen column; p has the fold's own rows.
+_FORWARD = f"""WITH RECURSIVE {V.V_SQL}, n AS (SELECT count(*) AS n FROM vv), o AS (SELECT vv.*, row_number() OVER (ORDER BY vec_id) - 1 AS place, n FROM vv, n),
+  q AS (SELECT *, CASE WHEN place < (n % 3) * (n // 3 + 1) THEN place // (n // 3 + 1) ELSE (place - n % 3) // (n // 3) END AS fold FROM o),
+  u AS (SELECT fold, vec_id, feature, v FROM (UNPIVOT q ON {_COLUMNS}, y INTO NAME feature VALUE v)),
+  z AS (SELECT fold, vec_id, CASE WHEN feature = 'y' THEN 0 ELSE CAST(feature[2:] AS INTEGER) END AS c, CASE WHEN feature = 'y' THEN v ELSE (v - avg(v) OVER w) / stddev_pop(v) OVER w END AS v FROM u WINDOW w AS (PARTITION BY feature)),
+  t AS (SELECT f, z.* FROM z, (SELECT unnest(range(4)) AS f)), m AS (SELECT f, c, avg(v) AS m FROM t WHERE fold <> f GROUP BY f, c),
+  e AS MATERIALIZED (SELECT t.f, fold, vec_id, t.c, v - m AS v FROM t JOIN m ON t.f = m.f AND t.c = m.c),
+  g AS MATERIALIZED (SELECT a.f, a.c AS i, b.c AS j, sum(a.v * b.v) FILTER (a.fold <> a.f) + CASE WHEN a.c = b.c AND a.c > 0 THEN 1 ELSE 0 END AS v, coalesce(sum(a.v * b.v) FILTER (a.fold = a.f), 0) AS p
+                     FROM e a JOIN e b ON a.f = b.f AND a.vec_id = b.vec_id GROUP BY a.f, a.c, b.c),
+  y AS MATERIALIZED (SELECT fold AS f, var_pop(v) * count(*) AS total FROM z WHERE c = 0 GROUP BY fold),
+  r AS (SELECT 0 AS step, []::INTEGER[] AS chosen, f, i, j, v FROM g
+        UNION ALL
+        SELECT step, chosen, f, i, j, v FROM (
+          WITH now AS (SELECT any_value(step) AS step, any_value(chosen) AS chosen FROM r HAVING count(*) > 0),
+          c AS (SELECT a.f, a.i AS k, a.v / d.v AS t FROM r a JOIN r d ON d.f = a.f AND d.i = a.i AND d.j = a.i, now WHERE a.j = 0 AND a.i > 0 AND a.f < 3 AND NOT list_contains(now.chosen, a.i)),
+          w AS (SELECT f, k, k AS c, t AS w FROM c UNION ALL SELECT f, k, 0, -1 FROM c
+                UNION ALL SELECT c.f, k, s.i, s.v - x.v * t FROM c JOIN r s ON s.f = c.f AND s.j = 0 JOIN r x ON x.f = c.f AND x.i = s.i AND x.j = k, now WHERE list_contains(now.chosen, s.i)),
+          lost AS (SELECT a.f, a.k, sum(a.w * b.w * g.p) AS lost FROM w a JOIN w b ON a.f = b.f AND a.k = b.k JOIN g ON g.f = a.f AND g.i = a.c AND g.j = b.c GROUP BY a.f, a.k),
+          best AS (SELECT k FROM lost JOIN y ON lost.f = y.f GROUP BY k ORDER BY sum(1 - lost / total) DESC, k LIMIT 1),
+          k AS (SELECT now.step + 1 AS step, list_append(now.chosen, best.k) AS chosen, best.k AS k FROM now, best WHERE now.step < 5)
+          SELECT k.step, k.chosen, r.f, r.i, r.j, CASE WHEN r.i = k AND r.j = k THEN 1 / d.v WHEN r.i = k THEN r.v / d.v WHEN r.j = k THEN -r.v / d.v ELSE r.v - col.v * row.v / d.v END AS v
+          FROM r, k, r d, r col, r row WHERE d.f = r.f AND d.i = k AND d.j = k AND col.f = r.f AND col.i = r.i AND col.j = k AND row.f = r.f AND row.i = k AND row.j = r.j))
+  SELECT row_number() OVER (ORDER BY abs(v) DESC)::INTEGER AS rank, 'e' || i AS feature, round(abs(v), 6) AS score FROM r WHERE step = 5 AND f = 3 AND j = 0 AND list_contains(chosen, i)"""
+
+for _name, _method, _hp, _sql in (("fs_rfe", "rfe", {}, _ELIMINATION), ("fs_lasso", "from_model", {}, None), ("fs_forest", "from_model", {"estimator": "rf"}, None), ("fs_sequential", "sequential", {}, _FORWARD), ("fs_mcp", "mcp", {}, None), ("fs_deep", "deep", {}, None), ("fs_mutual_info", "univariate", {"score_func": "mutual_info"}, _INFORMATION)):
+    _run = _selected(_method, rounded=_sql is not None, **_hp)
     _run.__name__ = _name
-    query()(_run)
+    query(*([_sql] if _sql else []))(_run)
 
 
 def _modelled(algorithm: str, **hp):
