@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import vector
 from . import boosting, frame, rules, solvers, trees
+from .networks import Network, trained
 from .stats import Gram, fold_grams, fold_of
 
 REGISTRY: dict[str, type[Regressor]] = {}
-#: Numbers that a network's training data may have; it is trained in one task.
-NETWORK_VALUES = 50_000_000
 #: Training rows that interactions of boosted trees are averaged over; the feature is such a sample.
 INTERACTION_ROWS = 500
 
@@ -189,7 +187,7 @@ class RuleFit(Regressor):
         return rules.cooccurrence(self.table(df), self.columns)
 
 
-class Layers:
+class Layers(Network):
     """Two hidden layers of ReLU with dropout, AdamW, a cosine schedule, early stopping and the best weights kept."""
 
     def __init__(self, p: int, h1: int, h2: int, dropout: float, lr: float, wd: float, seed: int) -> None:
@@ -202,7 +200,7 @@ class Layers:
         kept, h = [x], x
         for i in (0, 2):
             h = np.maximum(0, h @ self.w[i] + self.w[i + 1])
-            mask = (self.rng.random(h.shape) >= self.dropout) / (1 - self.dropout) if train and self.dropout else 1.0
+            mask = ((self.rng.random(h.shape) >= self.dropout) / (1 - self.dropout)).astype(h.dtype) if train and self.dropout else 1.0
             kept.append((h, mask))
             h = h * mask
         return (h @ self.w[4] + self.w[5])[:, 0], kept
@@ -214,54 +212,8 @@ class Layers:
         d1 = (d2 @ self.w[2].T) * m1 * (h1 > 0)
         return [x0.T @ d1, d1.sum(0), (h1 * m1).T @ d2, d2.sum(0), (h2 * m2).T @ g, g.sum(0)], float(((out - y) ** 2).mean())
 
-    def train(self, x, y, xv, yv, epochs: int = 300, batch: int = 256, patience: int = 40) -> list[tuple[int, float, float]]:
-        m, v, t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
-        best, since, kept, history = np.inf, 0, None, []
-        for epoch in range(epochs):
-            lr, order, losses = self.lr * (1 + np.cos(np.pi * epoch / epochs)) / 2, self.rng.permutation(len(x)), []
-            for at in range(0, len(x), batch):
-                grads, loss = self.gradients(x[order[at : at + batch]], y[order[at : at + batch]])
-                losses.append(loss)
-                t += 1
-                for i, g in enumerate(grads):
-                    m[i] = 0.9 * m[i] + 0.1 * g
-                    v[i] = 0.999 * v[i] + 0.001 * g * g
-                    self.w[i] = self.w[i] * (1 - lr * self.wd) - lr * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-            loss = float(((self.forward(xv)[0] - yv) ** 2).mean()) if len(xv) else float("nan")
-            history.append((epoch + 1, float(np.mean(losses)), loss))
-            if len(xv):
-                since += 1
-                if loss < best - 1e-7:
-                    best, since, kept = loss, 0, [w.copy() for w in self.w]
-                elif since >= patience:
-                    break
-        self.w = kept or self.w
-        return history
-
-
-def trained(train: DataFrame, val: DataFrame, columns: Sequence[str], work: Callable) -> object:
-    """What work(x, y, xv, yv) returns, run in one task on rows in order; only its result comes to the driver. The rows' number is checked."""
-    rows = train.select(F.lit(0).alias("part"), "split_row_idx", *columns, "y").unionByName(val.select(F.lit(1).alias("part"), "split_row_idx", *columns, "y"))
-    n = rows.count()
-    if n * (len(columns) + 1) > NETWORK_VALUES:
-        raise ValueError(f"{n} rows of {len(columns)} columns are too many for one task; use wider windows")
-    one = rows.select("part", "split_row_idx", vector([*columns, "y"]).alias("z"))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            t = pa.Table.from_batches(parts)
-            part, at = t["part"].to_numpy(), t["split_row_idx"].to_numpy()
-            z = np.concatenate([b.column(2).flatten().to_numpy(zero_copy_only=False) for b in parts]).reshape(len(part), -1)
-            order = np.lexsort((at, part))
-            z, cut = z[order], int((part == 0).sum())
-            made = pickle.dumps(work(z[:cut, :-1], z[:cut, -1], z[cut:, :-1], z[cut:, -1]))
-            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
-
-    made = one.repartition(1).mapInArrow(task, "made binary").collect()
-    if not made:
-        raise ValueError("a network needs training rows")
-    return pickle.loads(made[0][0])
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.forward(x)[0]
 
 
 @register("MLP")
@@ -274,11 +226,10 @@ class Perceptron(Regressor):
         self.columns = list(columns)
         seed, p = self.seed, len(columns)
 
-        def work(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray) -> tuple:
-            net = Layers(p, hp.get("hidden1", 64), hp.get("hidden2", 32), hp.get("dropout", 0.1), hp.get("lr", 3e-3), hp.get("weight_decay", 1e-5), seed)
-            return net, net.train(x, y, xv, yv, hp.get("epochs", 300))
+        def make() -> Layers:
+            return Layers(p, hp.get("hidden1", 64), hp.get("hidden2", 32), hp.get("dropout", 0.1), hp.get("lr", 3e-3), hp.get("weight_decay", 1e-5), seed)
 
-        self.net, self.history = trained(train, val, columns, work)
+        self.net, self.history = trained(train, val, columns, make, seed, hp.get("epochs", 300))
         return self
 
     def predict(self, df):

@@ -2,19 +2,22 @@
 
 A feature is a token x_j W_j + b_j, behind a class token. Blocks add attention and a feed-forward layer to their input,
 each behind a layer norm (but for the first block's attention); the class token goes through a norm, ReLU and a line.
-Training is one task, as for the other networks; prediction runs in batches on the executors.
+Training is that of ``networks``; prediction runs in batches on the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import Regressor, register, trained
+from ..functions.scalar import vector
+from .models import Regressor, register
+from .networks import Network, train_whole, trained
 
 ATTENTION_ROWS = 1024
 
@@ -35,6 +38,10 @@ class Var:
 
     def __matmul__(self, o: Var) -> Var:
         t = lambda v: np.swapaxes(v, -1, -2)
+        if o.value.ndim == 2:  # one product of all rows, not one for each row of the batch
+            flat = lambda v: v.reshape(-1, v.shape[-1])
+            value = (flat(self.value) @ o.value).reshape(*self.value.shape[:-1], -1)
+            return Var(value, [(self, lambda g: (flat(g) @ o.value.T).reshape(self.value.shape)), (o, lambda g: flat(self.value).T @ flat(g))])
         return Var(self.value @ o.value, [(self, lambda g: _fold(g @ t(o.value), self.value.shape)), (o, lambda g: _fold(t(self.value) @ g, o.value.shape))])
 
     def relu(self) -> Var:
@@ -42,14 +49,15 @@ class Var:
 
     def softmax(self) -> Var:
         e = np.exp(self.value - self.value.max(-1, keepdims=True))
-        p = e / e.sum(-1, keepdims=True)
-        return Var(p, [(self, lambda g: p * (g - (g * p).sum(-1, keepdims=True)))])
+        p = e / _last(e)
+        return Var(p, [(self, lambda g: p * (g - _last(g * p)))])
 
     def normed(self) -> Var:
-        centred = self.value - self.value.mean(-1, keepdims=True)
-        s = np.sqrt((centred**2).mean(-1, keepdims=True) + 1e-5)
+        n = self.value.shape[-1]
+        centred = self.value - _last(self.value) / n
+        s = np.sqrt(_last(centred**2) / n + 1e-5)
         z = centred / s
-        return Var(z, [(self, lambda g: (g - g.mean(-1, keepdims=True) - z * (g * z).mean(-1, keepdims=True)) / s)])
+        return Var(z, [(self, lambda g: (g - _last(g) / n - z * (_last(g * z) / n)) / s)])
 
     def reshape(self, *shape: int) -> Var:
         return Var(self.value.reshape(shape), [(self, lambda g: g.reshape(self.value.shape))])
@@ -83,8 +91,17 @@ class Var:
                 p.grad = g if p.grad is None else p.grad + g
 
 
+def _last(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a product."""
+    return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(*a.shape[:-1], 1)
+
+
 def _fold(g: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
     """Sum a gradient over the axes along which its value was repeated."""
+    if g.shape == shape:
+        return g
+    if len(shape) < g.ndim and shape == g.shape[g.ndim - len(shape) :]:  # repeated as a whole
+        return (np.ones(g.size // int(np.prod(shape)), g.dtype) @ g.reshape(-1, int(np.prod(shape)))).reshape(shape)
     g = g.sum(tuple(range(g.ndim - len(shape))))
     return g.sum(tuple(i for i, n in enumerate(shape) if n == 1 and g.shape[i] > 1), keepdims=True).reshape(shape)
 
@@ -96,7 +113,10 @@ def stacked(first: Var, rest: Var) -> Var:
     return Var(value, [(first, lambda g: g[:, 0].sum(0)), (rest, lambda g: g[:, 1:])])
 
 
-class Transformer:
+class Transformer(Network):
+    own_error = True
+    lr, wd, noise = 3e-3, 1e-5, 0.0
+
     def __init__(self, features: int, width: int, blocks: int, heads: int, hidden: int, dropout: float, seed: int) -> None:
         self.rng = np.random.default_rng(seed)
         while width % heads:
@@ -113,13 +133,13 @@ class Transformer:
         """Predictions, the weights on the tape, and each block's attention (rows, heads, tokens, tokens)."""
         p, maps = {k: Var(v) for k, v in self.w.items()}, []
         n, part = len(x), self.width // self.heads
-        drop = lambda v: v * ((self.rng.random(v.value.shape) >= self.dropout) / (1 - self.dropout)) if train and self.dropout else v
+        drop = lambda v: v * ((self.rng.random(v.value.shape) >= self.dropout) / (1 - self.dropout)).astype(v.value.dtype) if train and self.dropout else v
         t = stacked(p["cls"], Var(x[:, :, None]) * p["token"] + p["bias"])
         s = t.value.shape[1]
         for k in range(self.blocks):
             h = t if k == 0 else t.normed() * p[f"g1{k}"] + p[f"s1{k}"]
             qkv = (h @ p[f"in{k}"] + p[f"in_b{k}"]).reshape(n, s, 3, self.heads, part).transpose(2, 0, 3, 1, 4)
-            weights = (qkv[0] @ qkv[1].transpose(0, 1, 3, 2) * (1 / np.sqrt(part))).softmax()
+            weights = (qkv[0] @ qkv[1].transpose(0, 1, 3, 2) * float(1 / np.sqrt(part))).softmax()
             maps.append(weights.value)
             t = t + drop((weights @ qkv[2]).transpose(0, 2, 1, 3).reshape(n, s, self.width) @ p[f"proj{k}"] + p[f"proj_b{k}"])
             h = t.normed() * p[f"g2{k}"] + p[f"s2{k}"]
@@ -134,35 +154,18 @@ class Transformer:
         """Mean attention between features over rows, blocks and heads."""
         return np.mean([m[:, :, 1:, 1:].mean((0, 1)) for m in self.forward(x)[2]], axis=0)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Gradients, of norm one at most together, from rows with noise."""
+        out, p, _ = self.forward(x + (self.noise * self.rng.standard_normal(x.shape)).astype(x.dtype) if self.noise else x, True)
+        error = out.value - y
+        out.backward(2 * error / len(y))
+        size = float(np.sqrt(sum((q.grad**2).sum() for q in p.values() if q.grad is not None)))
+        return {k: (q.grad if q.grad is not None else np.zeros_like(q.value)) * min(1.0, 1.0 / (size + 1e-6)) for k, q in p.items()}, float((error**2).mean())
+
     def train(self, x, y, xv, yv, lr: float, wd: float, noise: float = 0.0, epochs: int = 300, batch: int = 256, patience: int = 40) -> list[tuple[int, float, float]]:
-        """AdamW with a cosine schedule, input noise, gradients of norm one at most, early stopping, the best weights kept."""
-        xv, yv = (xv, yv) if len(xv) else (x, y)
-        m, v, t = {k: np.zeros_like(w) for k, w in self.w.items()}, {k: np.zeros_like(w) for k, w in self.w.items()}, 0
-        best, since, kept, history = np.inf, 0, dict(self.w), []
-        for epoch in range(epochs):
-            rate, order, losses = lr * (1 + np.cos(np.pi * epoch / epochs)) / 2, self.rng.permutation(len(x)), []
-            for at in range(0, len(x), batch):
-                i = order[at : at + batch]
-                out, p, _ = self.forward(x[i] + noise * self.rng.standard_normal(x[i].shape) if noise else x[i], True)
-                error = out.value - y[i]
-                losses.append(float((error**2).mean()))
-                out.backward(2 * error / len(i))
-                size = np.sqrt(sum((q.grad**2).sum() for q in p.values() if q.grad is not None))
-                t += 1
-                for k, q in p.items():
-                    g = (q.grad if q.grad is not None else 0.0) * min(1.0, 1.0 / (size + 1e-6))
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.w[k] = self.w[k] * (1 - rate * wd) - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-            loss = float(((self.predict(xv) - yv) ** 2).mean())
-            history.append((epoch + 1, float(np.mean(losses)), loss))
-            since += 1
-            if loss < best - 1e-7:
-                best, since, kept = loss, 0, dict(self.w)
-            elif since >= patience:
-                break
-        self.w = kept
-        return history
+        """AdamW with a cosine schedule, input noise, early stopping, the best weights kept."""
+        self.lr, self.wd, self.noise = lr, wd, noise
+        return train_whole(self, x, y, xv, yv, epochs, batch, patience)
 
 
 @register("FTTransformer")
@@ -175,12 +178,19 @@ class FeatureTransformer(Regressor):
         self.columns = list(columns)
         seed, p = self.seed, len(columns)
 
-        def work(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray) -> tuple:
+        def make() -> Transformer:
             net = Transformer(p, hp.get("d_token", 16), hp.get("n_blocks", 2), hp.get("n_heads", 4), hp.get("d_ffn", 32), hp.get("dropout", 0.0), seed)
-            history = net.train(x, y, xv, yv, hp.get("lr", 3e-3), hp.get("weight_decay", 1e-5), hp.get("noise", 0.0), hp.get("epochs", 300))
-            return net, history, net.attention(x[:ATTENTION_ROWS])
+            net.lr, net.wd, net.noise = hp.get("lr", 3e-3), hp.get("weight_decay", 1e-5), hp.get("noise", 0.0)
+            return net
+
+        self.net, self.history = net, _ = trained(train, val, columns, make, seed, hp.get("epochs", 300))
+
+        def attention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            z = np.concatenate([b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches])
+            yield pa.RecordBatch.from_arrays([pa.array([net.attention(z.reshape(-1, p)).tobytes()], pa.binary())], ["maps"])
 
-        self.net, self.history, self.maps = trained(train, val, columns, work)
+        first = train.orderBy("split_row_idx").limit(ATTENTION_ROWS).select(vector(columns).alias("z"))
+        self.maps = np.frombuffer(first.coalesce(1).mapInArrow(attention, "maps binary").first()[0]).reshape(p, p)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
