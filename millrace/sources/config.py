@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import json
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -70,10 +72,38 @@ def check(raw: dict) -> None:
     _need(r, "hpo_timeout", "regression", int, lambda x: x >= 1, "must be 1 or more")
 
 
+#: A line of printable ASCII without escapes, short enough for any key of YAML, that may be JSON.
+_PLAIN = re.compile(r"\{[ !-\[\]-~]{0,1000}").fullmatch
+_FLOAT = re.compile(r"-?\d+\.\d+(?:[eE][-+]\d+)?").fullmatch
+
+
+def _number(text: str) -> float:
+    if not _FLOAT(text):  # a string in YAML
+        raise ValueError(text)
+    return float(text)
+
+
+def _other(text: str) -> None:
+    raise ValueError(text)
+
+
+_JSON = json.JSONDecoder(parse_float=_number, parse_constant=_other)
+
+
+def parsed(text: str | None) -> object:
+    """What a text is in YAML. One that is JSON with the same meaning is read as such, at a small part of the cost."""
+    if text and _PLAIN(text):
+        try:
+            return _JSON.decode(text)
+        except (ValueError, RecursionError):
+            pass
+    return yaml.load(text or "", getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+
+
 def place_of_error(text: str | None) -> str | None:
     """The place that the first broken rule of a configuration's YAML names (root where there is no mapping); None if it passes."""
     try:
-        raw = yaml.load(text or "", getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+        raw = parsed(text)
     except yaml.YAMLError:
         return "root"
     try:
