@@ -31,8 +31,9 @@ BINS = 256
 PENALTY = 1.0
 LEAST = 1.0
 PENDING = 16
-#: Bytes of a block's bins, about.
-BLOCK_BYTES = 4 << 20
+#: Bytes of a block's bins, about, and of the bins of all blocks that a task reads.
+BLOCK_BYTES = 128 << 10
+TASK_BYTES = 512 << 10
 #: Features whose sums one task adds up, about.
 GROUP = 16
 
@@ -281,10 +282,11 @@ def boost(train: DataFrame, val: DataFrame, columns: Sequence[str], n_trees: int
     if not row["n"]:
         raise ValueError("boosting needs training rows")
     base, edges = float(row["base"]), edges_of(train, columns)
-    folder, least = new_folder(spark, "boosting"), max(1, -(-row["n"] * p // BLOCK_BYTES))
+    folder, least = new_folder(spark, "boosting"), max(1, -(-row["n"] * p // TASK_BYTES))
 
     def kept(df: DataFrame, version: int) -> DataFrame:
-        df.write.parquet(f"{folder}/{version}")
+        # Rows may all lie in one partition, so the first blocks are dealt; later ones stay as they are.
+        (df if version else df.repartition(least)).write.parquet(f"{folder}/{version}")
         read = spark.read.parquet(f"{folder}/{version}")
         return read.coalesce(least).persist()  # few tasks where there is little to do
 

@@ -60,6 +60,7 @@ def stage(name: str, rows: DataFrame, columns: Sequence[str]) -> dict:
 
 def fit_windows(rows: DataFrame, columns: Sequence[str], settings: Settings, counts: list[dict] | None = None) -> Result:
     """From windows (split, bin, columns, y) to a fitted model and its report."""
+    rows = checkpointed(rows)  # windows are read by every step from here on; what made them isn't run again
     frame.check_finite(rows, [*columns, "y"])
     z, scaler = scaled(rows, columns)
     z = checkpointed(z.withColumnRenamed("bin", "split_row_idx"))
