@@ -205,6 +205,45 @@ def test_toxicity_gradients_lower_the_loss():
     assert loss(after) < 0.7 * loss(before)
 
 
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """Rows in shards: every labelled row is counted and calibrated on, once; the model is as good, and the same again."""
+    monkeypatch.setattr(toxicity, "SHARD", 200)
+    seen = {}
+    calibrate, counts_of = toxicity.calibrate_dealt, toxicity.counts_of
+    monkeypatch.setattr(toxicity, "calibrate_dealt", lambda blocks, model, n, shares: (seen.update(held=n.tolist(), shares=list(shares)), calibrate(blocks, model, n, shares)))
+    monkeypatch.setattr(toxicity, "counts_of", lambda blocks, names: seen.setdefault("counts", counts_of(seen.setdefault("learned", blocks), names)))
+    rows = toxic_rows(1500, 8)
+    docs = spark.createDataFrame([r[:3] for r in rows] + [rows[1][:3]], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(5000, 1), (None, 0), (7000, 2)], "doc_id bigint, toxic int")
+    held_out = bucket(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, labels, held_out)
+    mine = {r.doc_id for r in docs.where(~held_out).collect()}
+    learned = [np.array([r[f"n{v}"] for r in seen["learned"].collect()]).sum() for v in (0, 1)]
+    assert [a + b for a, b in zip(learned, seen["held"], strict=True)] == [sum(r[0] in mine and r[3] == v for r in rows) for v in (0, 1)]
+    assert 0.1 * len(mine) < sum(seen["held"]) < 0.3 * len(mine)
+    # Counts of buckets and of languages' words, against plain ones of the same rows.
+    mine_rows = [(docs_, table, y, langs) for _, docs_, table, y, langs in toxicity.unpacked(iter(seen["learned"].toArrow().to_batches()))]
+    plain = np.zeros_like(seen["counts"])
+    for docs_, table, y, langs in mine_rows:
+        for d, label, lang in zip(docs_, y, langs, strict=True):
+            plain[int(label), list(set(table[d].ravel()))] += 1
+            np.add.at(plain[2 + model.tongues.names.index(lang)], table[d, 0], 1)
+    assert np.array_equal(seen["counts"], plain)
+    scored = toxicity.score(docs.drop("lang"), model).join(labels, "doc_id").where(held_out).collect()
+    right = [(r.score >= 0.5) == (r.toxic == 1) for r in scored]
+    assert len(right) > 200 and np.mean(right) > 0.97
+    texts = [r[1] for r in rows[:40]]
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3), held_out)
+    assert np.allclose(model.scores(texts), again.scores(texts), atol=1e-3)
+
+
+def test_toxicity_finds_labelled_ids(spark):
+    """The bit map of ids loses none and spares the join most of the others; ids of another type are found, too."""
+    docs = spark.range(40000).selectExpr("id as _of", "'x' as text")
+    kept = {r._of for r in toxicity.likely(docs, spark.range(0, 40000, 10).selectExpr("cast(id as int) as _id"), 4000).collect()}
+    assert kept >= set(range(0, 40000, 10)) and len(kept) < 12000
+
+
 def test_toxicity_thresholds_by_language(spark):
     """A language's threshold maps to one half, and languages come from the text."""
     rows = toxic_rows(400, 7)
