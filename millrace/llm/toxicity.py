@@ -28,7 +28,9 @@ from __future__ import annotations
 
 import copy
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
+from itertools import count, repeat
 from zlib import crc32
 
 import numpy as np
@@ -78,9 +80,15 @@ def words_of(text: str | None) -> list[str]:
 def buckets_of(word: str) -> list[int]:
     """PIECES buckets: of the word, its first 3 to 5 and last 3 and 4 UTF-8 bytes; 0 stands for none (a word too short for one)."""
     b = word.encode("utf-8", "replace")
-    n = len(b)
-    parts = ((b, 1), (b[:3] if n >= 3 else b"", 2), (b[:4] if n >= 4 else b"", 3), (b[:5] if n >= 5 else b"", 4), (b[-3:] if n > 3 else b"", 5), (b[-4:] if n > 4 else b"", 6))
-    return [1 + crc32(p, kind) % (BUCKETS - 1) if p else 0 for p, kind in parts]
+    n, m = len(b), BUCKETS - 1
+    if n > 4:
+        return [1 + crc32(b, 1) % m, 1 + crc32(b[:3], 2) % m, 1 + crc32(b[:4], 3) % m, 1 + crc32(b[:5], 4) % m, 1 + crc32(b[-3:], 5) % m, 1 + crc32(b[-4:], 6) % m]
+    parts = ((b, 1), (b[:3] if n >= 3 else b"", 2), (b[:4] if n >= 4 else b"", 3), (b"", 4), (b[-3:] if n > 3 else b"", 5), (b"", 6))
+    return [1 + crc32(p, kind) % m if p else 0 for p, kind in parts]
+
+
+def numbered(words: list[str], number: defaultdict[str, int]) -> np.ndarray:
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
 
 def log_odds(docs: Sequence[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -118,7 +126,7 @@ class Conv:
     def responses(self, buckets: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(word vectors, each word's response to each filter's places) for words given by their buckets."""
         e = self.E[buckets]
-        x = e.sum(1) if mask is None else (e * mask[..., None]).sum(1)
+        x = e.sum(1) if mask is None else np.einsum("npd,np->nd", e, mask)
         return x, x @ self.f
 
     def greatest(self, r: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -248,8 +256,8 @@ class Model:
         self.constant = None if len(np.unique(y)) > 1 else (float(y.mean()) if len(y) else 0.5)
         if self.constant is not None:
             return
-        number: dict[str, int] = {}
-        docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
+        number = defaultdict(count().__next__)
+        docs = [numbered(words_of(t), number) for t in texts]
         table = np.array([buckets_of(w) for w in number] or [[0] * PIECES], np.int64)
         shares = [s or n for s, n in zip(shares, np.bincount(y.astype(int), minlength=2), strict=True)]
         rng = np.random.default_rng(seed)
@@ -338,18 +346,18 @@ class Rows:
 
     def of(self, words: list[str]) -> np.ndarray:
         number = self.number
-        try:
-            return self.matrix[[number[w] for w in words]]
-        except KeyError:
-            new = list({w for w in words if w not in number})
+        at = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        new = list({words[i] for i in missing})
         if len(number) + len(new) > len(self.matrix):
             number.clear()
-            new = list(set(words))
-        if len(new):
-            at = len(number)
-            self.matrix[at : at + len(new)] = self.model.row(new)
-            number.update(zip(new, range(at, at + len(new)), strict=True))
-        return self.matrix[[number[w] for w in words]]
+            missing, new = np.arange(len(words)), list(set(words))
+        if new:
+            lo = len(number)
+            self.matrix[lo : lo + len(new)] = self.model.row(new)
+            number.update(zip(new, range(lo, lo + len(new)), strict=True))
+            at[missing] = [number[words[i]] for i in missing]
+        return self.matrix[at]
 
 
 def likely(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -396,12 +404,13 @@ _BLOCK_SQL = "shard int, held boolean, n0 bigint, n1 bigint, langs array<string>
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training rows, sorted by h and label, as blocks of word numbers; equal rows are one. A fifth, by h, makes blocks that are held back."""
     shard, seen, last = TaskContext.get().partitionId(), Recent(buckets_of, CACHE, 64), None
-    open_: dict[bool, tuple[dict, list, list, list]] = {held: ({}, [], [], []) for held in (False, True)}
+    empty = lambda: (defaultdict(count().__next__), [], [], [])
+    open_ = {held: empty() for held in (False, True)}
     size = {False: 0, True: 0}
 
     def closed(held: bool) -> pa.RecordBatch:
         number, docs, labels, langs = open_[held]
-        open_[held], size[held] = ({}, [], [], []), 0
+        open_[held], size[held] = empty(), 0
         names, of, n = np.unique([v or "" for v in langs], return_inverse=True, return_counts=True)
         row = [shard, held, labels.count(0), labels.count(1), names.tolist(), n.tolist(), np.array(labels, "u1").tobytes(), of.astype("i4").tobytes(),
                np.array([len(d) for d in docs], "i8").tobytes(), np.concatenate(docs).astype("u4").tobytes(), np.array([seen[w] for w in number] or [[0] * PIECES], "u2").tobytes()]
@@ -413,7 +422,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             last, held = (h, label), h % 5 == 0
             number, docs, labels, langs = open_[held]
-            docs.append(np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64))
+            docs.append(numbered(words_of(text), number))
             labels.append(label)
             langs.append(lang)
             size[held] += len(docs[-1])
